@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import coerce
@@ -139,10 +140,10 @@ def quality_metrics(df: DataFrame, ignore: tuple[str, ...] = ("_row",)) -> DataF
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Per column: totals, fill rate, distinct values and five samples.
+    """Per column: totals, fill rate and distinct values.
 
-    Samples are the five smallest distinct values, so a rerun agrees.
     ``approximate`` swaps exact distinct counting for a sketch of fixed size.
+    Samples of the values come from ``sample_values``.
     """
     values = long_values(df, columns)
     if approximate:
@@ -153,8 +154,6 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, approximate:
         )
         return _fill_rates(per_column)
     counted = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    # The smallest values come from a bounded top-5 per column: each task
-    # keeps a running minimum set instead of a list of all values.
     per_column = counted.groupBy("column_name").agg(
         F.sum("n").alias("total_values"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled_count"),
@@ -223,8 +222,6 @@ def _exact_medians(values: DataFrame) -> DataFrame:
         "range", F.size(F.filter("cuts", lambda b: b < F.col("x")))
     )
     per_range = ranged.groupBy("column_name", "range").agg(F.sum("n").alias("in_range"), F.first("total").alias("total"))
-    from pyspark.sql import Window as W
-
     # At most 64 ranges per column: the running sum is over a bounded table.
     before = F.sum("in_range").over(W.partitionBy("column_name").orderBy("range")) - F.col("in_range")
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1

@@ -12,7 +12,7 @@ from oracle import compare, connect  # noqa: E402
 from tablewright.session import build_session  # noqa: E402
 
 folder = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(folder)
 queries, sqls = entry_module.queries(), entry_module.oracle_sql()
