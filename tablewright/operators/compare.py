@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
@@ -93,12 +94,17 @@ def _differs(left: Column, right: Column, nulls_differ: bool) -> Column:
     return differs | (left.isNull() & right.isNull()) if nulls_differ else differs
 
 
+def _comparable(a: T.DataType, b: T.DataType) -> bool:
+    """Values of different kinds (text against number) always differ."""
+    return a == b or (isinstance(a, T.NumericType) and isinstance(b, T.NumericType))
+
+
 def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool]], nulls_differ: bool) -> DataFrame:
     """Explode rows holding ``_l`` and ``_r`` structs into differing fields."""
     entries = []
     for name, same_type in fields:
         a, b = F.col("_l")[name], F.col("_r")[name]
-        differs = _differs(a, b, nulls_differ) if same_type else _differs(a.cast("string"), b.cast("string"), nulls_differ) | F.lit(True)
+        differs = _differs(a, b, nulls_differ) if same_type else a.isNotNull() | b.isNotNull() | F.lit(nulls_differ)
         entries.append(
             F.when(
                 differs,
@@ -134,7 +140,7 @@ def keyed_diff(
     quadratic.
     """
     names = value_columns(left, right, keys, ignore)
-    fields = [(c, left.schema[c].dataType == right.schema[c].dataType) for c in names]
+    fields = [(c, _comparable(left.schema[c].dataType, right.schema[c].dataType)) for c in names]
     out = [*keys, "field", "left_value", "right_value", "diff_type", "pairs"]
     packed_left = left.select(*keys, F.struct(*names).alias("_l"))
     packed_right = right.select(*keys, F.struct(*names).alias("_r"))
