@@ -67,13 +67,13 @@ column_query("P12_fill_default", "orders", "o_orderkey", "CASE WHEN o_orderkey %
 column_query("T01_noop", "part", "p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END", lambda: tf.noop(F.when(F.col("p_partkey") % 3 != 0, F.col("p_name"))))
 column_query("T02_default", "orders", "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'FB' ELSE o_orderstatus END",
              lambda: tf.default(F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderstatus")), "FB"))
-column_query("T03_blank", "nation", "n_nationkey", "'AB0000'", lambda: tf.blank(6, "0", "AB"))
-column_query("T03_blank_spaces", "nation", "n_nationkey", "'    '", lambda: tf.blank(4))
-column_query("T04_constant", "nation", "n_nationkey", "'000'", lambda: tf.constant("000"))
+column_query("T03_blank", "supplier", "s_suppkey", "'AB0000'", lambda: tf.blank(6, "0", "AB"))
+column_query("T03_blank_spaces", "supplier", "s_suppkey", "'    '", lambda: tf.blank(4))
+column_query("T04_constant", "supplier", "s_suppkey", "'000'", lambda: tf.constant("000"))
 column_query("T05_concat", "lineitem", "l_orderkey",
              "CASE WHEN length(CAST(l_orderkey AS VARCHAR)) >= 4 THEN CAST(l_orderkey AS VARCHAR) ELSE lpad(CAST(l_orderkey AS VARCHAR), 4, '0') END || l_returnflag || CAST(l_linenumber AS VARCHAR)",
              lambda: tf.concat((F.col("l_orderkey"), 4, "0"), F.col("l_returnflag"), F.col("l_linenumber")))
-column_query("T06_field_map", "nation", "n_nationkey", "n_name", lambda: tf.field_map("n_name"))
+column_query("T06_field_map", "supplier", "s_suppkey", "s_name", lambda: tf.field_map("s_name"))
 
 
 @query("T07_sequential", """SELECT c_custkey, CASE WHEN length(CAST(1000 + 5 * (rn - 1) AS VARCHAR)) >= 6 THEN CAST(1000 + 5 * (rn - 1) AS VARCHAR)
