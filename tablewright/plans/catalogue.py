@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from tablewright.plans import compare_queries, file_queries, profile_queries, rule_queries, transform_queries  # noqa: F401
+from tablewright.plans import compare_queries, file_queries, profile_queries, record_queries, rule_queries, transform_queries  # noqa: F401
 from tablewright.plans.registry import ORACLES, QUERIES  # noqa: F401
