@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings worth having on any cluster.  Shuffle partitions are
 # left to adaptive execution, which merges small ones and splits skewed ones.
@@ -40,3 +40,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint location, for derived files."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read.
+
+    ``checkpoint`` puts it in the shared folder, so a lost executor costs a
+    re-read and not a recomputation, and branches can not see different rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.session import ensure_checkpoint_dir
+from tablewright.session import written_once
 
 # monotonically_increasing_id keeps the partition above bit 33.
 PARTITION_BITS = 33
 
 
 def _written_once(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    return written_once(df.withColumn("_at", F.monotonically_increasing_id()))
 
 
 def number_rows(df: DataFrame, order_by: list, name: str = "_row") -> DataFrame:
