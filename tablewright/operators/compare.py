@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.profile import pct
+from tablewright.operators.violations import explode_found
 
 ROW_COLUMNS = ("_row", "_file")
 
@@ -117,8 +118,7 @@ def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool
                 ),
             )
         )
-    found = F.filter(F.array(*entries), lambda d: d.isNotNull())
-    return pairs.select(*keys, F.inline(found))
+    return explode_found(pairs, keys, F.array(*entries))
 
 
 def keyed_diff(
@@ -279,19 +279,15 @@ def positional_diff(left: DataFrame, right: DataFrame, ignore=(), row: str = "_r
         return F.struct(field.alias("field"), a.alias("left_value"), b.alias("right_value"), F.lit(kind).alias("diff_type")).cast(entry)
 
     nothing = F.lit(None).cast("string")
-    changed = F.filter(
-        F.array(*[
-            F.when(F.col("_l")[n] != F.col("_r")[n], made(F.lit(n), F.col("_l")[n], F.col("_r")[n], "value_difference"))
-            for n in names
-        ]),
-        lambda d: d.isNotNull(),
-    )
+    changed = F.array(*[
+        F.when(F.col("_l")[n] != F.col("_r")[n], made(F.lit(n), F.col("_l")[n], F.col("_r")[n], "value_difference")) for n in names
+    ])
     entries = (
         F.when(F.col("_r").isNull(), F.array(made(nothing, nothing, nothing, "only_in_left")))
         .when(F.col("_l").isNull(), F.array(made(nothing, nothing, nothing, "only_in_right")))
         .otherwise(changed)
     )
-    return both.select(F.col(row).alias("row_number"), F.inline(entries))
+    return explode_found(both, [F.col(row).alias("row_number")], entries)
 
 
 # -------------------------------------------------------- expected vs actual

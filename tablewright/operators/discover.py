@@ -176,8 +176,7 @@ def detect_discriminator(lines: DataFrame, file: str = "file") -> DataFrame:
     """
     rows = lines.filter(coerce.is_filled(F.col("content")))
     grid = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(n).alias("length"), F.substring("content", p, n).alias("v")) for p in range(1, MAX_POSITION + 1) for n in range(1, MAX_LENGTH + 1)])
-    whole = F.filter(grid, lambda g: F.char_length(g["v"]) == g["length"])
-    counted = rows.select(file, F.inline(whole)).groupBy(file, "position", "length", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.select(file, F.inline(grid)).filter(F.char_length("v") == F.col("length")).groupBy(file, "position", "length", "v").agg(F.count(F.lit(1)).alias("n"))
     repeating = counted.filter("n >= 2").groupBy(file, "position", "length").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("covered"), F.min("v").alias("least_value"), F.max("v").alias("greatest_value")
     )
@@ -209,7 +208,7 @@ def fixed_width_drift(lines: DataFrame, layout: list, file: str = "file") -> Dat
     ``layout`` items have ``name, start`` (1-based) ``and length``.  Text
     starts are counted once per file and position and shared by all fields.
     """
-    rows = lines.filter(coerce.is_filled(F.col("content")))
+    rows = lines.filter(coerce.is_filled(F.col("content")))  # never empty
     total = F.count(F.lit(1)).alias("total")
     blanks = [F.count_if(F.coalesce(coerce.strip(F.substring("content", f.start, 1)) == "", F.lit(True))).alias(f"b{i}") for i, f in enumerate(layout)]
     per_file = rows.groupBy(file).agg(total, *blanks).filter(F.col("total") >= LEAST_LINES)
@@ -219,14 +218,12 @@ def fixed_width_drift(lines: DataFrame, layout: list, file: str = "file") -> Dat
     ])
     suspects = per_file.select(file, "total", F.inline(declared)).filter(F.col("blank") > F.col("total") * LEADING_BLANK_SHARE)
 
-    # A start is a filled position whose left neighbour is blank.
-    head = F.substring("content", 1, SEARCH_LIMIT)
-    chars = rows.select(file, F.split(F.concat(F.lit(" "), F.regexp_replace(head, r"\s", " ")), "").alias("ch"))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("ch") - 1, F.lit(1))),
-        lambda i: (F.get(F.col("ch"), i) != " ") & (F.get(F.col("ch"), i - 1) == " "),
-    )
-    counted = chars.select(file, F.explode(starts).alias("at")).groupBy(file, "at").agg(F.count(F.lit(1)).alias("score"))
+    # A start is a filled position whose left neighbour is blank; with a blank
+    # put in front, position p and its left neighbour are characters p+1 and p.
+    head = F.concat(F.lit(" "), F.translate(F.substring("content", 1, SEARCH_LIMIT), "\t\r\n\f", "    "))
+    places = rows.select(file, head.alias("head")).select(file, "head", F.explode(F.sequence(F.lit(1), F.char_length("head") - 1)).alias("at"))
+    starts = places.filter((F.substr("head", F.col("at"), F.lit(1)) == " ") & (F.substr("head", F.col("at") + 1, F.lit(1)) != " "))
+    counted = starts.groupBy(file, "at").agg(F.count(F.lit(1)).alias("score"))
     near = (F.col("at") >= F.col("expected_start") - SEARCH_RADIUS) & (F.col("at") < F.col("expected_start") + SEARCH_RADIUS) & (F.col("at") != F.col("expected_start"))
     best = (
         suspects.join(counted, file).filter(near)

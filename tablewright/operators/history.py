@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.trailing import with_trailing
+from tablewright.operators.violations import explode_found
 
 # Trend spans, trend sensitivity, baseline size, alert limits.
 TREND_DAYS = (7, 14, 30, 90)
@@ -131,5 +132,4 @@ def deviation_alerts(history: DataFrame, limits: dict | None = None, digits: int
                 ),
             )
         )
-    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return rated.filter("sample_size > 0").select("suite_name", "run_id", F.inline(found))
+    return explode_found(rated.filter("sample_size > 0"), ["suite_name", "run_id"], F.array(*entries))

@@ -7,13 +7,15 @@ functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import coerce
 from tablewright.functions.pictures import picture_holds
 from tablewright.operators.profile import pct
-from tablewright.operators.violations import explode_checks, fuse, violation
+from tablewright.operators.violations import explode_checks, violation
 from tablewright.sources.layouts import LayoutField, line_length, raw_field
 
 SHOWN_FIELDS = 8
@@ -63,6 +65,22 @@ def uniform_length(lines: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _strict_conditions(layout: list[LayoutField], level: str, digits_only: bool = False) -> list[tuple[Column, LayoutField, str]]:
+    """``(is_bad, field, issue code)`` of every check that applies."""
+    conditions = []
+    for f in layout:
+        c = F.col(f.name)
+        if f.required:
+            conditions.append((coerce.is_blank(c), f, "FW_REQ_001"))
+        if level == "basic":
+            continue
+        if f.valid_values:
+            conditions.append((coerce.is_filled(c) & ~coerce.strip(c).isin(*f.valid_values), f, "FW_VAL_001"))
+        if f.picture:
+            conditions.append((coerce.is_filled(c) & ~picture_holds(c, f.picture, digits_only), f, "FW_FMT_001"))
+    return conditions
+
+
 def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bool = False) -> list[tuple[Column, Column]]:
     """Required, valid-value and picture checks on sliced fields.
 
@@ -70,24 +88,16 @@ def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bo
     everything.
     """
     checks = []
-    for f in layout:
-        c = F.col(f.name)
-        value = c.cast("string")
+    for is_bad, f, code in _strict_conditions(layout, level, digits_only):
+        value = F.col(f.name).cast("string")
         quoted = F.concat(F.lit(" '"), F.coalesce(value, F.lit("")), F.lit("'"))
-        if f.required:
-            what = violation("FW_REQ_001", "required", "error", f.name, value, F.lit(f"Required field '{f.name}' is empty"), None, "FW_REQ_001")
-            checks.append((coerce.is_blank(c), what))
-        if level == "basic":
-            continue
-        filled = coerce.is_filled(c)
-        if f.valid_values:
-            what = violation("FW_VAL_001", "valid_values", "error", f.name, value,
-                             F.concat(F.lit(f"Field '{f.name}' has invalid value"), quoted), ",".join(f.valid_values), "FW_VAL_001")
-            checks.append((filled & ~coerce.strip(c).isin(*f.valid_values), what))
-        if f.picture:
-            what = violation("FW_FMT_001", "format", "error", f.name, value,
-                             F.concat(F.lit(f"Field '{f.name}' has invalid format for value"), quoted), f.picture, "FW_FMT_001")
-            checks.append((filled & ~picture_holds(c, f.picture, digits_only), what))
+        if code == "FW_REQ_001":
+            name, message, expected = "required", F.lit(f"Required field '{f.name}' is empty"), None
+        elif code == "FW_VAL_001":
+            name, message, expected = "valid_values", F.concat(F.lit(f"Field '{f.name}' has invalid value"), quoted), ",".join(f.valid_values)
+        else:
+            name, message, expected = "format", F.concat(F.lit(f"Field '{f.name}' has invalid format for value"), quoted), f.picture
+        checks.append((is_bad, violation(code, name, "error", f.name, value, message, expected, code)))
     return checks
 
 
@@ -99,12 +109,16 @@ def strict_fixed_width(fields: DataFrame, layout: list[LayoutField], level: str
 
 def strict_summary(fields: DataFrame, layout: list[LayoutField], level: str = "all") -> DataFrame:
     """Invalid records and format errors, without building the violations."""
-    found = fields.select(fuse(strict_checks(layout, level)).alias("v"))
-    codes = F.filter("v", lambda v: v["issue_code"] != "FW_REQ_001")
-    return found.agg(
+    bad = {kind: [] for kind in ("FW_REQ_001", "FW_VAL_001", "FW_FMT_001")}
+    for is_bad, _, code in _strict_conditions(layout, level):
+        bad[code].append(F.coalesce(is_bad, F.lit(False)).cast("int"))
+    zero = F.lit(0)
+    required = reduce(lambda a, b: a + b, bad["FW_REQ_001"], zero)
+    formats = reduce(lambda a, b: a + b, bad["FW_VAL_001"] + bad["FW_FMT_001"], zero)
+    return fields.agg(
         F.count(F.lit(1)).alias("records"),
-        F.count_if(F.size("v") > 0).alias("invalid_records"),
-        F.coalesce(F.sum(F.size(codes).cast("bigint")), F.lit(0)).alias("format_errors"),
+        F.count_if(required + formats > 0).alias("invalid_records"),
+        F.coalesce(F.sum(formats), zero).cast("bigint").alias("format_errors"),
     )
 
 

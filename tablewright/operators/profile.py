@@ -7,6 +7,7 @@ taken, so the number of shuffles does not grow with the number of columns.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import coerce
+from tablewright.session import written_once
 
 # Date layouts that are tried, with their display names.
 DATE_LAYOUTS = [
@@ -190,8 +192,7 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 5) -
 def numeric_profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Minimum, maximum, mean, median and sample deviation per column.
 
-    The exact median reads the value counts of a column, which are reduced
-    before the shuffle; ``accuracy`` switches to a bounded sketch.
+    The median is exact; ``accuracy`` switches to a sketch of bounded size.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), coerce.number_of(df, c).alias("x")) for c in columns])
     values = df.select(F.inline(pairs)).filter("x IS NOT NULL")
@@ -210,38 +211,28 @@ def numeric_profile(df: DataFrame, columns: list[str], accuracy: int | None = No
 def _exact_medians(values: DataFrame) -> DataFrame:
     """Median of ``x`` per column without gathering a column in one task.
 
-    Values are counted, each column is cut into ranges at approximate
-    percentiles, and only the range that holds the middle is ordered.
+    Value counts are sorted over range partitions and written once.  The
+    counts per partition say which partition holds the middle rows of a column
+    (at most two), and only those are looked into.
     """
     counted = values.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("n"))
-    cuts = [i / 64 for i in range(1, 64)]
-    bounds = counted.groupBy("column_name").agg(
-        F.percentile_approx("x", cuts, 1000).alias("cuts"), F.sum("n").alias("total")
-    )
-    ranged = counted.join(F.broadcast(bounds), "column_name").withColumn(
-        "range", F.size(F.filter("cuts", lambda b: b < F.col("x")))
-    )
-    per_range = ranged.groupBy("column_name", "range").agg(F.sum("n").alias("in_range"), F.first("total").alias("total"))
-    # At most 64 ranges per column: the running sum is over a bounded table.
-    before = F.sum("in_range").over(W.partitionBy("column_name").orderBy("range")) - F.col("in_range")
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    holding = (
-        per_range.withColumn("before", before).withColumn("low", low).withColumn("high", high)
-        .filter("(before < low AND before + in_range >= low) OR (before < high AND before + in_range >= high)")
-        .select("column_name", "range", "before", "low", "high")
-    )
-    inside = ranged.select("column_name", "range", "x", "n").join(F.broadcast(holding), ["column_name", "range"])
-    running = F.sum("n").over(W.partitionBy("column_name", "range").orderBy("x")) + F.col("before")
-    return (
-        inside.withColumn("upto", running).withColumn("from", F.col("upto") - F.col("n"))
-        .groupBy("column_name")
-        .agg(
-            (
-                (F.max(F.when((F.col("from") < F.col("low")) & (F.col("upto") >= F.col("low")), F.col("x")))
-                 + F.max(F.when((F.col("from") < F.col("high")) & (F.col("upto") >= F.col("high")), F.col("x")))) / 2
-            ).alias("median")
-        )
+    placed = written_once(counted.orderBy("column_name", "x").withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("column_name", "_part").agg(F.sum("n").alias("in_part"))
+    ordered = W.partitionBy("column_name").orderBy("_part")
+    total = F.sum("in_part").over(W.partitionBy("column_name"))
+    ranked = parts.select(
+        "column_name", "_part", "in_part", (F.sum("in_part").over(ordered) - F.col("in_part")).alias("before"),
+        F.floor((total + 1) / 2).alias("low"), (F.floor(total / 2) + 1).alias("high"),
     )
+    holding = ranked.filter("(before < low AND before + in_part >= low) OR (before < high AND before + in_part >= high)")
+    inside = placed.join(F.broadcast(holding), ["column_name", "_part"])
+    upto = F.sum("n").over(W.partitionBy("column_name", "_part").orderBy("x")) + F.col("before")
+    placed_at = inside.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("from") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("x")))
+
+    return placed_at.groupBy("column_name").agg(((at("low") + at("high")) / 2).alias("median"))
 
 
 def string_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -271,10 +262,25 @@ def looks_like_date_name(c: Column) -> Column:
     return F.lower(c).rlike("date|time|dt|timestamp")
 
 
+def parse_day(s: Column, pattern: str) -> Column:
+    """Parse stripped text in a fixed-digit date pattern.
+
+    A look at the shape comes first: a failed parse costs far more than a
+    regular expression, and most values of most columns are no dates.
+    """
+    shape = re.sub("[yMd]+", lambda m: f"[0-9]{{{len(m.group())}}}", pattern)
+    return F.when(s.rlike(f"^{shape}$"), F.try_to_timestamp(s, F.lit(pattern)))
+
+
+def _iso(s: Column) -> Column:
+    # The leading year keeps bare numbers out of the ISO parser.
+    return F.when(s.rlike(r"^[0-9]{4}-"), s.try_cast("timestamp"))
+
+
 def _any_date(c: Column) -> Column:
     """A timestamp from ISO text or one of the usual layouts, else null."""
     s = coerce.strip(c)
-    return F.coalesce(s.try_cast("timestamp"), *[F.try_to_timestamp(s, F.lit(p)) for _, p in DATE_LAYOUTS])
+    return F.coalesce(_iso(s), *[parse_day(s, p) for _, p in DATE_LAYOUTS])
 
 
 def infer_column_types(values: DataFrame) -> DataFrame:
@@ -285,10 +291,8 @@ def infer_column_types(values: DataFrame) -> DataFrame:
     every value must agree.
     """
     s = coerce.strip(F.col("value"))
-    # ``YYYY-...`` keeps bare years and plain numbers out of the ISO parser.
-    iso = F.when(s.rlike(r"^\d{4}-"), s.try_cast("timestamp"))
-    general = F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(p)) for n, p in DATE_LAYOUTS if n != "YYYYMMDD"])
-    eight = F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
+    general = F.coalesce(_iso(s), *[parse_day(s, p) for n, p in DATE_LAYOUTS if n != "YYYYMMDD"])
+    eight = parse_day(s, "yyyyMMdd")
     filled = values.filter("value IS NOT NULL")
     shares = values.select("column_name").distinct().join(
         filled.groupBy("column_name").agg(
@@ -354,7 +358,7 @@ def detect_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, c in enumerate(columns):
         s = coerce.strip(F.col(c))
         for j, (label, pattern) in enumerate(DATE_LAYOUTS):
-            share = F.avg(F.when(F.col(c).isNotNull(), F.try_to_timestamp(s, F.lit(pattern)).isNotNull().cast("int")))
+            share = F.avg(F.when(F.col(c).isNotNull(), parse_day(s, pattern).isNotNull().cast("int")))
             counters.append(F.round(share, 4).alias(f"s{i}_{j}"))
             names.append(((c, label), [(f"s{i}_{j}", "share")]))
     return _long_counts(df.agg(*counters), names, ["column_name", "date_format"]).filter("share > 0.8")

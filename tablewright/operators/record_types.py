@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.rules import validate
-from tablewright.operators.violations import VIOLATION_COLUMNS, violation
+from tablewright.operators.violations import VIOLATION_COLUMNS, explode_found, violation
 from tablewright.sources.layouts import slice_fields
 
 WHOLE = "_batch"
@@ -148,8 +148,8 @@ def expect_cardinality(records: DataFrame, types: list[RecordType], batch: list[
             continue
         message = F.concat(F.lit(text), shown, F.lit("."))
         found.append(F.when(bad, violation("CT_EXPECT", "expect_cardinality", "error", t.name, shown, message, None, code)))
-    entries = F.filter(F.array(*found), lambda v: v.isNotNull())
-    return _finish(counts.select(*(batch or []), F.lit(0).cast("bigint").alias("row_number"), F.explode(entries).alias("v")), batch)
+    kept = [*(batch or []), F.lit(0).cast("bigint").alias("row_number")]
+    return explode_found(counts, kept, F.array(*found)).select(*(batch or []), *VIOLATION_COLUMNS)
 
 
 def required_companion(records: DataFrame, when_type: str, requires_type: str, batch=None, severity: str = "error") -> DataFrame:

@@ -50,22 +50,28 @@ def violation(
 
 
 def fuse(checks: list[tuple[Column, Column]]) -> Column:
-    """One array of structs from ``(is_bad, struct)`` pairs, bad ones only."""
+    """One array from ``(is_bad, struct)`` pairs; null where a check passes.
+
+    Nulls are dropped after the explode: a lambda over the array would take
+    the whole expression out of code generation.
+    """
     parts = []
     for i in range(0, len(checks), FUSE_WIDTH):
         chunk = checks[i : i + FUSE_WIDTH]
         parts.append(F.array(*[F.when(bad, what) for bad, what in chunk]))
-    whole = parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
-    return F.filter(whole, lambda v: v.isNotNull())
+    return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
+
+
+def explode_found(df: DataFrame, kept: list, entries: Column) -> DataFrame:
+    """``kept`` columns and the fields of every struct that is not null."""
+    out = df.select(*kept, F.explode(entries).alias("_found")).filter("_found IS NOT NULL")
+    names = [c for c in out.columns if c != "_found"]
+    return out.select(*names, "_found.*")
 
 
 def explode_checks(df: DataFrame, row_number: Column, checks: list[tuple[Column, Column]]) -> DataFrame:
     """Violations of any number of row-local checks in one pass over ``df``."""
-    return (
-        df.select(row_number.cast("bigint").alias("row_number"), F.explode(fuse(checks)).alias("v"))
-        .select("row_number", "v.*")
-        .select(*VIOLATION_COLUMNS)
-    )
+    return explode_found(df, [row_number.cast("bigint").alias("row_number")], fuse(checks)).select(*VIOLATION_COLUMNS)
 
 
 def literal_violations(spark, rows: list[tuple]) -> DataFrame:

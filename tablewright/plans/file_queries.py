@@ -6,6 +6,10 @@ the shared scratch folder, so the scans run on real files of any size.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablewright.functions.pictures import picture_holds
@@ -162,6 +166,24 @@ def _(t):
     return files.grep_files(t.spark, folder, "BUILD", "part-*").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("S17_grep_archives", f"SELECT CAST(doc_id AS VARCHAR) || '.zip' AS archive, 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS file, line FROM {LINES_SQL} WHERE contains(content, 'ation') AND doc_id % 2 = 0")
+def _(t):
+    @F.pandas_udf("binary")
+    def zipped(name: pd.Series, text: pd.Series) -> pd.Series:
+        out = []
+        for n, body in zip(name, text):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(n, body)
+            out.append(buffer.getvalue())
+        return pd.Series(out)
+
+    doc = F.col("doc_id").cast("string")
+    member = F.concat(F.when(F.col("doc_id") % 2 == 0, "doc-").otherwise("other-"), doc, F.lit(".txt"))
+    archives = t.documents.select(F.concat(doc, F.lit(".zip")).alias("path"), zipped(member, "text").alias("content"))
+    return files.search_archives(archives, "ation", "doc-*").select("archive", "file", "line")
+
+
 ISSUE_RULES = [
     FieldRule("acct_positive", "c_acctbal", ">", value=0),
     FieldRule("segment_known", "c_mktsegment", "in", values=("BUILDING", "MACHINERY"), severity="warning"),

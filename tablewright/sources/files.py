@@ -97,22 +97,20 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, io.BufferedIOBase
                     yield member.name, tar.extractfile(member)
 
 
-def grep_archives(
-    spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*", batch: int = 10_000
-) -> DataFrame:
+def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batch: int = 10_000) -> DataFrame:
     """``archive, file, line, content`` of matching lines inside zip and tar.gz.
 
-    Archives are spread over tasks; members are read line by line and hits are
-    handed on in batches, so a task never holds a member.  An archive that can
-    not be read is skipped.
+    ``archives`` has ``path`` and ``content``.  They are spread over tasks;
+    members are read line by line and hits are handed on in batches, so a task
+    never holds a whole member.  An archive that can not be read is skipped.
     """
-    schema = "archive string, file string, line bigint, content string"
+    columns = ["archive", "file", "line", "content"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "file", "line", "content"]
+        found: list[tuple] = []
         for frame in frames:
             for where, content in zip(frame["path"], frame["content"]):
-                name, found = os.path.basename(where), []
+                name = os.path.basename(where)
                 try:
                     for member, f in _members(name, content):
                         if not fnmatch.fnmatch(os.path.basename(member), file_glob):
@@ -125,11 +123,16 @@ def grep_archives(
                                     found = []
                 except (OSError, zipfile.BadZipFile, tarfile.TarError):
                     pass
-                yield pd.DataFrame(found, columns=columns)
+        if found:
+            yield pd.DataFrame(found, columns=columns)
 
+    return archives.select("path", "content").mapInPandas(search, "archive string, file string, line bigint, content string")
+
+
+def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*") -> DataFrame:
+    """Search the archives of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", archive_glob).load(path)
-    named = files.filter(F.col("path").rlike(r"\.(zip|tar\.gz|tgz)$")).select("path", "content")
-    return named.mapInPandas(search, schema)
+    return search_archives(files.filter(F.col("path").rlike(r"\.(zip|tar\.gz|tgz)$")), needle, file_glob)
 
 
 def extract_error_rows(rows: DataFrame, violations: DataFrame, row_id="_row", header_row: int | None = None) -> DataFrame:
