@@ -18,6 +18,7 @@ from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.profile import pct
 from tablewright.operators.violations import explode_found
+from tablewright.session import written_once
 
 ROW_COLUMNS = ("_row", "_file")
 
@@ -121,6 +122,13 @@ def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool
     return explode_found(pairs, keys, F.array(*entries))
 
 
+def _unique_diff(left: DataFrame, right: DataFrame, keys, fields, nulls_differ) -> DataFrame:
+    """Diff of sides without repeated keys: one equi-join, null keys meet."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_r")
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return _field_diffs(left.join(other, same_key), keys, fields, nulls_differ)
+
+
 def keyed_diff(
     left: DataFrame,
     right: DataFrame,
@@ -133,11 +141,11 @@ def keyed_diff(
 
     Columns: the keys, ``field, left_value, right_value, diff_type, pairs``.
     With ``unique_keys`` the caller states that no key repeats, and the diff is
-    one equi-join.  Otherwise repeated keys are told apart first: a key that
-    is single on one side is paired with each of its rows on the other side;
-    a key repeated on both sides yields one ``many_to_many`` row per field with
-    the exact number of differing pairs, because listing them would be
-    quadratic.
+    one equi-join.  Otherwise the keys are counted first (this runs a job), and
+    only if some repeat are they told apart: a key that is single on one side
+    is paired with each of its rows on the other side; a key repeated on both
+    sides yields one ``many_to_many`` row per field with the exact number of
+    differing pairs, because listing them would be quadratic.
     """
     names = value_columns(left, right, keys, ignore)
     fields = [(c, _comparable(left.schema[c].dataType, right.schema[c].dataType)) for c in names]
@@ -145,45 +153,49 @@ def keyed_diff(
     packed_left = left.select(*keys, F.struct(*names).alias("_l"))
     packed_right = right.select(*keys, F.struct(*names).alias("_r"))
     if unique_keys:
-        return _field_diffs(packed_left.join(packed_right, keys), keys, fields, nulls_differ).select(*out)
+        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ).select(*out)
+
+    # Repeated keys with a partner; a narrow aggregation, written because the
+    # steps below read it several times.
+    repeats = written_once(key_balance(left, right, keys).filter("n_left > 0 AND n_right > 0 AND (n_left > 1 OR n_right > 1)"))
+    if repeats.isEmpty():
+        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ).select(*out)
 
     # Both sides meet in one aggregation; for a single row ``min`` is the row.
-    nothing_left = packed_left.schema["_l"].dataType
-    nothing_right = packed_right.schema["_r"].dataType
-    both = packed_left.withColumn("_r", F.lit(None).cast(nothing_right)).unionByName(
-        packed_right.withColumn("_l", F.lit(None).cast(nothing_left))
+    both = packed_left.withColumn("_r", F.lit(None).cast(packed_right.schema["_r"].dataType)).unionByName(
+        packed_right.withColumn("_l", F.lit(None).cast(packed_left.schema["_l"].dataType))
     )
-    groups = both.groupBy(*keys).agg(
+    single = both.groupBy(*keys).agg(
         F.count("_l").alias("n_left"), F.count("_r").alias("n_right"), F.min("_l").alias("_l"), F.min("_r").alias("_r")
-    )
-    single = _field_diffs(groups.filter("n_left = 1 AND n_right = 1"), keys, fields, nulls_differ)
-
-    one_left = groups.filter("n_left = 1 AND n_right > 1").select(*keys, "n_right", "_l")
-    fan_right = rows_of_groups(packed_right, one_left, keys, "n_right", null_safe=True)
-    one_right = groups.filter("n_left > 1 AND n_right = 1").select(*keys, "n_left", "_r")
-    fan_left = rows_of_groups(packed_left, one_right, keys, "n_left", null_safe=True)
-    many = groups.filter("n_left > 1 AND n_right > 1").select(*keys, "n_left", "n_right")
+    ).filter("n_left = 1 AND n_right = 1")
+
+    many_left = written_once(rows_of_groups(packed_left, repeats, keys, "n_left", null_safe=True))
+    many_right = written_once(rows_of_groups(packed_right, repeats, keys, "n_right", null_safe=True))
+    one_left = many_left.filter("n_left = 1").select(*keys, "n_right", "_l")
+    fan_right = rows_of_groups(many_right.filter("n_left = 1").select(*keys, "_r"), one_left, keys, "n_right", null_safe=True)
+    one_right = many_right.filter("n_right = 1").select(*keys, "n_left", "_r")
+    fan_left = rows_of_groups(many_left.filter("n_right = 1").select(*keys, "_l"), one_right, keys, "n_left", null_safe=True)
+    both_many = "n_left > 1 AND n_right > 1"
     return reduce(
         DataFrame.unionByName,
         [
-            single.select(*out),
+            _field_diffs(single, keys, fields, nulls_differ).select(*out),
             _field_diffs(fan_right, keys, fields, nulls_differ).select(*out),
             _field_diffs(fan_left, keys, fields, nulls_differ).select(*out),
-            _many_to_many(packed_left, packed_right, many, keys, names, nulls_differ).select(*out),
+            _many_to_many(many_left.filter(both_many), many_right.filter(both_many), keys, names, nulls_differ).select(*out),
         ],
     )
 
 
-def _many_to_many(left, right, many: DataFrame, keys, names, nulls_differ) -> DataFrame:
+def _many_to_many(left: DataFrame, right: DataFrame, keys, names, nulls_differ) -> DataFrame:
     """Exact number of differing pairs per key and field, from value counts."""
 
-    def long(rows: DataFrame, side: str, size: str) -> DataFrame:
-        kept = rows_of_groups(rows, many.select(*keys, size), keys, size, null_safe=True)
+    def long(rows: DataFrame, side: str) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(side)[n].cast("string").alias("value")) for n in names])
-        return kept.select(*keys, F.inline(cells))
+        return rows.select(*keys, F.inline(cells))
 
-    both = long(left, "_l", "n_left").withColumn("l", F.lit(1)).withColumn("r", F.lit(0)).unionByName(
-        long(right, "_r", "n_right").withColumn("l", F.lit(0)).withColumn("r", F.lit(1))
+    both = long(left, "_l").withColumn("l", F.lit(1)).withColumn("r", F.lit(0)).unionByName(
+        long(right, "_r").withColumn("l", F.lit(0)).withColumn("r", F.lit(1))
     )
     counted = both.groupBy(*keys, "field", "value").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     same = F.col("l") * F.col("r")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.functions.pictures import picture_holds
 from tablewright.operators.profile import pct
-from tablewright.operators.violations import explode_checks, violation
+from tablewright.operators.violations import ValueCheck, explode_value_checks
 from tablewright.sources.layouts import LayoutField, line_length, raw_field
 
 SHOWN_FIELDS = 8
@@ -81,7 +81,7 @@ def _strict_conditions(layout: list[LayoutField], level: str, digits_only: bool
     return conditions
 
 
-def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bool = False) -> list[tuple[Column, Column]]:
+def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bool = False) -> list[ValueCheck]:
     """Required, valid-value and picture checks on sliced fields.
 
     ``basic`` looks at required fields only; ``format`` and ``all`` at
@@ -89,22 +89,19 @@ def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bo
     """
     checks = []
     for is_bad, f, code in _strict_conditions(layout, level, digits_only):
-        value = F.col(f.name).cast("string")
-        quoted = F.concat(F.lit(" '"), F.coalesce(value, F.lit("")), F.lit("'"))
-        if code == "FW_REQ_001":
-            name, message, expected = "required", F.lit(f"Required field '{f.name}' is empty"), None
-        elif code == "FW_VAL_001":
-            name, message, expected = "valid_values", F.concat(F.lit(f"Field '{f.name}' has invalid value"), quoted), ",".join(f.valid_values)
-        else:
-            name, message, expected = "format", F.concat(F.lit(f"Field '{f.name}' has invalid format for value"), quoted), f.picture
-        checks.append((is_bad, violation(code, name, "error", f.name, value, message, expected, code)))
+        name, expected, before, after = {
+            "FW_REQ_001": ("required", None, f"Required field '{f.name}' is empty", ""),
+            "FW_VAL_001": ("valid_values", ",".join(f.valid_values), f"Field '{f.name}' has invalid value '", "'"),
+            "FW_FMT_001": ("format", f.picture, f"Field '{f.name}' has invalid format for value '", "'"),
+        }[code]
+        checks.append(ValueCheck(is_bad, code, name, "error", f.name, F.col(f.name), expected, code, before, after))
     return checks
 
 
 def strict_fixed_width(fields: DataFrame, layout: list[LayoutField], level: str = "all", row_id="_row", digits_only: bool = False) -> DataFrame:
     """Violations of all strict checks in one pass over the sliced fields."""
     row_number = F.col(row_id) if isinstance(row_id, str) else row_id
-    return explode_checks(fields, row_number, strict_checks(layout, level, digits_only))
+    return explode_value_checks(fields, row_number, strict_checks(layout, level, digits_only))
 
 
 def strict_summary(fields: DataFrame, layout: list[LayoutField], level: str = "all") -> DataFrame:

@@ -17,7 +17,9 @@ from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.violations import (
     VIOLATION_COLUMNS,
+    ValueCheck,
     explode_checks,
+    explode_value_checks,
     literal_violations,
     violation,
 )
@@ -337,8 +339,8 @@ def _columns_needed(r) -> list[str]:
     return list(r.keys) + ([r.target] if r.target else [])
 
 
-def row_check(df: DataFrame, r) -> tuple[Column, Column]:
-    """``(is_bad, violation)`` of a field or cross-field rule."""
+def row_check(df: DataFrame, r) -> ValueCheck:
+    """A field or cross-field rule as a check on the columns of ``df``."""
     if isinstance(r, FieldRule):
         value = F.col(r.field).cast("string")
         bad = field_is_bad(df, r)
@@ -348,9 +350,8 @@ def row_check(df: DataFrame, r) -> tuple[Column, Column]:
         value = F.concat_ws(" vs ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
         bad = cross_is_bad(df, r)
         shown, expected, kind = ", ".join(names), f"{names[0]} {r.check} {names[-1]}", "CROSS"
-    message = F.concat(F.lit(f"{_label(r)} (got: "), F.coalesce(value, F.lit("")), F.lit(")"))
     code = getattr(r, "issue_code", None) or _code(r.id, kind)
-    return _scope(r.when) & bad, violation(r.id, r.name or r.id, r.severity, shown, value, message, expected, code)
+    return ValueCheck(_scope(r.when) & bad, r.id, r.name or r.id, r.severity, shown, value, expected, code, f"{_label(r)} (got: ", ")")
 
 
 # ------------------------------------------------------ cross-row verdicts
@@ -467,7 +468,7 @@ def validate(df: DataFrame, rules, row_id="_row") -> DataFrame:
     parts = []
     row_rules = [r for r in usable if not isinstance(r, GroupRule)]
     if row_rules:
-        parts.append(explode_checks(df, row_number, [row_check(df, r) for r in row_rules]))
+        parts.append(explode_value_checks(df, row_number, [row_check(df, r) for r in row_rules]))
     shared: dict = {}
     for r in usable:
         if isinstance(r, GroupRule):
@@ -484,7 +485,7 @@ def validate(df: DataFrame, rules, row_id="_row") -> DataFrame:
 
 def is_clean(df: DataFrame, rules) -> Column:
     """True where a row passes every row-local rule (no violations are built)."""
-    bad = [row_check(df, r)[0] for r in rules if not isinstance(r, GroupRule)]
+    bad = [row_check(df, r).bad for r in rules if not isinstance(r, GroupRule)]
     return ~reduce(lambda a, b: a | b, bad)
 
 

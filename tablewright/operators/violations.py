@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,42 @@ def explode_checks(df: DataFrame, row_number: Column, checks: list[tuple[Column,
     return explode_found(df, [row_number.cast("bigint").alias("row_number")], fuse(checks)).select(*VIOLATION_COLUMNS)
 
 
+@dataclass(frozen=True)
+class ValueCheck:
+    """A check whose message is fixed text around the value it found."""
+
+    bad: Column
+    rule_id: str
+    rule_name: str
+    severity: str
+    field: str
+    value: Column
+    expected: str | None
+    issue_code: str
+    before: str
+    after: str
+
+
+def explode_value_checks(df: DataFrame, row_number: Column, checks: list[ValueCheck]) -> DataFrame:
+    """Violations of value checks in one pass over ``df``.
+
+    Only the number of the check and the value go through the explode; names
+    and messages are looked up afterwards, so a query that counts violations
+    never builds their texts.
+    """
+    found = [(c.bad, F.struct(F.lit(i).alias("i"), c.value.cast("string").alias("value"))) for i, c in enumerate(checks, 1)]
+    rows = explode_found(df, [row_number.cast("bigint").alias("row_number")], fuse(found))
+
+    def text(name: str) -> Column:
+        return F.element_at(F.array(*[F.lit(getattr(c, name)).cast("string") for c in checks]), F.col("i")).alias(name)
+
+    shown = F.coalesce(F.col("value"), F.lit(""))
+    message = F.concat(text("before"), shown, text("after")).alias("message")
+    return rows.select(
+        text("rule_id"), text("rule_name"), text("severity"), "row_number", text("field"), "value", message, text("expected"), text("issue_code")
+    )
+
+
 def literal_violations(spark, rows: list[tuple]) -> DataFrame:
     """A table of file-level findings known from the schema alone."""
     return spark.createDataFrame(rows, VIOLATION_SCHEMA)

@@ -13,7 +13,7 @@ from tablewright.operators.record_types import RecordLayout, RecordType
 from tablewright.operators.rules import FieldRule
 from tablewright.plans.registry import query
 from tablewright.plans.sqltext import union_all
-from tablewright.session import scratch_folder
+from tablewright.session import scratch_folder, written_once
 from tablewright.sources.layouts import LayoutField
 from tablewright.sources.records import parse_all, scan_multi_record, scan_record_layouts
 
@@ -46,7 +46,8 @@ def batches(t):
     trailer = heads.filter("batch % 20 <> 3").select(
         "batch", F.lit("trailer").alias("_record_type"), F.when(F.col("batch") % 30 == 7, -1).otherwise(1000).cast("bigint").alias("_row"),
         "declared", "total", F.when(F.col("batch") % 25 == 0, "Z").otherwise(F.col("flag")).alias("flag"), nothing.alias("amount"))
-    return header.unionByName(detail).unionByName(trailer)
+    # Written once, as the records of a scanned file would be.
+    return written_once(header.unionByName(detail).unionByName(trailer))
 
 
 def shown(df):

@@ -45,8 +45,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def written_once(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read.
 
-    ``checkpoint`` puts it in the shared folder, so a lost executor costs a
-    re-read and not a recomputation, and branches can not see different rows.
+    The table goes to the shared checkpoint folder, so a lost executor costs a
+    re-read and not a recomputation, branches can not see different rows, and
+    each branch reads only the columns it needs.  The folder belongs to the
+    application and is removed with the checkpoints of the application.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    folder = scratch_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,7 +1,7 @@
 """Row numbers without gathering rows in one task.
 
 A row number needs to know how many rows come before.  The numbered frame is
-written once with ``checkpoint`` (to the folder the cluster names), so that the
+written once to the shared folder that the cluster names, so that the
 row positions are data: a lost executor or a changed file split can not give
 two answers within one query.  The number of rows per partition is then turned
 into offsets; that table has one row per partition and is safe to broadcast.
