@@ -36,7 +36,10 @@ def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None,
         reader = reader.option("pathGlobFilter", name_glob)
     files = reader.load(path)
     place = F.col("_metadata.file_path").alias("file")
-    meta = files.select(place, F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    scanned = files.select(place, F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    # A scan leaves out empty files; the listing that Spark keeps has them.
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string")
+    meta = listed.join(scanned, "file", "left").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
     hashes = files.filter(F.col("length") <= hash_limit).select(place, F.sha2("content", 256).alias("sha256"))
     text = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
     lines = text.text(path).groupBy(place).agg(F.count(F.lit(1)).alias("line_count"))
