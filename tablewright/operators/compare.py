@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import coerce
+from tablewright.functions import transforms as tf
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.profile import pct
 from tablewright.operators.violations import explode_found
@@ -303,23 +304,26 @@ def positional_diff(left: DataFrame, right: DataFrame, ignore=(), row: str = "_r
 
 
 # -------------------------------------------------------- expected vs actual
-def transform_mismatch(
-    source: DataFrame, expected: DataFrame, actual: DataFrame, keys: list[str], fields: dict[str, str]
-) -> DataFrame:
+def transform_mismatch(source: DataFrame, targets: list, actual: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
     """Source value, transformed value and delivered value per row and field.
 
-    ``fields`` maps a target field to the source column it comes from.
+    ``targets`` are the target fields of the mapping and ``fields`` maps those
+    to report to their source columns.  Source and transformed values come
+    from one projection, so only the delivered rows are joined.
     """
-    s = source.select(*keys, F.struct(*[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields.values())]).alias("_s"))
-    e = expected.select(*keys, F.struct(*[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)]).alias("_e"))
-    a = actual.select(*keys, F.struct(*[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)]).alias("_a"))
-    joined = s.join(e, keys).join(a, keys, "left")
+    build = {t.name: t for t in targets}
+    made = F.struct(*[
+        F.struct(F.col(c).cast("string").alias("s"), tf.fit(build[name].build(), build[name].length).alias("t")).alias(f"f{i}")
+        for i, (name, c) in enumerate(fields.items())
+    ])
+    given = F.struct(*[F.col(name).cast("string").alias(f"f{i}") for i, name in enumerate(fields)])
+    joined = source.select(*keys, made.alias("_made")).join(actual.select(*keys, given.alias("_given")), keys, "left")
     cells = F.array(*[
         F.struct(
             F.lit(name).alias("field"),
-            F.col("_s")[f"f{i}"].alias("source_value"),
-            F.col("_e")[f"f{i}"].alias("transformed_value"),
-            F.col("_a")[f"f{i}"].alias("file_value"),
+            F.col("_made")[f"f{i}"]["s"].alias("source_value"),
+            F.col("_made")[f"f{i}"]["t"].alias("transformed_value"),
+            F.col("_given")[f"f{i}"].alias("file_value"),
         )
         for i, name in enumerate(fields)
     ])

@@ -492,16 +492,12 @@ def is_clean(df: DataFrame, rules) -> Column:
 def rule_statistics(df: DataFrame, violations: DataFrame) -> DataFrame:
     """Counts per rule and severity, and the share of rows without violation.
 
-    Violations are first reduced per row and rule, so no distinct over the
-    wide violation rows is needed.
+    Violations are first reduced per row, so no distinct over the wide
+    violation rows is needed.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    affected = (
-        violations.filter("row_number > 0").groupBy("row_number").agg(F.lit(1).alias("one")).agg(F.count("one")).scalar()
-    )
+    per_row = violations.filter("row_number > 0").groupBy("row_number").agg(F.lit(1).alias("one"))
+    affected = per_row.agg(F.count("one").alias("n")).scalar()
     rate = F.when(total > 0, F.round((total - affected) * 100.0 / total, 2)).otherwise(F.lit(100.0))
-    return (
-        violations.groupBy("rule_id", "severity")
-        .agg(F.count(F.lit(1)).alias("violations"))
-        .withColumn("compliance_rate", rate.cast("double"))
-    )
+    counts = violations.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("violations"))
+    return counts.withColumn("compliance_rate", rate.cast("double"))

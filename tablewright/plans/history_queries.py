@@ -216,10 +216,10 @@ def _(t):
 
 @query("E12_group_strict_desc_types", rule_sql(
     "falling", "ERROR", "group", "'group:' || event_type",
-    """(SELECT event_type, bool_or(b <= value) AS rises FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS b FROM events WHERE event_type <> 'view' OR value < 0)
+    """(SELECT event_type, bool_or(b <= value) AS rises FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS b FROM events)
  GROUP BY event_type) WHERE rises"""))
 def _(t):
-    rows = t.events.filter("event_type <> 'view' OR value < 0").select("event_type", "event_id", "value", (-F.col("value")).alias("falling"))
+    rows = t.events.select("event_type", "event_id", "value", (-F.col("value")).alias("falling"))
     return ex.group_strict_desc(rows, "falling", ["event_type"], "value", ["falling", "event_id"])
 
 

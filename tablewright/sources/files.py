@@ -25,6 +25,11 @@ def read_lines(spark: SparkSession, path: str, name_glob: str | None = None) ->
     return number_file_rows(reader.text(path))
 
 
+def _one_slash_form(path: Column) -> Column:
+    """Local paths are shown with one or three slashes; settle on one."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None, hash_limit: int = 256 * 1024**2) -> DataFrame:
     """Size, time, line count, SHA-256 and a size note per file.
 
@@ -35,10 +40,10 @@ def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None,
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     files = reader.load(path)
-    place = F.col("_metadata.file_path").alias("file")
+    place = _one_slash_form(F.col("_metadata.file_path")).alias("file")
     scanned = files.select(place, F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     # A scan leaves out empty files; the listing that Spark keeps has them.
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(_one_slash_form(F.col("file")).alias("file"))
     meta = listed.join(scanned, "file", "left").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
     hashes = files.filter(F.col("length") <= hash_limit).select(place, F.sha2("content", 256).alias("sha256"))
     text = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
