@@ -33,7 +33,7 @@ def _passed() -> Column:
     return F.coalesce(F.col("status") == "PASS", F.lit(False))
 
 
-def daily_trend(history: DataFrame, as_of: str, days: int, suite: str | None = None) -> DataFrame:
+def daily_trend(history: DataFrame, as_of: str, days: int, suite: str | None = None, digits: int = 2) -> DataFrame:
     """Runs, passes, failures (anything but PASS) and mean score per day."""
     if days not in TREND_DAYS:
         raise ValueError(f"days must be one of {TREND_DAYS}, got {days}")
@@ -42,7 +42,7 @@ def daily_trend(history: DataFrame, as_of: str, days: int, suite: str | None = N
         rows = rows.filter(F.col("suite_name") == suite)
     daily = rows.groupBy(F.date_format("run_timestamp", "yyyy-MM-dd").alias("date")).agg(
         F.count(F.lit(1)).alias("total_runs"), F.count_if(_passed()).alias("pass_runs"), F.count_if(~_passed()).alias("fail_runs"),
-        F.round(F.avg("quality_score"), 2).alias("avg_quality_score"),
+        F.round(F.avg("quality_score"), digits).alias("avg_quality_score"),
     )
     return daily.withColumn("pass_rate", F.round(F.col("pass_runs") * 100.0 / F.col("total_runs"), 2).cast("double"))
 

@@ -43,18 +43,18 @@ def _(t):
 
 
 TREND_SQL = """SELECT strftime(run_timestamp, '%Y-%m-%d') AS date, count(*) AS total_runs, count(*) FILTER (status = 'PASS') AS pass_runs, count(*) FILTER (status <> 'PASS') AS fail_runs,
- round(avg(quality_score), 2) AS avg_quality_score, round((count(*) FILTER (status = 'PASS') * 100.0 / count(*))::DOUBLE, 2) AS pass_rate
+ round(avg(quality_score), 6) AS avg_quality_score, round((count(*) FILTER (status = 'PASS') * 100.0 / count(*))::DOUBLE, 2) AS pass_rate
  FROM hist WHERE run_timestamp >= TIMESTAMP '{as_of}' - INTERVAL {days} DAYS {more} GROUP BY 1"""
 
 
 @query("N16_daily_trend", f"WITH {HIST_SQL} " + TREND_SQL.format(as_of=AS_OF, days=14, more=""))
 def _(t):
-    return history.daily_trend(runs(t), AS_OF, 14)
+    return history.daily_trend(runs(t), AS_OF, 14, digits=6)
 
 
 @query("N16_daily_trend_suite", f"WITH {HIST_SQL} " + TREND_SQL.format(as_of=AS_OF, days=30, more="AND suite_name = 'click'"))
 def _(t):
-    return history.daily_trend(runs(t), AS_OF, 30, "click")
+    return history.daily_trend(runs(t), AS_OF, 30, "click", digits=6)
 
 
 @query("N17_suite_summary", f"""WITH {HIST_SQL}, s AS (SELECT suite_name, arg_max(status, run_timestamp) AS st, max(run_timestamp) AS last_run,
