@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, token_counts
+from tablewright.llm import bpe, language, quality, token_counts
+from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,17 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The longest-match token count of every whole text."""
     counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_tokens")
+
+
+@registered
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 3, 1)
+    scored = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = language.identify(table(spark, folder, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
