@@ -39,14 +39,14 @@ def profile(text: str) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> np.ndarray:
     """Linear support vector machine (squared hinge, accelerated gradient); the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = weight / weight.sum()
-    w = ahead = np.zeros(x.shape[1])
-    rate = 1 / (2 * float(weight @ (x * x).sum(1)) + penalty)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    weight, y = (weight / weight.sum()).astype(np.float32), y.astype(np.float32)
+    w = ahead = np.zeros(x.shape[1], np.float32)
+    rate = np.float32(1 / (2 * float(weight @ np.einsum("ij,ij->i", x, x)) + penalty))
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        after = ahead - rate * (penalty * ahead - 2 * (x.T @ (weight * y * slack)))
-        ahead = after + k / (k + 3) * (after - w)
+        after = ahead - rate * (np.float32(penalty) * ahead - 2 * (x.T @ (weight * y * slack)))
+        ahead = after + np.float32(k / (k + 3)) * (after - w)
         w = after
     return w
 
@@ -107,7 +107,7 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
         sign = np.where(positive, 1.0, -1.0)
         share = 1 / rows_of[y[rows]]
         share = np.where(positive, share / share[positive].sum(), share / share[~positive].sum())
-        return machine(x[rows].astype(np.float64), sign, share).astype(np.float32)
+        return machine(x[rows], sign, share)
 
     everyone = np.arange(len(y))
     if len(model.families) > 1:
@@ -119,7 +119,7 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     return model
 
 
-def identify(df: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", sample_rows: int = 4000, name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+def identify(df: DataFrame, learn_from: Column | None = None, text: str = "text", lang: str = "lang", sample_rows: int = 3000, name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Add the predicted language of every whole text and a score from 0 to 1.
 
     The model learns from rows with a non-null language, some letter and

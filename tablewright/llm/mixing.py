@@ -74,7 +74,7 @@ def _fly_largest(p: np.ndarray, size: np.ndarray, draw: random.Random) -> np.nda
     """
     order = np.argsort(-size, kind="stable")
     order = order[(p[order] > 0) & (p[order] < 1)]
-    for n, first in enumerate(order[: min(LARGEST, len(order) // 8)]):
+    for n, first in enumerate(order[:LARGEST]):
         while 0 < p[first] < 1:
             rest = order[n + 1 :][(p[order[n + 1 :]] > 0) & (p[order[n + 1 :]] < 1)]
             totals = np.stack([np.ones(len(rest)), size[rest]])
@@ -133,7 +133,9 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     key = f"{'' if source is None else 's' + str(source)}|{pdf['_chunk'].iloc[0]}|{pdf['_level'].iloc[0]}"
     draw = random.Random(zlib.crc32(key.encode()))
     words = pdf["size"].to_numpy(float)
-    p, size = _fly_largest(pdf["p"].to_numpy(float).copy(), words, draw).tolist(), words.tolist()
+    start = pdf["p"].to_numpy(float).copy()
+    p = (_fly_largest(start, words, draw) if len(start) > 4 * LANDING else start).tolist()
+    size = words.tolist()
     active = _fly(p, size, draw, LANDING if last else 2)
     if last:
         _land(p, size, active)
