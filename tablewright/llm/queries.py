@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, fingerprints, language, mixing, quality, token_counts, topk
+from tablewright.llm import bpe, fingerprints, language, mixing, quality, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,20 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_edit(table(spark, folder, "documents"))
+
+
+@registered
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # The digest of an unchanged text needs the text; all else joins by its key.
+    rows = docs.select("doc_id", *suffixes.text_key(F.col("text")), F.unhex(digest(text)).alias("own"))
+    found = suffixes.repeated_spans(docs).select("h", "n", "spans", F.unhex(F.sha2("kept", 256)).alias("left"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>"))
+    return rows.join(found, ["h", "n"], "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_bytes"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]).alias("n_removed"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.lower(F.hex(F.coalesce("left", "own"))).alias("kept_sha256"),
+    )
