@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, fingerprints, language, mixing, quality, suffixes, token_counts, topk
+from tablewright.llm import bpe, fingerprints, language, mixing, near_duplicates, quality, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size(spans).cast("long").alias("n_spans"),
         F.lower(F.hex(F.coalesce("left", "own"))).alias("kept_sha256"),
     )
+
+
+@registered
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
