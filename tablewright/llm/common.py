@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 # Fixed value: a word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    """Lower-case A-Z only, as bytes do."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words_of(text: str | None) -> list[str]:

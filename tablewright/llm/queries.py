@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, fingerprints, language, mixing, near_duplicates, quality, suffixes, token_counts, topk
+from tablewright.llm import bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@registered
+def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.katz_scores(table(spark, folder, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
