@@ -186,3 +186,20 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str = "doc_id"
     copies = result.withColumn("_c", total).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     times = F.floor(F.col("_c") / F.col("m")) + (F.col("_i") < F.col("_c") % F.col("m")).cast("long")
     return copies.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def take_mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them: none, once or several times.
+
+    Rows that agree in key, source and size share a decision; which of them
+    gets an odd repeat follows from a hash of the text.
+    """
+    taken = mix(df, weights, key, text, source, most)
+    shared = written_once(taken.where("times > 0").groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_total")))
+    rows = df.select("*", n_words(F.col(text)).alias("_size"), F.col(source).cast("string").alias("_source"))
+    counts = taken.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    decided = shared.join(counts.withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
+    decided = decided.select(F.col("doc_id").alias("_key"), F.col("source").alias("_of"), F.col("size").alias("_words"), "_total", F.coalesce("_m", F.lit(1)).alias("_m"))
+    joined = rows.join(decided, F.col(key).eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_words")))
+    times = F.floor(F.col("_total") / F.col("_m")) + (F.pmod(F.xxhash64(text), F.col("_m")) < F.col("_total") % F.col("_m")).cast("long")
+    return joined.where(times > 0).select(*df.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).drop("_copy")
