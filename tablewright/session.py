@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,10 +32,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is named."""
+    """Use the folder the cluster names.
+
+    Only a local session, where all tasks see one disk, may fall back to a
+    temporary folder; elsewhere a missing setting is an error, because the
+    folder of one machine would split or lose intermediate data.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -42,14 +56,35 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read.
 
     The table goes to the shared checkpoint folder, so a lost executor costs a
     re-read and not a recomputation, branches can not see different rows, and
-    each branch reads only the columns it needs.  The folder belongs to the
-    application and is removed with the checkpoints of the application.
+    each branch reads only the columns it needs.  A caller that has used up
+    the table hands it to ``discard``; a lazy result may still read it, so the
+    rest is deleted by ``remove_scratch``, once results have been written.
     """
     folder = scratch_folder(df.sparkSession, "step")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._written_to = folder
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written_once`` that nothing will read again."""
+    remove_folder(table.sparkSession, table._written_to)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all that this application keeps in the checkpoint location."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        remove_folder(spark, folder)
