@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import append, in_pieces
-from tablewright.session import written_once
+from tablewright.session import discard, written_once
 
 GRAM = 32
 SHARD_BYTES = 4 << 20
@@ -325,6 +325,7 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
     wanted = runs.select("h", "n", "m", "a", "b").join(again, "m").groupBy("h", "n").agg(F.collect_set(F.struct("a", "b", "m")).alias("runs"))
     texts = source.groupBy("h", "n").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("c"))
     held = written_once(texts.join(wanted, ["h", "n"], "left").where("c > 1 or runs is not null"))
+    discard(runs)
     cut_schema = pa.schema([("m", pa.int64()), ("s", pa.binary()), ("h", pa.int64()), ("n", pa.int32()), ("a", pa.int32()), ("cut", pa.binary())])
 
     def cut(with_bytes: bool):
@@ -376,7 +377,8 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
                     pairs.append((g[:n] * _BASE + g[size - (1 << power) : size - (1 << power) + n]).view(np.int64))
                 yield _batch([*pairs, [s] * n, np.arange(n), np.full(n, k)], window_schema)
 
-    each = distinct.join(heavy, "m", "left_semi").select("s", "cut", "k").mapInArrow(in_pieces(windows, 1), "x long, y long, s binary, a int, k long")
+    # A heavy key's cuts lie together: deal them anew, so that no task makes all their windows.
+    each = distinct.join(heavy, "m", "left_semi").select("s", "cut", "k").repartition("s").mapInArrow(in_pieces(windows, 1), "x long, y long, s binary, a int, k long")
     spot = F.xxhash64("s", "a")
     twice = each.groupBy("x", "y").agg(F.min(spot).alias("p"), F.max(spot).alias("q"), F.max("k").alias("k")).where("p <> q or k > 1").select("x", "y")
     dense = each.join(twice, ["x", "y"]).groupBy("s").agg(F.sort_array(F.collect_list("a")).alias("at")).select("s", F.transform("at", lambda a: F.struct(a.alias("a"), a.alias("b"))).alias("found"))
