@@ -42,6 +42,12 @@ def number(c: Column) -> Column:
     return F.when(s.rlike("[0-9.]$"), s.try_cast("double"))
 
 
+def decimal(c: Column, kind: str) -> Column:
+    """Parse text as a decimal of the given type, anything else as null."""
+    s = strip(c)
+    return F.when(s.rlike("[0-9.]$"), s.try_cast(kind))
+
+
 def integer(c: Column) -> Column:
     """Parse text made of an optional sign and digits only."""
     s = strip(c)

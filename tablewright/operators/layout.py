@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.functions.pictures import picture_holds
 from tablewright.operators.profile import pct
-from tablewright.operators.violations import ValueCheck, explode_value_checks
+from tablewright.operators.violations import ValueCheck, explode_value_checks, of_rows, row_identity
 from tablewright.sources.layouts import LayoutField, line_length, raw_field
 
-SHOWN_FIELDS = 8
-
 
 def length_summary(lines: DataFrame, expected: int) -> DataFrame:
     """Lines with the right and the wrong length."""
@@ -35,10 +33,7 @@ def length_issues(lines: DataFrame, layout: list[LayoutField], keep=()) -> DataF
     actual = F.char_length("value")
     ends = F.array(*[F.struct(F.lit(f.name).alias("n"), F.lit(f.end).alias("e")) for f in layout])
     cut = F.transform(F.filter(ends, lambda f: f["e"] > actual), lambda f: f["n"])
-    hint = F.concat(
-        F.array_join(F.slice(cut, 1, SHOWN_FIELDS), ", "),
-        F.when(F.size(cut) > SHOWN_FIELDS, F.concat(F.lit(", +"), (F.size(cut) - SHOWN_FIELDS).cast("string"), F.lit(" more"))).otherwise(""),
-    )
+    hint = F.array_join(cut, ", ")
     short = actual < expected
     return lines.filter(actual != expected).select(
         *keep,
@@ -98,10 +93,10 @@ def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bo
     return checks
 
 
-def strict_fixed_width(fields: DataFrame, layout: list[LayoutField], level: str = "all", row_id="_row", digits_only: bool = False) -> DataFrame:
+def strict_fixed_width(fields: DataFrame, layout: list[LayoutField], level: str = "all", row_id="_row", digits_only: bool = False, ids=()) -> DataFrame:
     """Violations of all strict checks in one pass over the sliced fields."""
     row_number = F.col(row_id) if isinstance(row_id, str) else row_id
-    return explode_value_checks(fields, row_number, strict_checks(layout, level, digits_only))
+    return explode_value_checks(fields, row_number, strict_checks(layout, level, digits_only), ids)
 
 
 def strict_summary(fields: DataFrame, layout: list[LayoutField], level: str = "all") -> DataFrame:
@@ -144,7 +139,7 @@ def first_misalignment(lines: DataFrame, layout: list[LayoutField], digits_only:
             steps.append(F.when(v == "", issue("required_empty", f.name, at, F.lit("non-empty"), F.lit("empty"))))
         if f.valid_values:
             allowed = [x.strip() for x in f.valid_values]
-            shown = ", ".join(sorted(allowed)[:10])
+            shown = ", ".join(sorted(allowed))
             steps.append(F.when((v != "") & ~v.isin(*allowed), issue("invalid_value", f.name, at, F.lit(f"one of {shown}"), v)))
         if f.picture:
             steps.append(F.when((v != "") & ~picture_holds(v, f.picture, digits_only), issue("invalid_format", f.name, at, F.lit(f.picture), v)))
@@ -169,24 +164,24 @@ def issue_code_summary(violations: DataFrame) -> DataFrame:
 
 
 def affected_rows(violations: DataFrame, messages: int = 10) -> DataFrame:
-    """Issue count and first messages per row.
+    """Issue count and first messages per row (its file and other ids included).
 
     A row has at most one issue per rule and field, so the list is bounded by
     the rule set.
     """
-    return violations.filter("row_number > 0").groupBy("row_number").agg(
+    return of_rows(violations).groupBy(*row_identity(violations)).agg(
         F.count(F.lit(1)).alias("issue_count"), F.slice(F.array_sort(F.collect_list("message")), 1, messages).alias("messages")
     )
 
 
 def affected_summary(violations: DataFrame, total_rows: Column) -> DataFrame:
-    per_row = violations.filter("row_number > 0").groupBy("row_number").agg(F.lit(1).alias("one"))
+    per_row = of_rows(violations).groupBy(*row_identity(violations)).agg(F.lit(1).alias("one"))
     return per_row.agg(F.count("one").alias("total_affected_rows")).withColumn("affected_row_pct", pct(F.col("total_affected_rows"), total_rows))
 
 
 def first_affected(violations: DataFrame, n: int = 100) -> DataFrame:
-    return affected_rows(violations).orderBy("row_number").limit(n)
+    return affected_rows(violations).orderBy(*row_identity(violations)).limit(n)
 
 
 def worst_rows(violations: DataFrame, n: int = 20) -> DataFrame:
-    return affected_rows(violations, 3).orderBy(F.desc("issue_count"), "row_number").limit(n)
+    return affected_rows(violations, 3).orderBy(F.desc("issue_count"), *row_identity(violations)).limit(n)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import coerce
+from tablewright.operators.violations import ROW, row_identity
 from tablewright.session import written_once
 
 # Date layouts that are tried, with their display names.
@@ -367,14 +368,14 @@ def detect_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
 def validation_summary(df: DataFrame, violations: DataFrame) -> DataFrame:
     """Row totals, error and warning counts, and the overall verdict."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    per_row = violations.groupBy("row_number").agg(
+    per_row = violations.groupBy(*row_identity(violations), "level").agg(
         F.count_if(F.col("severity").isin("error", "critical")).alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
     )
     sums = per_row.agg(
         F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"),
         F.coalesce(F.sum("warnings"), F.lit(0)).alias("warning_count"),
-        F.count_if((F.col("errors") > 0) & (F.col("row_number") > 0)).alias("bad_rows"),
+        F.count_if((F.col("errors") > 0) & (F.col("level") == ROW)).alias("bad_rows"),
     )
     return sums.select(
         total.alias("total_rows"),

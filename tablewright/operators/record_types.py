@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.rules import validate
-from tablewright.operators.violations import VIOLATION_COLUMNS, explode_found, violation
+from tablewright.operators.violations import FILE, VIOLATION_COLUMNS, explode_found, violation
 from tablewright.sources.layouts import slice_fields
 
 WHOLE = "_batch"
@@ -128,7 +128,7 @@ def _of(name: str) -> Column:
 
 
 def _file_level(found: DataFrame, check: str, severity: str, field: str, value: Column, message: Column, batch, code: str | None = None, rule: str | None = None) -> DataFrame:
-    what = violation(rule or f"CT_{check}", check, severity, field, value, message, None, code or f"CT_{check.upper().replace('_', '-')}")
+    what = violation(rule or f"CT_{check}", check, severity, field, value, message, None, code or f"CT_{check.upper().replace('_', '-')}", FILE)
     return _finish(found.select(*(batch or []), F.lit(0).cast("bigint").alias("row_number"), what.alias("v")), batch)
 
 
@@ -147,7 +147,7 @@ def expect_cardinality(records: DataFrame, types: list[RecordType], batch: list[
         else:
             continue
         message = F.concat(F.lit(text), shown, F.lit("."))
-        found.append(F.when(bad, violation("CT_EXPECT", "expect_cardinality", "error", t.name, shown, message, None, code)))
+        found.append(F.when(bad, violation("CT_EXPECT", "expect_cardinality", "error", t.name, shown, message, None, code, FILE)))
     kept = [*(batch or []), F.lit(0).cast("bigint").alias("row_number")]
     return explode_found(counts, kept, F.array(*found)).select(*(batch or []), *VIOLATION_COLUMNS)
 
@@ -184,16 +184,18 @@ def header_trailer_sum(
 ) -> DataFrame:
     """A declared total against the sum of one or more detail fields.
 
-    Amounts are added as decimals, so the order of rows does not matter.
+    Amounts and totals are read as decimals, so no cent is lost in large sums
+    and the order of rows does not matter.  A declared total that is not a
+    number is a finding of its own kind of difference.
     """
     keyed, keys = _keyed(records, batch)
     kind = f"decimal(28,{scale})"
-    amounts = [F.coalesce(coerce.number(F.col(c)).try_cast(kind), F.lit(0).cast(kind)) for c in sum_of]
+    amounts = [F.coalesce(coerce.decimal(F.col(c), kind), F.lit(0).cast(kind)) for c in sum_of]
     amount = reduce(lambda a, b: a + b, amounts)
     totals = _totals(keyed, keys, batch, [F.coalesce(F.sum(F.when(_of(count_of), amount)), F.lit(0)).alias("_actual"), F.count_if(_of(record_type)).alias("_n")])
     wanted = F.col(declared).cast("string")
     rows = rows_of_groups(keyed.filter(_of(record_type)).select(*keys, declared), totals, keys, "_n")
-    found = rows.filter(F.abs(coerce.number(wanted) - F.col("_actual").cast("double")) > tolerance)
+    found = rows.filter(F.abs(coerce.decimal(wanted, "decimal(38,9)") - F.col("_actual").cast("decimal(38,9)")) > F.lit(tolerance).cast("decimal(38,9)"))
     message = F.concat(F.lit(f"'{record_type}' field '{declared}' declares sum="), wanted, F.lit(" but computed sum="), F.col("_actual").cast("string"), F.lit(f" from '{count_of}'."))
     return _file_level(found, "header_trailer_sum", severity, declared, wanted, message, batch)
 

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.violations import (
+    FILE,
     VIOLATION_COLUMNS,
     ValueCheck,
     explode_checks,
     explode_value_checks,
     literal_violations,
+    of_rows,
+    row_identity,
     violation,
 )
 
@@ -346,7 +349,7 @@ def row_check(df: DataFrame, r) -> ValueCheck:
         bad = field_is_bad(df, r)
         shown, expected, kind = r.field, _expected(r), "FIELD"
     else:
-        names = list(r.fields) if r.check == "mutually_exclusive" else [r.left, r.right]
+        names = [n for n in r.fields if n in df.columns] if r.check == "mutually_exclusive" else [r.left, r.right]
         value = F.concat_ws(" vs ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
         bad = cross_is_bad(df, r)
         shown, expected, kind = ", ".join(names), f"{names[0]} {r.check} {names[-1]}", "CROSS"
@@ -360,11 +363,13 @@ def _group_metrics(df: DataFrame, i: int, r: GroupRule, row_number: Column) -> l
         t = F.col(r.target)
         return [F.min(t).alias(f"_lo{i}"), F.max(t).alias(f"_hi{i}")]
     if r.check == "sequential":
-        s = coerce.number_of(df, r.target).cast("bigint")
+        # A fraction or a number beyond 64 bits is no sequence number: it counts as missing, so the group is bad.
+        n = coerce.number_of(df, r.target)
+        s = F.when(n == F.floor(n), n.try_cast("bigint"))
         return [F.count_distinct(s).alias(f"_d{i}"), F.min(s).alias(f"_lo{i}"), F.max(s).alias(f"_hi{i}")]
     if r.check == "group_count":
         n = coerce.number_of(df, r.target)
-        return [F.min_by(n.cast("bigint"), F.when(n.isNotNull(), row_number)).alias(f"_v{i}")]
+        return [F.min_by(n, F.when(n.isNotNull(), row_number)).alias(f"_v{i}")]
     if r.check == "group_sum":
         n = F.coalesce(coerce.number_of(df, r.target), F.lit(0.0))
         return [F.sum(n.try_cast(f"decimal(30,{r.scale})") if r.scale is not None else n).alias(f"_v{i}")]
@@ -390,6 +395,11 @@ def _group_is_bad(i: int, r: GroupRule) -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
+def _plain_number(n: Column) -> Column:
+    """A whole number without decimals, any other as it is."""
+    return F.coalesce(F.when(n == F.floor(n), n.try_cast("bigint").cast("string")), n.cast("string"))
+
+
 def _group_message(i: int, r: GroupRule, value: Column) -> Column:
     shown = F.coalesce(value, F.lit("None"))
     label = _label(r)
@@ -405,7 +415,7 @@ def _group_message(i: int, r: GroupRule, value: Column) -> Column:
         return F.concat(F.lit(f"{label}: '{r.target}' is not sequential within "), key_text, F.lit(" group"))
     if r.check == "group_count":
         return F.concat(
-            F.lit(f"{label}: expected "), F.col(f"_v{i}").cast("string"), F.lit(" rows for "), key_text,
+            F.lit(f"{label}: expected "), _plain_number(F.col(f"_v{i}")), F.lit(" rows for "), key_text,
             F.lit(" but found "), F.col("_n").cast("string"),
         )
     return F.concat(
@@ -414,27 +424,29 @@ def _group_message(i: int, r: GroupRule, value: Column) -> Column:
     )
 
 
-def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column) -> DataFrame:
+def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column, ids=(), within=()) -> DataFrame:
     """Violations of cross-row rules that share keys and scope.
 
     One aggregation serves all rules; groups that break any of them are joined
-    back to their rows once.
+    back to their rows once.  Groups never cross the columns ``within``.
     """
     first = rules[0]
     keys = list(first.keys)
+    shared = [*keys, *[c for c in within if c not in keys]]
     composite = first.check == "unique_composite"
     rows = df.filter(_scope(first.when)) if first.when is not None else df
     if not composite:
         rows = rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    targets = sorted({r.target for r in rules if r.target and r.target not in keys})
-    rows = rows.select(row_number.cast("bigint").alias("row_number"), *keys, *targets)
+    carried = [c for c in ids if c not in shared]
+    targets = sorted({r.target for r in rules if r.target and r.target not in [*shared, *carried]})
+    rows = rows.select(row_number.cast("bigint").alias("row_number"), *shared, *carried, *targets)
 
     metrics = [F.count(F.lit(1)).alias("_n")]
     for i, r in enumerate(rules):
         metrics += _group_metrics(df, i, r, F.col("row_number"))
-    groups = rows.groupBy(*keys).agg(*metrics)
+    groups = rows.groupBy(*shared).agg(*metrics)
     any_bad = reduce(lambda a, b: a | b, [_group_is_bad(i, r) for i, r in enumerate(rules)])
-    joined = rows_of_groups(rows, groups, keys, "_n", any_bad, null_safe=composite)
+    joined = rows_of_groups(rows, groups, shared, "_n", any_bad, null_safe=composite or len(shared) > len(keys))
 
     checks = []
     for i, r in enumerate(rules):
@@ -448,39 +460,50 @@ def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column)
             r.id, r.name or r.id, r.severity, shown, value, _group_message(i, r, value), None, _code(r.id, "CROSS")
         )
         checks.append((_group_is_bad(i, r), what))
-    return explode_checks(joined, F.col("row_number"), checks)
+    return explode_checks(joined, F.col("row_number"), checks, ids)
 
 
 # ------------------------------------------------------------------- entry
-def validate(df: DataFrame, rules, row_id="_row") -> DataFrame:
+def validate(df: DataFrame, rules, row_id="_row", ids=None, within=()) -> DataFrame:
     """All violations of ``rules`` in ``df``.
 
-    ``row_id`` names (or is) the column that identifies a row in the output.
-    A rule whose column does not exist yields one file-level ``info`` row with
-    row number 0 instead of silently passing.
+    ``row_id`` names (or is) the column that numbers a row in the output, and
+    ``ids`` the columns that tell rows with one number apart; by default that
+    is ``_file``, if there is one.  Cross-row rules look at all rows, or at
+    those that agree in the columns ``within``.  A rule whose column does not
+    exist yields one ``info`` finding at file level instead of silently
+    passing; on a stream, which can not carry such a row, it is an error.
     """
     row_number = F.col(row_id) if isinstance(row_id, str) else row_id
+    ids = [c for c in ("_file",) if c in df.columns and row_id != c] if ids is None else list(ids)
     active = rules.active() if isinstance(rules, RuleSet) else [r for r in rules if r.enabled]
     known = set(df.columns)
-    skipped = [r for r in active if any(n not in known for n in _columns_needed(r))]
+    skipped = [r for r in active if any(n not in known for n in _columns_needed(r)) or _nothing_to_compare(r, known)]
+    if skipped and df.isStreaming:
+        raise ValueError(f"rules without their columns on a stream: {', '.join(r.id for r in skipped)}")
     usable = [r for r in active if r not in skipped]
 
     parts = []
     row_rules = [r for r in usable if not isinstance(r, GroupRule)]
     if row_rules:
-        parts.append(explode_value_checks(df, row_number, [row_check(df, r) for r in row_rules]))
+        parts.append(explode_value_checks(df, row_number, [row_check(df, r) for r in row_rules], ids))
     shared: dict = {}
     for r in usable:
         if isinstance(r, GroupRule):
             shared.setdefault((r.keys, r.check == "unique_composite", str(r.when)), []).append(r)
-    parts += [group_violations(df, same_key, row_number) for same_key in shared.values()]
+    parts += [group_violations(df, same_key, row_number, ids, within) for same_key in shared.values()]
     if skipped or not parts:
         rows = []
         for r in skipped:
-            gone = ", ".join(n for n in _columns_needed(r) if n not in known)
-            rows.append((r.id, r.name or r.id, "info", 0, gone, None, f"rule skipped, no column {gone}", None, "SKIPPED"))
-        parts.append(literal_violations(df.sparkSession, rows))
-    return reduce(DataFrame.unionByName, parts).select(*VIOLATION_COLUMNS)
+            gone = ", ".join(n for n in _columns_needed(r) or r.fields if n not in known)
+            rows.append((r.id, r.name or r.id, "info", 0, gone, None, f"rule skipped, no column {gone}", None, "SKIPPED", FILE))
+        nameless = {c: F.lit(None).cast(df.schema[c].dataType) for c in ids}
+        parts.append(literal_violations(df.sparkSession, rows).withColumns(nameless) if ids else literal_violations(df.sparkSession, rows))
+    return reduce(DataFrame.unionByName, parts).select(*ids, *VIOLATION_COLUMNS)
+
+
+def _nothing_to_compare(r, known: set[str]) -> bool:
+    return isinstance(r, CrossFieldRule) and r.check == "mutually_exclusive" and not any(n in known for n in r.fields)
 
 
 def is_clean(df: DataFrame, rules) -> Column:
@@ -496,7 +519,7 @@ def rule_statistics(df: DataFrame, violations: DataFrame) -> DataFrame:
     violation rows is needed.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    per_row = violations.filter("row_number > 0").groupBy("row_number").agg(F.lit(1).alias("one"))
+    per_row = of_rows(violations).groupBy(*row_identity(violations)).agg(F.lit(1).alias("one"))
     affected = per_row.agg(F.count("one").alias("n")).scalar()
     rate = F.when(total > 0, F.round((total - affected) * 100.0 / total, 2)).otherwise(F.lit(100.0))
     counts = violations.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("violations"))

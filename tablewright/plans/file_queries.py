@@ -199,12 +199,75 @@ def issues(t):
     return validate(t.customer, ISSUE_RULES, "c_custkey")
 
 
-@query("S18_write_issues", f"""SELECT nullif(row_number, 0) AS source_row, row_number() OVER (ORDER BY nullif(row_number, 0) NULLS LAST, field, code, severity, message) AS index,
+@query("S18_sort_issues", f"""SELECT row_number AS source_row, row_number() OVER (ORDER BY row_number, field, code, severity, message) AS index,
  severity, message FROM ({ISSUES_SQL})""")
 def _(t):
     return sinks.sort_issues(issues(t))
 
 
+SIDECAR_SQL = """SELECT kind, CAST(row_number AS VARCHAR) AS source_row, CAST(row_number() OVER (PARTITION BY kind ORDER BY row_number, field, code) AS VARCHAR) AS index,
+ severity, {message} AS message FROM (SELECT *, CASE WHEN severity = 'error' THEN 'errors' ELSE 'warnings' END AS kind FROM ({issues}))"""
+
+
+def sidecars(t, redact):
+    """What the written files hold."""
+    folder = scratch_folder(t.spark, "issues")
+    sinks.write_issues(issues(t), folder, redact)
+    parts = [t.spark.read.csv(f"{folder}/{kind}", header=True).withColumn("kind", F.lit(kind)) for kind in ("errors", "warnings")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("S18_write_issues", SIDECAR_SQL.format(message="message", issues=ISSUES_SQL))
+def _(t):
+    return sidecars(t, False)
+
+
+@query("S18_write_redacted", SIDECAR_SQL.format(message="CASE field WHEN 'c_acctbal' THEN 'acct_positive: c_acctbal = [REDACTED]' ELSE 'segment_known: c_mktsegment = [REDACTED]' END", issues=ISSUES_SQL))
+def _(t):
+    return sidecars(t, True)
+
+
+# Several files with equal row numbers: orders by status, numbered within each.
+PARTED_SQL = """(SELECT o_orderstatus AS part, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS line, o_orderkey, o_totalprice, o_custkey FROM orders)"""
+PARTED_RULES = [FieldRule("price_cap", "o_totalprice", "<=", value=200000), FieldRule("odd_customer", "o_custkey", "<", value=100, severity="warning")]
+PARTED_ISSUES_SQL = f"""(SELECT part, line, 'price_cap (got: ' || CAST(o_totalprice AS VARCHAR) || ')' AS message FROM {PARTED_SQL} WHERE o_totalprice > 200000
+ UNION ALL SELECT part, line, 'odd_customer (got: ' || CAST(o_custkey AS VARCHAR) || ')' FROM {PARTED_SQL} WHERE o_custkey >= 100)"""
+
+
+def parted_orders(t):
+    """Orders as they would come from one file per status; row numbers start at 0 in each."""
+    rows = t.orders.select("o_orderstatus", "o_orderkey", "o_totalprice", "o_custkey")
+    numbered = number_rows(rows, ["o_orderstatus", "o_orderkey"], "_place")
+    begin = numbered.groupBy("o_orderstatus").agg(F.min("_place").alias("_first"))
+    return numbered.join(begin, "o_orderstatus").select(F.col("o_orderstatus").alias("_file"), (F.col("_place") - F.col("_first")).alias("_row"), "o_orderkey", "o_totalprice", "o_custkey")
+
+
+@query("S15_extract_error_rows_of_files", f"""SELECT part AS _file, line AS _row, o_orderkey FROM {PARTED_SQL} WHERE o_totalprice > 200000""")
+def _(t):
+    rows = parted_orders(t)
+    found = validate(rows, PARTED_RULES[:1])
+    return files.extract_error_rows(rows, found).select("_file", "_row", "o_orderkey")
+
+
+@query("S15_error_rows_with_headers", f"""SELECT part AS _file, line AS _row, o_orderkey FROM {PARTED_SQL} WHERE o_totalprice > 200000 OR line = 0""")
+def _(t):
+    rows = parted_orders(t)
+    return files.extract_error_rows(rows, validate(rows, PARTED_RULES[:1]), header_row=0).select("_file", "_row", "o_orderkey")
+
+
+@query("L09_affected_rows_of_files", f"""SELECT part AS _file, line AS row_number, count(*) AS issue_count, string_agg(message, '; ' ORDER BY message) AS messages FROM {PARTED_ISSUES_SQL} GROUP BY part, line""")
+def _(t):
+    found = lay.affected_rows(validate(parted_orders(t), PARTED_RULES))
+    return found.withColumn("messages", F.array_join("messages", "; "))
+
+
+@query("L09_affected_summary_of_files", f"""SELECT count(*) AS total_affected_rows, round(count(*)::DOUBLE * 100.0 / (SELECT count(*) FROM orders), 2) AS affected_row_pct
+ FROM (SELECT DISTINCT part, line FROM {PARTED_ISSUES_SQL})""")
+def _(t):
+    rows = parted_orders(t)
+    return lay.affected_summary(validate(rows, PARTED_RULES), t.orders.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 @query("S19_batch_expected_outputs", "SELECT 'big' AS table_name, count(*) AS rows FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'done', count(*) FROM orders WHERE o_orderstatus = 'F'")
 def _(t):
     jobs = {name: database.query_views(t.spark, sql, {"orders": t.orders}) for name, sql in (
@@ -222,7 +285,7 @@ def _(t):
 
 
 WIDE = [LayoutField(f"f{i:02d}", 1 + 10 * i, 10) for i in range(12)]
-CUT_SQL = " || ".join(f"CASE WHEN {f.end} > n AND {sum(1 for g in WIDE if g.end <= f.end)} - least(n // 10, 12) <= 8 THEN '{f.name}, ' ELSE '' END" for f in WIDE)
+CUT_SQL = " || ".join(f"CASE WHEN {f.end} > n THEN '{f.name}, ' ELSE '' END" for f in WIDE)
 
 
 @query("L01_row_length", f"""SELECT doc_id, line AS row_number, CASE WHEN length(content) < 120 THEN 'FW_LEN_002' ELSE 'FW_LEN_003' END AS issue_code,
@@ -239,8 +302,7 @@ def _(t):
     return lay.length_issue_report(lay.length_issues(lines, WIDE)).select("row_number", "actual_length", "omitted")
 
 
-@query("L02_length_diagnostics", f"""SELECT doc_id, row_number, CASE WHEN n > 120 THEN '__TRAILING_DATA__' ELSE rtrim({CUT_SQL}, ', ') ||
-   CASE WHEN 12 - n // 10 > 8 THEN ', +' || CAST(12 - n // 10 - 8 AS VARCHAR) || ' more' ELSE '' END END AS field,
+@query("L02_length_diagnostics", f"""SELECT doc_id, row_number, CASE WHEN n > 120 THEN '__TRAILING_DATA__' ELSE rtrim({CUT_SQL}, ', ') END AS field,
  CASE WHEN n > 120 THEN substring(content, 121) END AS trailing
 FROM (SELECT doc_id, line AS row_number, content, length(content) AS n FROM {LINES_SQL}) WHERE n <> 120""")
 def _(t):
@@ -390,18 +452,18 @@ def _(t):
 
 
 @query("L09_affected_summary", f"""SELECT count(DISTINCT row_number) AS total_affected_rows, round(count(DISTINCT row_number)::DOUBLE * 100.0 / (SELECT count(*) FROM customer), 2) AS affected_row_pct
- FROM ({ISSUES_SQL}) WHERE row_number > 0""")
+ FROM ({ISSUES_SQL})""")
 def _(t):
     return lay.affected_summary(issues(t), t.customer.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-@query("L09_first_affected", f"""SELECT row_number, count(*) AS issue_count, string_agg(message, '; ' ORDER BY message) AS messages FROM ({ISSUES_SQL}) WHERE row_number > 0
+@query("L09_first_affected", f"""SELECT row_number, count(*) AS issue_count, string_agg(message, '; ' ORDER BY message) AS messages FROM ({ISSUES_SQL})
  GROUP BY row_number ORDER BY row_number LIMIT 100""")
 def _(t):
     return lay.first_affected(issues(t)).withColumn("messages", F.array_join("messages", "; "))
 
 
-@query("L09_worst_rows", f"""SELECT row_number, count(*) AS issue_count FROM ({ISSUES_SQL}) WHERE row_number > 0
+@query("L09_worst_rows", f"""SELECT row_number, count(*) AS issue_count FROM ({ISSUES_SQL})
  GROUP BY row_number ORDER BY issue_count DESC, row_number LIMIT 20""")
 def _(t):
     return lay.worst_rows(issues(t)).select("row_number", "issue_count")

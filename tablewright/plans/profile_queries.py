@@ -205,7 +205,7 @@ WITH e AS (SELECT c_custkey, 'error' AS s FROM customer WHERE NOT coalesce(c_acc
  UNION ALL SELECT c_custkey, 'warning' FROM customer WHERE c_mktsegment <> 'BUILDING'
  UNION ALL SELECT c_custkey, 'error' FROM customer WHERE NOT c_nationkey BETWEEN 2 AND 22)
 SELECT (SELECT count(*) FROM customer) AS total_rows,
- (SELECT count(*) FROM customer) - (SELECT count(DISTINCT c_custkey) FROM e WHERE s = 'error' AND c_custkey > 0) AS valid_rows,
+ (SELECT count(*) FROM customer) - (SELECT count(DISTINCT c_custkey) FROM e WHERE s = 'error') AS valid_rows,
  (SELECT count(*) FROM e WHERE s = 'error') AS error_count, (SELECT count(*) FROM e WHERE s = 'warning') AS warning_count,
  (SELECT count(*) FROM e WHERE s = 'error') = 0 AS valid""")
 def _(t):

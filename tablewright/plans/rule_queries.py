@@ -58,7 +58,7 @@ WITH c AS (SELECT c_custkey, 'acct_positive' AS rule_id, 'error' AS severity FRO
   UNION ALL SELECT c_custkey, 'segment_known', 'warning' FROM customer
     WHERE NOT coalesce(trim(c_mktsegment) IN ('BUILDING','MACHINERY','AUTOMOBILE'), false))
 SELECT rule_id, severity, count(*) AS violations,
-  round(((SELECT count(*) FROM customer) - (SELECT count(DISTINCT c_custkey) FROM c WHERE c_custkey > 0)) * 100.0
+  round(((SELECT count(*) FROM customer) - (SELECT count(DISTINCT c_custkey) FROM c)) * 100.0
         / (SELECT count(*) FROM customer), 2)::DOUBLE AS compliance_rate
 FROM c GROUP BY rule_id, severity""")
 def _(t):

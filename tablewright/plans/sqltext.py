@@ -23,7 +23,7 @@ def violation_sql(
     return f"""SELECT '{rule_id}' AS rule_id, '{rule_id}' AS rule_name, '{severity}' AS severity,
         CAST({row} AS BIGINT) AS row_number, {sql_text(field)} AS field, {value} AS value,
         {message} AS message, {sql_text(expected)} AS expected,
-        '{code or 'BR_' + rule_id.upper() + '_FIELD'}' AS issue_code
+        '{code or 'BR_' + rule_id.upper() + '_FIELD'}' AS issue_code, 'row' AS level
         FROM {source} WHERE {bad}"""
 
 

@@ -14,10 +14,17 @@ from tablewright.operators.mapping import (
     apply_mapping,
     map_columns,
     mask_columns,
+    mask_delimited,
+    mask_fixed_width,
     transform_by_record_type,
     transform_rows,
 )
+from tablewright.operators.rules import FieldRule, GroupRule, validate
+from tablewright.operators.violations import redact_issues
+from tablewright.plans.file_queries import CUSTOMER_LAYOUT
 from tablewright.plans.registry import query
+from tablewright.session import scratch_folder
+from tablewright.sources import layouts
 from tablewright.sources.rows import number_rows
 
 
@@ -200,51 +207,94 @@ def _(t):
     return mask_columns(t.customer.select("c_custkey", "c_name"), {"c_name": {"strategy": "preserve"}})
 
 
-@query("K02_preserve_format")
+# The letters that are drawn can not be said in SQL; their shape and that equal values stay equal can.
+EQUAL_STAYS_EQUAL = """(SELECT count(*) FROM (SELECT {value} FROM customer GROUP BY {value})) AS distinct_values, CAST(1 AS BIGINT) AS results_per_value"""
+
+
+def results_per_value(rows):
+    """Number of distinct inputs, and of results that the busiest of them has."""
+    return rows.groupBy("value").agg(F.count_distinct("result").alias("n")).agg(F.count(F.lit(1)).alias("distinct_values"), F.max("n").alias("results_per_value"))
+
+
+@query("K02_preserve_format", """SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM customer""")
 def _(t):
-    return mask_columns(t.customer.select("c_custkey", "c_name"), {"c_name": {"strategy": "preserve_format"}}, seed=7)
+    masked = mask_columns(t.customer.select("c_custkey", "c_name"), {"c_name": {"strategy": "preserve_format"}}, seed=7)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("c_name", "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
+    return masked.select("c_custkey", shape.alias("shape"))
 
 
-@query("K02_preserve_format_shape", """SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM customer""")
+@query("K02_preserve_format_repeats", f"SELECT {EQUAL_STAYS_EQUAL.format(value='c_mktsegment')}")
 def _(t):
-    masked = F.regexp_replace(masking.preserve_format(F.col("c_name"), 7), "[A-Z]", "A")
-    return t.customer.select("c_custkey", F.regexp_replace(F.regexp_replace(masked, "[a-z]", "a"), "[0-9]", "9").alias("shape"))
+    return results_per_value(t.customer.select(F.col("c_mktsegment").alias("value"), masking.preserve_format(F.col("c_mktsegment"), 7).alias("result")))
 
 
 column_query("K03_deterministic_hash", "customer", "c_custkey", "left(repeat(upper(sha256(c_name)), 2), 70)", lambda: masking.deterministic_hash(F.col("c_name"), 70))
 column_query("K03_hash_same_length", "customer", "c_custkey", "left(upper(sha256(c_name)), length(c_name))", lambda: masking.deterministic_hash(F.col("c_name")))
 
 
-@query("K04_random_range")
+@query("K04_random_range", "SELECT c_custkey, true AS in_range, true AS whole FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", masking.random_range(F.col("c_name"), 10, 99, seed=3).alias("result"))
+    masked = mask_columns(t.customer.select("c_custkey", "c_name"), {"c_name": {"strategy": "random_range", "min": 10, "max": 99}}, seed=3)
+    return masked.select("c_custkey", F.col("c_name").cast("bigint").between(10, 99).alias("in_range"), F.col("c_name").rlike("^[0-9]+$").alias("whole"))
 
 
-@query("K04_random_range_bounds", "SELECT count(*) AS in_range FROM customer")
+@query("K04_random_range_repeats", f"SELECT {EQUAL_STAYS_EQUAL.format(value='c_mktsegment')}")
 def _(t):
-    n = masking.random_range(F.col("c_name"), 10, 99, seed=3).cast("bigint")
-    return t.customer.agg(F.count_if(n.between(10, 99)).alias("in_range"))
+    return results_per_value(t.customer.select(F.col("c_mktsegment").alias("value"), masking.random_range(F.col("c_mktsegment"), 10, 99, seed=3).alias("result")))
 
 
 column_query("K05_redact", "customer", "c_custkey", "repeat(' ', length(c_name))", lambda: masking.redact(F.col("c_name")))
 column_query("K05_redact_delimited", "customer", "c_custkey", "''", lambda: masking.redact(F.col("c_name"), fixed_width=False))
 
 
-@query("K06_fake_name")
+@query("K06_fake_name", "SELECT c_custkey, true AS known FROM customer")
+def _(t):
+    # Replacement names are the caller's: here those of the nations.
+    names = [r.n_name for r in t.nation.select("n_name").distinct().orderBy("n_name").collect()]
+    masked = mask_columns(t.customer.select("c_custkey", "c_name"), {"c_name": {"strategy": "fake_name", "names": names}}, seed=3)
+    return masked.join(t.nation.select(F.col("n_name").alias("c_name"), F.lit(True).alias("hit")).distinct(), "c_name", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("known"))
+
+
+@query("K06_fake_name_repeats", f"SELECT {EQUAL_STAYS_EQUAL.format(value='c_mktsegment')}")
 def _(t):
-    return t.customer.select("c_custkey", masking.fake_name(F.col("c_name"), seed=3).alias("result"))
+    return results_per_value(t.customer.select(F.col("c_mktsegment").alias("value"), masking.fake_name(F.col("c_mktsegment"), ["NORTH", "SOUTH", "EAST"], seed=3).alias("result")))
+
+
+# Files of customers, masked as they are: every line keeps its length or its number of fields.
+MASK_SPEC = {"c_name": {"strategy": "redact"}, "c_acctbal": {"strategy": "deterministic_hash"}}
 
 
-@query("K06_fake_name_membership", "SELECT count(*) AS members FROM customer")
+@query("K07_mask_fixed_width", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 57 AS length, repeat(' ', 20) AS name,
+ left(upper(sha256(rpad(left(CAST(c_acctbal AS VARCHAR), 12), 12, ' '))), 12) AS balance, rpad(left(c_mktsegment, 12), 12, ' ') AS segment FROM customer""")
 def _(t):
-    return t.customer.agg(F.count_if(masking.fake_name(F.col("c_name"), seed=3).isin(*masking.FAKE_NAMES)).alias("members"))
+    folder = scratch_folder(t.spark, "mask")
+    layouts.write_fixed_width(t.customer, CUSTOMER_LAYOUT, f"{folder}/in")
+    mask_fixed_width(t.spark.read.text(f"{folder}/in"), CUSTOMER_LAYOUT, MASK_SPEC).write.text(f"{folder}/out")
+    v = F.col("value")
+    return t.spark.read.text(f"{folder}/out").select(
+        F.rtrim(F.substring(v, 1, 10)).alias("c_custkey"), F.char_length(v).alias("length"), F.substring(v, 11, 20).alias("name"),
+        F.substring(v, 34, 12).alias("balance"), F.substring(v, 46, 12).alias("segment"),
+    )
 
 
-column_query("K09_redact_messages", "orders", "o_orderkey",
-             """CASE WHEN o_orderkey % 4 = 0 THEN 'Field value [REDACTED] failed regex' WHEN o_orderkey % 4 = 1 THEN 'value [REDACTED] is invalid here'
- WHEN o_orderkey % 4 = 2 THEN 'wanted F, got [REDACTED]' ELSE 'wanted F, got [REDACTED] instead' END""",
-             lambda: masking.redact_message(
-                 F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Field value '"), "o_orderpriority", F.lit("' failed regex")))
-                 .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("value "), "o_orderstatus", F.lit(" is invalid here")))
-                 .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit('wanted F, got "'), "o_orderstatus", F.lit('"')))
-                 .otherwise(F.concat(F.lit("wanted F, got "), "o_orderstatus", F.lit(" instead")))))
+@query("K08_mask_delimited", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 4 AS fields, '' AS name,
+ left(upper(sha256(CAST(c_acctbal AS VARCHAR))), length(CAST(c_acctbal AS VARCHAR))) AS balance, c_mktsegment AS segment FROM customer""")
+def _(t):
+    folder = scratch_folder(t.spark, "mask")
+    rows = t.customer.select(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"), "c_mktsegment").alias("value"))
+    rows.write.text(f"{folder}/in")
+    mask_delimited(t.spark.read.text(f"{folder}/in"), ["c_custkey", "c_name", "c_acctbal"], MASK_SPEC).write.text(f"{folder}/out")
+    cells = F.split("value", r"\|", -1)
+    return t.spark.read.text(f"{folder}/out").select(cells[0].alias("c_custkey"), F.size(cells).alias("fields"), cells[1].alias("name"), cells[2].alias("balance"), cells[3].alias("segment"))
+
+
+@query("K09_redact_messages", """SELECT CAST(c_custkey AS BIGINT) AS row_number, 'acct_positive: c_acctbal = [REDACTED]' AS message, '[REDACTED]' AS value FROM customer WHERE NOT c_acctbal > 0
+ UNION ALL SELECT CAST(c_custkey AS BIGINT), 'one_phone: c_nationkey = [REDACTED]', '[REDACTED]' FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT CAST(c_custkey AS BIGINT), 'same_segment: c_mktsegment = [REDACTED]', '[REDACTED]' FROM customer
+  WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING min(c_mktsegment) <> max(c_mktsegment))""")
+def _(t):
+    rules = [
+        FieldRule("acct_positive", "c_acctbal", ">", value=0), GroupRule("one_phone", "unique", ("c_nationkey",)),
+        GroupRule("same_segment", "consistent", ("c_nationkey",), target="c_mktsegment"),
+    ]
+    return redact_issues(validate(t.customer, rules, "c_custkey")).select("row_number", "message", "value")

@@ -8,11 +8,13 @@ import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.operators.violations import of_rows, row_identity
 from tablewright.sources.rows import number_file_rows
 
 LARGE_FILE = 1024**3
@@ -146,13 +148,18 @@ def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str
 def extract_error_rows(rows: DataFrame, violations: DataFrame, row_id="_row", header_row: int | None = None) -> DataFrame:
     """The original rows that have at least one violation, each once.
 
-    ``header_row`` keeps that row number as well (the header of a delimited
-    file).  Violations are reduced to row numbers before the join.
+    Rows and violations meet on the row number and on every id column that the
+    violations carry (such as ``_file``), null-safe.  ``header_row`` keeps that
+    row number of every file as well (the header of a delimited file).
+    Violations are reduced to these columns before the join.
     """
     number: Column = F.col(row_id) if isinstance(row_id, str) else row_id
-    bad = violations.filter("row_number > 0").groupBy("row_number").agg(F.lit(1).alias("_bad"))
+    ids = row_identity(violations)
+    bad = of_rows(violations).groupBy(*ids).agg(F.lit(1).alias("_bad"))
+    bad = bad.select(*[F.col(c).alias(f"_bad_{c}") for c in ids])
     numbered = rows.withColumn("_number", number.cast("bigint"))
-    found = numbered.join(bad, numbered["_number"] == bad["row_number"], "left_semi")
+    same = [F.col("_number" if c == "row_number" else c).eqNullSafe(F.col(f"_bad_{c}")) for c in ids]
+    found = numbered.join(bad, reduce(lambda a, b: a & b, same), "left_semi")
     if header_row is not None:
         header = numbered.filter(F.col("_number") == header_row)
         found = header.unionByName(found.filter(F.col("_number") != header_row))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewright.functions import masking
+from tablewright.operators.violations import ROW, redact_issues, row_identity
 from tablewright.sources.delimited import write_delimited
 from tablewright.sources.rows import number_rows
 
@@ -31,14 +31,15 @@ def batch_expected_outputs(jobs: list[tuple[str, DataFrame]], folder: str, sep:
 def sort_issues(violations: DataFrame, redact: bool = False) -> DataFrame:
     """Issues in reading order with a running index, values hidden on request.
 
-    File-level issues come last.  The index comes from a distributed sort.
+    Issues of whole files come last.  Id columns of the violations (such as
+    ``_file``) sort first and are kept.  The index comes from a distributed
+    sort.
     """
-    message = masking.redact_message(F.col("message")) if redact else F.col("message")
-    rows = violations.select(
-        F.nullif(F.col("row_number"), F.lit(0)).alias("source_row"), "field", "issue_code", "severity", message.alias("message")
-    )
-    order = [F.col("source_row").asc_nulls_last(), F.coalesce("field", F.lit("")), "issue_code", "severity", "message"]
-    return number_rows(rows, order, "index").select("source_row", "index", "severity", "message")
+    shown = redact_issues(violations) if redact else violations
+    ids = row_identity(violations)[:-1]
+    rows = shown.select(*ids, F.when(F.col("level") == ROW, F.col("row_number")).alias("source_row"), "field", "issue_code", "severity", "message")
+    order = [*ids, F.col("source_row").asc_nulls_last(), F.coalesce("field", F.lit("")), "issue_code", "severity", "message"]
+    return number_rows(rows, order, "index").select(*ids, "source_row", "index", "severity", "message")
 
 
 def write_issues(violations: DataFrame, folder: str, redact: bool = False) -> None:

@@ -119,3 +119,68 @@ def test_hot_key_next_to_many_small_keys(spark):
     assert counts == {"u": n, "c": n}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Cartesian" not in plan
+
+
+def test_bad_numbers_do_not_stop_the_job(spark):
+    rows = [(1, "a", "1e30", "1e30"), (2, "a", "2", "2"), (3, "b", "1", "2"), (4, "b", "2.7", None), (5, "c", "1", "2.7"), (6, "d", "1", "1")]
+    df = spark.createDataFrame(rows, "_row long, k string, seq string, declared string")
+    found = validate(df, [GroupRule("s", "sequential", ("k",), target="seq"), GroupRule("n", "group_count", ("k",), target="declared")]).collect()
+    assert sorted((r.rule_id, r.row_number) for r in found) == [("n", 1), ("n", 2), ("n", 5), ("s", 1), ("s", 2), ("s", 3), ("s", 4)]
+    assert any("expected 2.7 rows" in r.message for r in found)
+
+
+def test_absent_columns_are_left_out(spark):
+    df = spark.createDataFrame([(1, "x", "y"), (2, "x", None)], "_row long, a string, b string")
+    found = validate(df, [CrossFieldRule("one", "mutually_exclusive", fields=("a", "b", "gone"))]).collect()
+    assert [(r.row_number, r.field, r.level) for r in found] == [(1, "a, b", "row")]
+    gone = validate(df, [CrossFieldRule("none", "mutually_exclusive", fields=("p", "q"))]).collect()
+    assert [(r.severity, r.level, r.issue_code) for r in gone] == [("info", "file", "SKIPPED")]
+
+
+def test_rows_are_known_by_file_and_number(spark):
+    from tablewright.operators.layout import affected_rows
+    from tablewright.operators.profile import validation_summary
+    from tablewright.operators.rules import rule_statistics
+    from tablewright.sources.files import extract_error_rows
+
+    rows = [("a", 0, 5), ("a", 1, 50), ("b", 0, 50), ("b", 1, 5), (None, -1, 50)]
+    df = spark.createDataFrame(rows, "_file string, _row long, n int")
+    found = validate(df, [FieldRule("small", "n", "<", value=10), FieldRule("lost", "gone", "not_null")])
+    bad = {("a", 1), ("b", 0), (None, -1)}
+    assert {(r["_file"], r["_row"]) for r in extract_error_rows(df, found).collect()} == bad
+    assert {(r["_file"], r["row_number"]) for r in affected_rows(found).collect()} == bad
+    assert {r.compliance_rate for r in rule_statistics(df, found).collect()} == {40.0}
+    assert validation_summary(df, found).first().valid_rows == 2
+
+
+def test_groups_within_a_file(spark):
+    df = spark.createDataFrame([("a", 1, "k"), ("b", 1, "k"), ("b", 2, "k"), (None, 1, "k")], "_file string, _row long, key string")
+    rule = [GroupRule("one", "unique", ("key",))]
+    assert validate(df, rule).count() == 4
+    assert {(r["_file"], r["row_number"]) for r in validate(df, rule, within=("_file",)).collect()} == {("b", 1), ("b", 2)}
+
+
+def test_redaction_leaves_no_value(spark):
+    from tablewright.sources.sinks import sort_issues
+
+    df = spark.createDataFrame([(1, "SSN123", "x1"), (2, "SSN123", "x2")], "_row long, ssn string, other string")
+    rules = [
+        FieldRule("n", "ssn", "numeric"), FieldRule("v", "ssn", "in", values=("A",)), GroupRule("u", "unique", ("ssn",)),
+        GroupRule("c", "unique_composite", ("ssn",)), GroupRule("s", "consistent", ("ssn",), target="other"),
+        GroupRule("q", "sequential", ("ssn",), target="other"), CrossFieldRule("x", "==", left="ssn", right="other", compare_as="string"),
+    ]
+    found = validate(df, rules)
+    assert found.count() == 14
+    for r in sort_issues(found, redact=True).collect():
+        assert not any(v in str(r) for v in ("SSN123", "x1", "x2")) and "[REDACTED]" in r.message
+
+
+def test_a_stream_refuses_rules_without_columns(spark, tmp_path):
+    import pytest
+
+    from tablewright.streaming.watch import stream_violations
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="gone"):
+        stream_violations(stream, [FieldRule("gone", "absent", "not_null")], "id")
