@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append
+from tablewright.llm.common import append, by_slices
 
 # Fixed value: the pre-tokenizer's pattern of the vocabulary files.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-CACHED_WORDS = 250_000
-CACHED_PAIRS = 600_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 250_000
 CACHED_LENGTH = 48
 
 
@@ -59,13 +59,11 @@ class ByteBPE:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int, int]] = {}
+        self.parts = parts = {}
         for r, pair in enumerate(loaded["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[left], vocab[right]] = r
             parts[vocab[left + right]] = (vocab[left], vocab[right], r)
-        self.right_spine = {i: self._spine(i, parts, 1) for i in vocab.values()}
-        self.left_spine = {i: self._spine(i, parts, 0) for i in vocab.values()}
         self.automaton = ahocorasick.Automaton()
         for token, raw in as_bytes.items():
             self.automaton.add_word(raw.decode("latin-1"), vocab[token])
@@ -77,10 +75,9 @@ class ByteBPE:
         self.older: dict[str, tuple[int, ...]] = {}
         self.tested: dict[int, bool] = {}
 
-    @staticmethod
-    def _spine(token: int, parts: dict, side: int) -> list[tuple[int, int]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Pieces at one edge of a token, each with the rank of the merge that consumes it."""
-        found, ends = [(token, NEVER)], NEVER
+        found, parts = [(token, NEVER)], self.parts
         while token in parts:
             token, ends = parts[token][side], parts[token][2]
             found.append((token, ends))
@@ -88,10 +85,11 @@ class ByteBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         rank = self.rank.get
+        touching = self._spine(right, 0)
         fits = not any(
             rank((a, b), NEVER) < a_ends and rank((a, b), NEVER) <= b_ends
-            for a, a_ends in self.right_spine[left]
-            for b, b_ends in self.left_spine[right]
+            for a, a_ends in self._spine(left, 1)
+            for b, b_ends in touching
         )
         if len(self.tested) >= CACHED_PAIRS:
             self.tested.clear()
@@ -209,10 +207,14 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def coded(texts: pa.Array) -> pa.Array:
         bpe = load(spec.value)
-        all_ids = [bpe.encode(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array(all_ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, all_ids), pa.string())], ["ids", "decoded"]
-        )
+
+        def some(part: list) -> pa.Array:
+            all_ids = [bpe.encode(t) for t in part]
+            return pa.StructArray.from_arrays(
+                [pa.array(all_ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, all_ids), pa.string())], ["ids", "decoded"]
+            )
+
+        return by_slices(some)(texts)
 
     both = append(df, _coded=coded(F.col(text).cast("string")))
     return append(both, **{ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")

@@ -40,6 +40,17 @@ def append(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def by_slices(make: Callable[[list], pa.Array], rows: int = 400) -> Callable[[pa.Array], pa.Array]:
+    """Apply ``make`` to slices of a column, so that Python objects exist for a few rows at a time only."""
+
+    def run(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return make([])
+        return pa.concat_arrays([make(column.slice(at, rows).to_pylist()) for at in range(0, len(column), rows)])
+
+    return run
+
+
 def in_pieces(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int):
     """Feed ``run`` with batches of at most ``rows`` rows, to bound what a batch holds."""
 

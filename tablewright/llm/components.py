@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewright.session import written_once
+from tablewright.session import discard, written_once
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written_once(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        seen = Observation()
+        stars = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        used, links = links, written_once(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        discard(used)
+        if seen.get == before:
             break
-        before = now
+        before = seen.get
     return links.select(F.col("u").alias("k"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("k"), F.col("v").alias("label")).distinct())

@@ -17,9 +17,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append
+from tablewright.llm.common import append, by_slices
 
-SIZE = 1 << 11
+BITS = 10
+SIZE = 1 << BITS
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -32,7 +33,7 @@ def profile(text: str) -> np.ndarray:
     counts = np.zeros(SIZE)
     for n, grams in enumerate((codes, two, three)):
         mixed = (grams + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        counts += np.bincount((mixed >> np.uint64(53)).astype(np.int64), minlength=SIZE)
+        counts += np.bincount((mixed >> np.uint64(64 - BITS)).astype(np.int64), minlength=SIZE)
     root = np.sqrt(counts)
     return (root / np.linalg.norm(root)).astype(np.float32)
 
@@ -140,7 +141,7 @@ def identify(df: DataFrame, learn_from: Column | None = None, text: str = "text"
 
         @F.arrow_udf("array<float>")
         def profiles(texts: pa.Array) -> pa.Array:
-            return pa.array([profile(t) if _LETTER.search(t) else None for t in texts.to_pylist()], pa.list_(pa.float32()))
+            return by_slices(lambda part: pa.array([profile(t) if _LETTER.search(t) else None for t in part], pa.list_(pa.float32())))(texts)
 
         # Copies share a hash: one row per text keeps a drawn group of copies from filling the sample.
         once = drawn.groupBy(F.xxhash64("_t").alias("_h"), "_l").agg(F.any_value("_t").alias("_t"))
@@ -151,8 +152,11 @@ def identify(df: DataFrame, learn_from: Column | None = None, text: str = "text"
 
     @F.arrow_udf("struct<l:string,s:double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        found = [shared.value.predict(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["l", "s"])
+        def some(part: list) -> pa.Array:
+            found = [shared.value.predict(t) for t in part]
+            return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["l", "s"])
+
+        return by_slices(some)(texts)
 
     both = append(df, _lang=predicted(F.col(text).cast("string")))
     return append(both, **{name: F.col("_lang.l"), score: F.col("_lang.s")}).drop("_lang")

@@ -33,9 +33,10 @@ from tablewright.session import written_once
 
 FUNCTIONS = 64
 TREES = 12
-LEAF = 256
+LEAF = 2048
 DEPTH = 8
-BLOCK = 1000
+BLOCK = 3000
+ALIKE = 58
 BLOCK_SHINGLES = 1_500_000
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +55,7 @@ def shingles_of(text: str | None, words: int) -> np.ndarray:
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_known) > 400_000:
+    if len(_known) > 150_000:
         _known.clear()
     codes = np.empty(len(found), np.uint64)
     for i, w in enumerate(found):
@@ -108,22 +109,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield key, held
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
@@ -137,11 +122,15 @@ def _compare_nodes(least: int) -> Callable:
             order = np.argsort(rows["k"], kind="stable")
             ks = [rows["k"][i] for i in order]
             sketches = np.stack([np.frombuffer(rows["sketch"][i], np.uint32) for i in order])
-            union = Union(len(ks))
+            label = np.arange(len(ks))
             for i in range(1, len(ks)):
-                for j in np.flatnonzero((sketches[:i] == sketches[i]).sum(1) >= least).tolist():
-                    if union.join(i, j):
-                        out.append((ks[i], ks[j]))
+                near = label[:i][(sketches[:i] == sketches[i]).sum(1) >= least]
+                if len(near):
+                    # One edge to each component that i touches; they become one.
+                    met = np.unique(near)
+                    out.extend((ks[i], ks[j]) for j in met.tolist())
+                    label[: i + 1][np.isin(label[: i + 1], met)] = met[0]
+                    label[i] = met[0]
             if len(out) > 5000:
                 yield _edges(out)
                 out = []
@@ -171,8 +160,31 @@ def _branch(level: int, percent: int) -> Callable:
     return run
 
 
+def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Number of functions whose minwise values agree."""
+    left = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+    right = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+    return pa.array((left == right).sum(1).astype(np.int32))
+
+
+def _around_pivots(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The classes of large nodes with the pivot of their node and their agreement with it."""
+    chosen = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "k"), F.col("k").alias("k"))).getField("k").alias("pivot"))
+    pivots = chosen.join(sketches.withColumnsRenamed({"k": "pivot", "sketch": "other"}), "pivot")
+    both = large.select("node", "k").join(sketches, "k").join(pivots, "node")
+    return written_once(both.select("node", "k", "pivot", F.arrow_udf(_agreement, "int")("sketch", "other").alias("agree")))
+
+
 def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges whose components hold every pair of classes that the trees keep together."""
+    """Edges whose components hold every pair of classes that the trees keep together.
+
+    A large node is first compared with one of its classes, its pivot.  If all
+    its classes are near the pivot, they are one cluster and the node is
+    finished; so a group of thousands of copies does not branch to the end.
+    Otherwise its classes branch again, but for those that all but equal the
+    pivot: what is near them is near the pivot, or meets them in other trees.
+    """
+    least = least_agreement(percent)
     sketches = classes.select("k", "sketch")
     rows = classes.select(F.explode("roots").alias("node"), "k")
     found = None
@@ -180,20 +192,27 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         placed = written_once(rows.join(sizes, "node"))
         small = placed.where(F.col("size") <= LEAF).join(sketches, "k").select("node", "k", "sketch")
-        links = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes(least_agreement(percent)), "a long, b long")
+        links = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes(least), "a long, b long")
         found = links if found is None else found.unionByName(links)
         large = placed.where(F.col("size") > LEAF)
         if large.isEmpty():
             return found
+        judged = _around_pivots(large, sketches)
+        found = found.unionByName(judged.where(F.col("agree") >= least).select(F.col("k").alias("a"), F.col("pivot").alias("b")))
+        left = judged.groupBy("node").agg(F.count_if(F.col("agree") < least).alias("far")).where("far > 0")
+        going = judged.where(F.col("agree") < ALIKE).join(left, "node").select("node", "k")
         if level < DEPTH - 1:
-            rows = large.select("node", "k").join(sketches, "k").mapInArrow(_branch(level, percent), "node long, k long")
+            rows = going.join(sketches, "k").mapInArrow(_branch(level, percent), "node long, k long")
     # Classes that stay together all the way down are much alike: one cluster, compared in blocks later.
-    least = large.groupBy("node").agg(F.min("k").alias("b"))
-    return found.unionByName(large.join(least, "node").select(F.col("k").alias("a"), "b"))
+    first = going.groupBy("node").agg(F.min("k").alias("b"))
+    return found.unionByName(going.join(first, "node").select(F.col("k").alias("a"), "b"))
+
 
+def _confirm(words: int, percent: int, whole: bool) -> Callable:
+    """Links in each group of classes that join different components, on full sets; ``side`` 0 and 1 are only compared with each other.
 
-def _confirm(words: int, percent: int) -> Callable:
-    """Links in each group of classes that join different components, on full sets; ``side`` 0 and 1 are only compared with each other."""
+    A group that is a ``whole`` cluster gives every class with the first of its component.
+    """
     least = least_agreement(percent)
 
     def run(batches):
@@ -202,26 +221,29 @@ def _confirm(words: int, percent: int) -> Callable:
             ks, sides, sizes = [rows["k"][i] for i in order], np.array([rows["side"][i] for i in order]), np.array([rows["n"][i] for i in order])
             sets = [shingles_of(rows["t"][i], words) for i in order]
             sketches = np.stack([np.frombuffer(rows["sketch"][i], np.uint32) for i in order])
-            union, first = Union(len(ks)), {}
-            for i, label in enumerate(rows["label"][i] for i in order):
-                union.join(i, first.setdefault(label, i))
+            first: dict[int, int] = {}
+            label = np.array([first.setdefault(rows["label"][i], n) for n, i in enumerate(order)])
             out = []
             for i in range(1, len(ks)):
                 near = (sketches[:i] == sketches[i]).sum(1) >= least
                 near &= (100 * sizes[:i] >= percent * sizes[i]) & ((sides[:i] != sides[i]) | (sides[i] < 0))
-                for j in np.flatnonzero(near)[::-1].tolist():
-                    if union.root(i) != union.root(j) and linked(sets[i], sets[j], percent):
-                        union.join(i, j)
+                open_ = np.flatnonzero(near)
+                while len(open_ := open_[label[open_] != label[i]]):
+                    j, open_ = int(open_[-1]), open_[:-1]
+                    if linked(sets[i], sets[j], percent):
                         out.append((ks[i], ks[j]))
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+            if whole:
+                out = [(k, ks[label[i]]) for i, k in enumerate(ks)]
             if out:
                 yield _edges(out)
 
     return run
 
 
-def _confirmed(tasks: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(tasks: DataFrame, words: int, percent: int, whole: bool = False) -> DataFrame:
     dealt = tasks.select("task", "side", "k", "n", "label", "sketch", "t").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(in_pieces(_confirm(words, percent), 1000), "a long, b long")
+    return dealt.mapInArrow(in_pieces(_confirm(words, percent, whole), 1000), "a long, b long")
 
 
 def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,8 +314,8 @@ def component_labels(df: DataFrame, classes: DataFrame, text: str, words: int, p
     # A single pair of very long documents fits as well: a document is never split.
     fits = fits | (F.col("c") == 2)
     few = held.join(sizes.where(fits).select("cluster"), "cluster")
-    small = _confirmed(few.select(F.col("cluster").alias("task"), F.lit(-1).alias("side"), "k", "n", F.col("k").alias("label"), "sketch", "t"), words, percent)
-    labels = connected_components(small)
+    small = _confirmed(few.select(F.col("cluster").alias("task"), F.lit(-1).alias("side"), "k", "n", F.col("k").alias("label"), "sketch", "t"), words, percent, whole=True)
+    labels = small.select(F.col("a").alias("k"), F.col("b").alias("label"))
     many = sizes.where(~fits).select("cluster")
     if not many.isEmpty():
         labels = labels.unionByName(_large_clusters(written_once(held.join(many, "cluster")), words, percent))

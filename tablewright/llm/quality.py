@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append, ascii_lower, in_pieces, words_of
+from tablewright.llm.common import append, ascii_lower, by_slices, in_pieces, words_of
 
 BUCKETS = 1 << 14
 DIM = 32
@@ -165,7 +165,7 @@ def score_quality(df: DataFrame, labels: DataFrame, learn_from: Column, text: st
 
     @F.arrow_udf("array<float>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([pooled(t, *model.value) for t in texts.to_pylist()], pa.list_(pa.float32()))
+        return by_slices(lambda part: pa.array([pooled(t, *model.value) for t in part], pa.list_(pa.float32())))(texts)
 
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.min(label) > 0).cast("int").alias("_y")).where(learn_from)
     share = min(1.0, sample_rows / max(1, known.count()))
@@ -180,7 +180,10 @@ def score_quality(df: DataFrame, labels: DataFrame, learn_from: Column, text: st
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        x = [pooled(t, *model.value) for t in texts.to_pylist()]
-        return pa.array(shared.value.probability(np.array(x).reshape(-1, 2 * DIM).astype(np.float64)), pa.float64())
+        def some(part: list) -> pa.Array:
+            x = np.array([pooled(t, *model.value) for t in part]).reshape(-1, 2 * DIM).astype(np.float64)
+            return pa.array(shared.value.probability(x), pa.float64())
+
+        return by_slices(some)(texts)
 
     return append(df, **{name: scored(F.col(text).cast("string"))})

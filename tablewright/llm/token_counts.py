@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import CACHED_LENGTH, CACHED_WORDS, PRETOKEN, load, read_spec
-from tablewright.llm.common import append
+from tablewright.llm.common import append, by_slices
 
 
 class LongestMatch:
@@ -107,6 +107,6 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", name: str = "n_to
     @F.arrow_udf("long")
     def counted(texts: pa.Array) -> pa.Array:
         matcher = automaton(spec.value)
-        return pa.array(map(matcher.of_text, texts.to_pylist()), pa.int64())
+        return by_slices(lambda part: pa.array(map(matcher.of_text, part), pa.int64()))(texts)
 
     return append(df, **{name: counted(F.col(text).cast("string"))})
