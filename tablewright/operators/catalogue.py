@@ -186,18 +186,39 @@ def observed_lengths(df: DataFrame, max_lengths: dict[str, int]) -> DataFrame:
     return out.withColumn("holds", F.col("observed_length") <= F.col("declared_length"))
 
 
-def observed_precision(df: DataFrame, declared: dict[str, tuple[int, int]], places: int = 10) -> DataFrame:
-    """Digits before and after the point against ``(precision, scale)``."""
+def _written_digits(c: str) -> Column:
+    """A number in plain digits as it stands, without rounding; null if it is none."""
+    text = coerce.strip(F.col(c))
+    plain = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.ltrim(text, F.lit("+-")))
+    # Doubles write large and small values with an exponent: shift the point in the digits.
+    parts = F.split(F.when(text.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]{1,3}$"), F.ltrim(F.upper(text), F.lit("+-"))), "E")
+    power = F.get(parts, F.lit(1)).try_cast("int")
+    whole, rest = F.substring_index(F.get(parts, F.lit(0)), ".", 1), F.get(F.split(F.get(parts, F.lit(0)), r"\."), F.lit(1))
+    rest = F.coalesce(rest, F.lit(""))
+    up = F.concat(whole, F.rpad(rest, F.greatest(power, F.char_length(rest)), "0"))
+    raised = F.concat(F.substr(up, F.lit(1), F.char_length(whole) + power), F.lit("."), F.substr(up, F.char_length(whole) + power + 1))
+    down = F.concat(F.repeat(F.lit("0"), F.greatest(-power, F.lit(0))), whole, rest)
+    lowered = F.concat(F.substr(down, F.lit(1), F.char_length(whole)), F.lit("."), F.substr(down, F.char_length(whole) + 1))
+    return F.coalesce(plain, F.when(power >= 0, raised).otherwise(lowered))
+
+
+def observed_precision(df: DataFrame, declared: dict[str, tuple[int, int]]) -> DataFrame:
+    """Digits before and after the point against ``(precision, scale)``.
+
+    Digits are counted as written.  A value that is no number does not hold.
+    """
     names = list(declared)
     aggs = []
     for i, c in enumerate(names):
-        digits = F.abs(F.col(c)).try_cast(f"decimal(38,{places})").cast("string")
+        digits = _written_digits(c)
+        digits = F.when(digits.contains("."), digits).otherwise(F.concat(digits, F.lit(".")))
         before = F.greatest(F.char_length(F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))), F.lit(1))
         after = F.char_length(F.rtrim(F.substring_index(digits, ".", -1), F.lit("0")))
-        aggs += [F.max(before).alias(f"b{i}"), F.max(after).alias(f"a{i}")]
+        odd = F.count_if(coerce.is_filled(F.col(c)) & digits.isNull())
+        aggs += [F.max(before).alias(f"b{i}"), F.max(after).alias(f"a{i}"), odd.alias(f"o{i}")]
     limits = {c: [("precision", p), ("scale", s)] for c, (p, s) in declared.items()}
-    out = _one_row_per_column(df, names, aggs, [("b", "digits_before"), ("a", "digits_after")], limits)
-    return out.withColumn("holds", (F.col("digits_before") <= F.col("precision") - F.col("scale")) & (F.col("digits_after") <= F.col("scale")))
+    out = _one_row_per_column(df, names, aggs, [("b", "digits_before"), ("a", "digits_after"), ("o", "unreadable")], limits)
+    return out.withColumn("holds", (F.col("unreadable") == 0) & (F.col("digits_before") <= F.col("precision") - F.col("scale")) & (F.col("digits_after") <= F.col("scale")))
 
 
 def observed_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -102,6 +102,37 @@ def _comparable(a: T.DataType, b: T.DataType) -> bool:
     return a == b or (isinstance(a, T.NumericType) and isinstance(b, T.NumericType))
 
 
+def _common_type(a: T.DataType, b: T.DataType) -> str | None:
+    """The type in which two numeric columns of different types are compared."""
+    if a == b or not _comparable(a, b):
+        return None
+    if isinstance(a, T.FractionalType) and isinstance(b, T.FractionalType) and isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        return f"decimal(38,{max(a.scale, b.scale)})"
+    if any(isinstance(x, (T.DoubleType, T.FloatType)) for x in (a, b)):
+        return "double"
+    scales = [x.scale for x in (a, b) if isinstance(x, T.DecimalType)]
+    return f"decimal(38,{max(scales)})" if scales else "bigint"
+
+
+def _aligned(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with numeric columns of different types in their common type."""
+    casts = {c: _common_type(left.schema[c].dataType, right.schema[c].dataType) for c in names}
+    casts = {c: kind for c, kind in casts.items() if kind}
+    if not casts:
+        return left, right
+    return tuple(side.withColumns({c: F.col(c).try_cast(kind) for c, kind in casts.items()}) for side in (left, right))
+
+
+def schema_differences(left: DataFrame, right: DataFrame, keys: list[str], ignore=()) -> tuple[list[str], list[str]]:
+    """Columns that only one side has: of ``left``, of ``right``."""
+    skipped = {*keys, *ignore, *ROW_COLUMNS}
+
+    def extra(a: DataFrame, b: DataFrame) -> list[str]:
+        return [c for c in a.columns if c not in skipped and c not in b.columns]
+
+    return extra(left, right), extra(right, left)
+
+
 def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool]], nulls_differ: bool) -> DataFrame:
     """Explode rows holding ``_l`` and ``_r`` structs into differing fields."""
     entries = []
@@ -150,6 +181,7 @@ def keyed_diff(
     """
     names = value_columns(left, right, keys, ignore)
     fields = [(c, _comparable(left.schema[c].dataType, right.schema[c].dataType)) for c in names]
+    left, right = _aligned(left, right, names)
     out = [*keys, "field", "left_value", "right_value", "diff_type", "pairs"]
     packed_left = left.select(*keys, F.struct(*names).alias("_l"))
     packed_right = right.select(*keys, F.struct(*names).alias("_r"))
@@ -183,16 +215,18 @@ def keyed_diff(
             _field_diffs(single, keys, fields, nulls_differ).select(*out),
             _field_diffs(fan_right, keys, fields, nulls_differ).select(*out),
             _field_diffs(fan_left, keys, fields, nulls_differ).select(*out),
-            _many_to_many(many_left.filter(both_many), many_right.filter(both_many), keys, names, nulls_differ).select(*out),
+            _many_to_many(many_left.filter(both_many), many_right.filter(both_many), keys, fields, nulls_differ).select(*out),
         ],
     )
 
 
-def _many_to_many(left: DataFrame, right: DataFrame, keys, names, nulls_differ) -> DataFrame:
+def _many_to_many(left: DataFrame, right: DataFrame, keys, fields, nulls_differ) -> DataFrame:
     """Exact number of differing pairs per key and field, from value counts."""
 
     def long(rows: DataFrame, side: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(side)[n].cast("string").alias("value")) for n in names])
+        # Values of different kinds never agree: their texts are kept apart by side.
+        texts = [(n, F.col(side)[n].cast("string") if same else F.concat(F.lit(side), F.col(side)[n].cast("string"))) for n, same in fields]
+        cells = F.array(*[F.struct(F.lit(n).alias("field"), value.alias("value")) for n, value in texts])
         return rows.select(*keys, F.inline(cells))
 
     both = long(left, "_l").withColumn("l", F.lit(1)).withColumn("r", F.lit(0)).unionByName(
@@ -230,9 +264,17 @@ def compare_summary(left: DataFrame, right: DataFrame, keys: list[str], ignore=(
 
     Rows are reduced to distinct contents with a count per side, then to keys.
     For a key with L and R rows of which S pairs agree, ``L * R - S`` pairs
-    differ; repeated keys are exact without building pairs.
+    differ; repeated keys are exact without building pairs.  Values of
+    different kinds (text against number) differ unless both are null, as in
+    the details.  Columns that one side lacks are counted.
     """
     names = value_columns(left, right, keys, ignore)
+    extra_left, extra_right = schema_differences(left, right, keys, ignore)
+    apart = [c for c in names if not _comparable(left.schema[c].dataType, right.schema[c].dataType)]
+    left, right = _aligned(left, right, names)
+    if apart:
+        left = left.withColumns({c: F.concat(F.lit("left "), F.col(c).cast("string")) for c in apart})
+        right = right.withColumns({c: F.concat(F.lit("right "), F.col(c).cast("string")) for c in apart})
     both = left.select(*keys, *names, F.lit(1).alias("_nl"), F.lit(0).alias("_nr")).unionByName(
         right.select(*keys, *names, F.lit(0).alias("_nl"), F.lit(1).alias("_nr"))
     )
@@ -252,14 +294,17 @@ def compare_summary(left: DataFrame, right: DataFrame, keys: list[str], ignore=(
         F.count_if(F.col("l") > 1).alias("duplicate_keys_left"),
         F.count_if(F.col("r") > 1).alias("duplicate_keys_right"),
     )
-    return totals.withColumn(
-        "matching_rows", F.col("total_rows_left") - F.col("only_in_left") - F.col("rows_with_differences")
-    )
+    return totals.withColumns({
+        "matching_rows": F.col("total_rows_left") - F.col("only_in_left") - F.col("rows_with_differences"),
+        "columns_only_in_left": F.lit(len(extra_left)).cast("bigint"),
+        "columns_only_in_right": F.lit(len(extra_right)).cast("bigint"),
+    })
 
 
 def compare_status(summary: DataFrame) -> DataFrame:
-    """Adds ``passed`` / ``failed``: any missing, extra or different row fails."""
-    clean = (F.col("only_in_left") == 0) & (F.col("only_in_right") == 0) & (F.col("rows_with_differences") == 0)
+    """Adds ``passed`` / ``failed``: any missing, extra or different row or column fails."""
+    counts = ("only_in_left", "only_in_right", "rows_with_differences", "columns_only_in_left", "columns_only_in_right")
+    clean = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in counts])
     return summary.withColumn("status", F.when(clean, "passed").otherwise("failed"))
 
 
@@ -310,7 +355,11 @@ def transform_mismatch(source: DataFrame, targets: list, actual: DataFrame, keys
     ``targets`` are the target fields of the mapping and ``fields`` maps those
     to report to their source columns.  Source and transformed values come
     from one projection, so only the delivered rows are joined.
+    A key that repeats on both sides has no defined partner and is an error:
+    keys are counted first (this runs a job).
     """
+    if not key_balance(source, actual, keys).filter("n_left > 1 AND n_right > 1").isEmpty():
+        raise ValueError(f"keys {keys} repeat on both sides")
     build = {t.name: t for t in targets}
     made = F.struct(*[
         F.struct(F.col(c).cast("string").alias("s"), tf.fit(build[name].build(), build[name].length).alias("t")).alias(f"f{i}")

@@ -26,11 +26,10 @@ DELIMITERS = {"pipe_delimited": "|", "csv": ",", "tsv": "\t"}
 LEADING_BLANK_SHARE = 0.8
 BOUNDARY_SHARE = 0.5
 SEARCH_RADIUS = 15
-SEARCH_LIMIT = 200
 LARGE_OFFSET = 5
 LEAST_LINES = 3
 
-# Search grid of a discriminator.
+# Where a discriminator usually stands; callers may widen the search.
 MAX_POSITION, MAX_LENGTH = 11, 6
 
 
@@ -168,14 +167,20 @@ def infer_mapping(lines: DataFrame, file: str = "file") -> DataFrame:
     return formats.select(file, "format").join(fields, file).select(file, "format", "field_number", name.alias("name"), "data_type", "position", "length")
 
 
-def detect_discriminator(lines: DataFrame, file: str = "file") -> DataFrame:
+def detect_discriminator(lines: DataFrame, file: str = "file", max_position: int | None = MAX_POSITION, max_length: int = MAX_LENGTH) -> DataFrame:
     """Candidate record-type fields per file, best first.
 
     A candidate has 2 to 8 values that repeat and cover at least half of the
-    lines, and lies within the shortest line.
+    lines, and lies within the shortest line of its file.  Fields that start
+    up to ``max_position`` and have up to ``max_length`` characters are tried;
+    without ``max_position`` all starts within the longest of the files'
+    shortest lines (this runs a job).
     """
     rows = lines.filter(coerce.is_filled(F.col("content")))
-    grid = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(n).alias("length"), F.substring("content", p, n).alias("v")) for p in range(1, MAX_POSITION + 1) for n in range(1, MAX_LENGTH + 1)])
+    if max_position is None:
+        least = rows.groupBy(file).agg(F.min(F.char_length("content")).alias("n"))
+        max_position = least.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    grid = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(n).alias("length"), F.substring("content", p, n).alias("v")) for p in range(1, max_position + 1) for n in range(1, max_length + 1)])
     counted = rows.select(file, F.inline(grid)).filter(F.char_length("v") == F.col("length")).groupBy(file, "position", "length", "v").agg(F.count(F.lit(1)).alias("n"))
     repeating = counted.filter("n >= 2").groupBy(file, "position", "length").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("covered"), F.min("v").alias("least_value"), F.max("v").alias("greatest_value")
@@ -220,8 +225,10 @@ def fixed_width_drift(lines: DataFrame, layout: list, file: str = "file") -> Dat
 
     # A start is a filled position whose left neighbour is blank; with a blank
     # put in front, position p and its left neighbour are characters p+1 and p.
-    head = F.concat(F.lit(" "), F.translate(F.substring("content", 1, SEARCH_LIMIT), "\t\r\n\f", "    "))
-    places = rows.select(file, head.alias("head")).select(file, "head", F.explode(F.sequence(F.lit(1), F.char_length("head") - 1)).alias("at"))
+    # Only positions near a declared start can matter, wherever in the line they are.
+    head = F.concat(F.lit(" "), F.translate("content", "\t\r\n\f", "    "))
+    near_any = sorted({p for f in layout for p in range(max(1, f.start - SEARCH_RADIUS), f.start + SEARCH_RADIUS)})
+    places = rows.select(file, head.alias("head")).select(file, "head", F.explode(F.array(*map(F.lit, near_any))).alias("at")).filter(F.col("at") < F.char_length("head"))
     starts = places.filter((F.substr("head", F.col("at"), F.lit(1)) == " ") & (F.substr("head", F.col("at") + 1, F.lit(1)) != " "))
     counted = starts.groupBy(file, "at").agg(F.count(F.lit(1)).alias("score"))
     near = (F.col("at") >= F.col("expected_start") - SEARCH_RADIUS) & (F.col("at") < F.col("expected_start") + SEARCH_RADIUS) & (F.col("at") != F.col("expected_start"))

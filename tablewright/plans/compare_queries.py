@@ -144,7 +144,7 @@ SUMMARY_SQL = f"""SELECT (SELECT count(*) FROM a) AS total_rows_left, (SELECT co
  (SELECT count(*) FROM (SELECT o_orderkey FROM b GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys_right"""
 
 
-@query("C09_compare_summary", f"{SIDES_SQL}, s AS ({SUMMARY_SQL}) SELECT *, total_rows_left - only_in_left - rows_with_differences AS matching_rows FROM s")
+@query("C09_compare_summary", f"{SIDES_SQL}, s AS ({SUMMARY_SQL}) SELECT *, total_rows_left - only_in_left - rows_with_differences AS matching_rows, CAST(0 AS BIGINT) AS columns_only_in_left, CAST(0 AS BIGINT) AS columns_only_in_right FROM s")
 def _(t):
     return compare.compare_summary(*sides(t), KEYS)
 
@@ -169,7 +169,7 @@ s AS (SELECT (SELECT count(*) FROM a) AS total_rows_left, (SELECT count(*) FROM
  (SELECT count(*) FROM j WHERE NOT same) AS rows_with_differences,
  (SELECT count(*) FROM (SELECT 1 FROM a GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS duplicate_keys_left,
  (SELECT count(*) FROM (SELECT 1 FROM b GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS duplicate_keys_right)
-SELECT *, total_rows_left - only_in_left - rows_with_differences AS matching_rows FROM s""")
+SELECT *, total_rows_left - only_in_left - rows_with_differences AS matching_rows, CAST(0 AS BIGINT) AS columns_only_in_left, CAST(0 AS BIGINT) AS columns_only_in_right FROM s""")
 def _(t):
     return compare.compare_summary(*line_sides(t), ["l_orderkey", "l_linenumber"])
 

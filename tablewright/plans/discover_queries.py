@@ -138,7 +138,7 @@ def field_drift_sql(f) -> str:
     return f"""SELECT s.file, '{f.name}' AS name, {f.start} AS expected_start, CAST(arg_max(st.p, (st.k, -st.p)) AS INTEGER) AS actual_start, {f.length} AS expected_length,
  CASE WHEN abs(arg_max(st.p, (st.k, -st.p)) - {f.start}) > 5 THEN 'error' ELSE 'warning' END AS severity, 'position' AS reason
  FROM (SELECT file, count(*) AS total, count(*) FILTER (trim(substring(content, {f.start}, 1)) = '') AS blank FROM r GROUP BY file) s JOIN st ON st.file = s.file
- WHERE blank > total * 0.8 AND st.p BETWEEN {f.start} - 15 AND {f.start} + 14 AND st.p <> {f.start} AND st.p <= 200 GROUP BY s.file, total HAVING max(st.k) > total * 0.5"""
+ WHERE blank > total * 0.8 AND st.p BETWEEN {f.start} - 15 AND {f.start} + 14 AND st.p <> {f.start} GROUP BY s.file, total HAVING max(st.k) > total * 0.5"""
 
 
 DRIFT_SQL = f"""WITH {SPANS_SQL}, st AS (SELECT file, p, count(*) AS k FROM (SELECT file, content, unnest(range(1, length(content) + 1)) AS p FROM r)
@@ -170,7 +170,23 @@ def _(t):
     return dis.drift_report(rendered(t), mapping)
 
 
-@query("D09_drift_report_pipe", f"""WITH {DOC_LINES_SQL}, k AS (SELECT file, count(*) FILTER (trim(content) <> '') AS n FROM dl GROUP BY file)
+PIPE_HEADS_SQL = HEADS_SQL.replace("string_split(arg_min(content, line) FILTER (trim(content) <> ''), ' ')", "string_split(replace(arg_min(content, line) FILTER (trim(content) <> ''), ' ', '|'), '|')")
+PIPE_SQL = DELIMITED_SQL.replace(HEADS_SQL, PIPE_HEADS_SQL)
+
+
+@query("D09_drift_report_pipe", f"""SELECT file, name, severity, reason FROM ({PIPE_SQL})
+UNION ALL SELECT doc_id, NULL, 'skipped', 'too_short' FROM documents WHERE trim(replace(text, chr(10), '')) = ''""")
+def _(t):
+    lines = document_lines(t).withColumn("content", F.replace("content", F.lit(" "), F.lit("|")))
+    return dis.drift_report(lines, {"format": "pipe", "fields": [{"name": n} for n in EXPECTED]})
+
+
+@query("D06_wide_discriminator", f"WITH {CAND_SQL.replace('range(1, 12)', 'range(1, (SELECT max(shortest) + 1 FROM sz))')} SELECT * FROM cd")
+def _(t):
+    return dis.detect_discriminator(event_lines(t), max_position=None)
+
+
+@query("D09_drift_report_other", f"""WITH {DOC_LINES_SQL}, k AS (SELECT file, count(*) FILTER (trim(content) <> '') AS n FROM dl GROUP BY file)
 SELECT file, CAST(NULL AS VARCHAR) AS name, 'skipped' AS severity, 'unsupported_format' AS reason FROM k""")
 def _(t):
     return dis.drift_report(document_lines(t), {"format": "xml", "fields": [{"name": "a"}]})

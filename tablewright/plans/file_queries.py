@@ -121,12 +121,13 @@ def _(t):
     return database.table_stats(t.part)
 
 
-@query("S14_file_inventory", "SELECT count(*) AS line_count, 'ok' AS note FROM customer")
+@query("S14_file_inventory", "SELECT count(*) AS line_count, 'ok' AS note, CAST(0 AS BIGINT) AS not_hashed FROM customer")
 def _(t):
     folder = scratch_folder(t.spark, "inventory")
     layouts.render_fixed_width(t.customer, CUSTOMER_LAYOUT).write.text(folder)
-    inventory = files.file_inventory(t.spark, folder, "part-*").filter("sha256 IS NOT NULL AND size_bytes > 0")
-    return inventory.agg(F.sum("line_count").alias("line_count"), F.max("note").alias("note"))
+    inventory = files.file_inventory(t.spark, folder, "part-*")
+    filled = F.when(F.col("size_bytes") > 0, F.col("note"))
+    return inventory.agg(F.sum("line_count").alias("line_count"), F.max(filled).alias("note"), F.count_if((F.col("size_bytes") > 0) & (F.col("sha256_status") != "hashed")).alias("not_hashed"))
 
 
 @query("S15_extract_error_rows", f"""SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE NOT coalesce(l_discount BETWEEN 0 AND 0.08, false)

@@ -22,13 +22,16 @@ def landed(t, name, df):
     return folder
 
 
-@query("Z01_watch_and_validate", """
+WATCH_SQL = """
 WITH d AS (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)
 SELECT rule_id, count(*) AS violations FROM (SELECT 'price_cap' AS rule_id FROM orders WHERE NOT o_totalprice <= 400000
- UNION ALL SELECT 'one_per_customer' FROM orders WHERE o_custkey IN (SELECT o_custkey FROM d)) GROUP BY rule_id""")
-def _(t):
-    folder = landed(t, "watch", t.orders)
-    target = watch.WatchTarget(f"{folder}/in", ORDERS_SCHEMA, f"{folder}/out", f"{folder}/state")
+ UNION ALL SELECT 'one_per_customer' FROM orders WHERE o_custkey IN (SELECT o_custkey FROM d)) GROUP BY rule_id"""
+
+
+def watched_orders(t, files_per_batch):
+    # All orders of a customer are in one file; files arrive one or several at a time.
+    folder = landed(t, "watch", t.orders.repartition(4, "o_custkey"))
+    target = watch.WatchTarget(f"{folder}/in", ORDERS_SCHEMA, f"{folder}/out", f"{folder}/state", files_per_batch=files_per_batch)
     rules = [FieldRule("price_cap", "o_totalprice", "<=", value=400000), GroupRule("one_per_customer", "unique", ("o_custkey",))]
     watch.watch_and_validate(t.spark, target, rules, "o_orderkey").awaitTermination()
     # A second run finds nothing new and adds nothing.
@@ -36,12 +39,22 @@ def _(t):
     return watch.read_results(t.spark, target)[0].groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"))
 
 
+@query("Z01_watch_and_validate", WATCH_SQL)
+def _(t):
+    return watched_orders(t, 1)
+
+
+@query("Z01_watch_two_files_a_batch", WATCH_SQL)
+def _(t):
+    return watched_orders(t, 2)
+
+
 @query("Z01_watch_metrics", "SELECT count(*) AS total_rows, count(*) FILTER (o_totalprice <= 400000) AS valid_rows, count(*) FILTER (o_totalprice > 400000) AS error_count FROM orders")
 def _(t):
     folder = landed(t, "watch", t.orders.repartition(4))
     target = watch.WatchTarget(f"{folder}/in", ORDERS_SCHEMA, f"{folder}/out", f"{folder}/state", files_per_batch=2)
     rules = [FieldRule("price_cap", "o_totalprice", "<=", value=400000)]
-    watch.watch_and_validate(t.spark, target, rules, F.col("o_orderkey") + 1).awaitTermination()
+    watch.watch_and_validate(t.spark, target, rules, "o_orderkey").awaitTermination()
     return watch.read_results(t.spark, target)[1].agg(*[F.sum(c).alias(c) for c in ("total_rows", "valid_rows", "error_count")])
 
 

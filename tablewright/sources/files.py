@@ -7,6 +7,7 @@ import io
 import os
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +36,7 @@ def _one_slash_form(path: Column) -> Column:
 def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None, hash_limit: int = 256 * 1024**2) -> DataFrame:
     """Size, time, line count, SHA-256 and a size note per file.
 
+    ``sha256_status`` says why a digest is missing (``too_large``, ``empty``).
     Contents are only read for files up to ``hash_limit`` bytes (the filter is
     pushed into the scan); lines are counted by a text scan that splits files.
     """
@@ -59,6 +61,7 @@ def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None,
         .withColumn("line_count", F.coalesce("line_count", F.lit(0)))
         .withColumn("name", F.element_at(F.split("file", "/"), -1))
         .withColumn("note", note)
+        .withColumn("sha256_status", F.when(F.col("sha256").isNotNull(), "hashed").when(F.col("size_bytes") > hash_limit, "too_large").otherwise("empty"))
     )
 
 
@@ -112,9 +115,10 @@ def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batc
 
     ``archives`` has ``path`` and ``content``.  They are spread over tasks;
     members are read line by line and hits are handed on in batches, so a task
-    never holds a whole member.  An archive that can not be read is skipped.
+    never holds a whole member.  An archive that can not be read to its end
+    yields one row with the reason in ``error`` and no file.
     """
-    columns = ["archive", "file", "line", "content"]
+    columns = ["archive", "file", "line", "content", "error"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
@@ -127,16 +131,16 @@ def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batc
                             continue
                         for number, line in enumerate(io.TextIOWrapper(f, "utf-8", "replace"), 1):
                             if needle in line:
-                                found.append((name, member, number, line.rstrip()))
+                                found.append((name, member, number, line.rstrip(), None))
                                 if len(found) >= batch:
-                                    yield pd.DataFrame(found, columns=columns)
+                                    yield pd.DataFrame(found, columns=columns, dtype=object)
                                     found = []
-                except (OSError, zipfile.BadZipFile, tarfile.TarError):
-                    pass
+                except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError) as why:
+                    found.append((name, None, None, None, f"{type(why).__name__}: {why}"))
         if found:
-            yield pd.DataFrame(found, columns=columns)
+            yield pd.DataFrame(found, columns=columns, dtype=object)
 
-    return archives.select("path", "content").mapInPandas(search, "archive string, file string, line bigint, content string")
+    return archives.select("path", "content").mapInPandas(search, "archive string, file string, line bigint, content string, error string")
 
 
 def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*") -> DataFrame:

@@ -33,19 +33,20 @@ def read_arriving(spark: SparkSession, target: WatchTarget) -> DataFrame:
         reader = reader.option("pathGlobFilter", target.name_glob)
     if target.files_per_batch:
         reader = reader.option("maxFilesPerTrigger", target.files_per_batch)
-    return reader.load(target.folder)
+    return reader.load(target.folder).withColumn("_file", F.col("_metadata.file_path"))
 
 
 def watch_and_validate(spark: SparkSession, target: WatchTarget, rules, row_id, available_now: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Validate each landed batch and keep its violations and totals.
 
-    All kinds of rules run, cross-row rules within the batch.  Results of a
-    batch go to a folder of their own that a repeated batch overwrites, so a
+    All kinds of rules run, cross-row rules within each file: how many files
+    share a batch does not change a result.  Violations name their file.
+    Results of a batch go to a folder of their own that a repeated batch overwrites, so a
     restart after a failure leaves every result exactly once.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = validate(batch, rules, row_id)
+        found = validate(batch, rules, row_id, within=("_file",))
         place = f"{target.results}/violations/batch_id={batch_id}"
         found.write.mode("overwrite").parquet(place)
         # The totals read the violations just written; rules run once.

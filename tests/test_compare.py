@@ -141,3 +141,32 @@ def test_number_rows_with_ties(spark):
     rows = number_rows(spark.range(5000).select(F.lit(1).alias("same"), "id"), ["same"])
     s = rows.agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.count_distinct("_row").alias("n")).first()
     assert (s.a, s.b, s.n) == (1, 5000, 5000)
+
+
+def test_totals_equal_details_on_mixed_types(spark):
+    left = spark.createDataFrame([(1, 1, "7"), (1, 2, "8"), (2, 3, None), (3, 4, "x")], "k int, n int, t string")
+    right = spark.createDataFrame([(1, 1.0, 7), (1, 2.0, 8), (2, 3.0, None), (3, 4.5, 9)], "k int, n double, t int")
+    diffs = compare.keyed_diff(left, right, ["k"]).collect()
+    pairs = {(r.k, r.field, r.diff_type): r.pairs for r in diffs}
+    assert pairs == {(1, "n", "many_to_many"): 2, (1, "t", "many_to_many"): 4, (3, "n", "value_difference"): 1, (3, "t", "type_mismatch"): 1}
+    # Key 1: all four pairs differ in t; key 2 agrees; key 3 differs.
+    assert compare.compare_summary(left, right, ["k"]).first().rows_with_differences == 5
+    assert compare.compare_summary(left.drop("t"), right.drop("t"), ["k"]).first().rows_with_differences == 3
+
+
+def test_columns_of_one_side_fail(spark):
+    left = spark.createDataFrame([(1, 2, 3)], "k int, a int, extra int")
+    right = spark.createDataFrame([(1, 2, 3)], "k int, a int, other int")
+    row = compare.compare_status(compare.compare_summary(left, right, ["k"])).first()
+    assert (row.columns_only_in_left, row.columns_only_in_right, row.status) == (1, 1, "failed")
+    assert compare.schema_differences(left, right, ["k"], ["other"]) == (["extra"], [])
+
+
+def test_mismatch_refuses_ambiguous_keys(spark):
+    import pytest
+
+    from tablewright.operators.mapping import Target
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="repeat"):
+        compare.transform_mismatch(rows, [Target("v", lambda: F.col("v"), 1)], rows, ["k"], {"v": "v"})

@@ -177,7 +177,8 @@ def test_grep_files_and_archives(spark, tmp_path):
         tar.addfile(info, io.BytesIO(data))
     (tmp_path / "broken.zip").write_text("no archive")
     found = files.grep_archives(spark, str(tmp_path), "ERROR", file_glob="*.log").collect()
-    assert {(r.archive, r.file, r.line, r.content) for r in found} == {("a.zip", "in/x.log", 2, "ERROR 1"), ("b.tar.gz", "z.log", 1, "ERROR 3"), ("b.tar.gz", "z.log", 3, "ERROR 4")}
+    assert {(r.archive, r.file, r.line, r.content) for r in found} == {("a.zip", "in/x.log", 2, "ERROR 1"), ("b.tar.gz", "z.log", 1, "ERROR 3"), ("b.tar.gz", "z.log", 3, "ERROR 4"), ("broken.zip", None, None, None)}
+    assert [r.archive for r in found if r.error] == ["broken.zip"]
 
 
 def test_error_rows_and_sidecars(spark, tmp_path):
@@ -244,3 +245,31 @@ def test_record_layouts(spark, tmp_path):
     layouts = [RecordLayout("a", discriminator=(1, 1, "A")), RecordLayout("b", discriminator=(2, 1, "B")), RecordLayout("six", length=6), RecordLayout("rest", default=True)]
     rows = {r.value: (r._record_type, r._ambiguous) for r in scan_record_layouts(spark, str(tmp_path), layouts).collect()}
     assert rows == {"A12345": ("a", None), "??????": ("six", None), "AB": (None, "a,b"), "zz": ("rest", None)}
+
+
+def test_drift_beyond_the_first_columns(spark):
+    from tablewright.operators.discover import DeclaredField, fixed_width_drift
+
+    lines = spark.createDataFrame([("f", " " * 300 + "VALUE")] * 4, "file string, content string")
+    found = fixed_width_drift(lines, [DeclaredField("late", 296, 5)]).collect()
+    assert [(r.name, r.actual_start) for r in found] == [("late", 301)]
+
+
+def test_digits_are_counted_as_written(spark):
+    from tablewright.operators.catalogue import observed_precision
+
+    rows = [("1.123456789012345",), ("-" + "9" * 30,), ("5E-7",), ("1.25E3",), (None,)]
+    df = spark.createDataFrame([(r[0], 1.5e12, "1") for r in rows], "a string, b double, c string")
+    out = {r.column_name: r for r in observed_precision(df, {"a": (20, 10), "b": (13, 1), "c": (1, 0)}).collect()}
+    assert (out["a"].digits_before, out["a"].digits_after, out["a"].holds) == (30, 15, False)
+    assert (out["b"].digits_before, out["b"].digits_after, out["b"].holds) == (13, 0, False)
+    assert out["c"].holds
+    odd = observed_precision(spark.createDataFrame([("abc",)], "a string"), {"a": (5, 2)}).first()
+    assert (odd.unreadable, odd.holds) == (1, False)
+
+
+def test_broken_archives_are_reported(spark):
+    from tablewright.sources.files import search_archives
+
+    found = search_archives(spark.createDataFrame([("a.zip", bytearray(b"no zip")), ("b.tar.gz", bytearray(b""))], "path string, content binary"), "x").collect()
+    assert sorted(r.archive for r in found) == ["a.zip", "b.tar.gz"] and all(r.error and r.file is None for r in found)
