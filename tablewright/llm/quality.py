@@ -26,6 +26,8 @@ BUCKETS = 1 << 14
 DIM = 32
 NONZERO = 2
 LONG_WORD = 6
+CACHED = 150_000
+_codes: dict[str, int] = {}
 
 
 def form_of(word: str) -> str:
@@ -35,23 +37,32 @@ def form_of(word: str) -> str:
     return f"\x00{case}{tail}"
 
 
-def tokens_of(text: str | None) -> tuple[Counter, Counter]:
-    """Counts of the lower-case words of a text, and of their forms."""
-    words = words_of(text)
-    plain = Counter(words_of(ascii_lower(text))) if text else Counter()
-    forms: Counter = Counter()
-    for word, n in Counter(words).items():
-        forms[form_of(word)] += n
-        if len(word) >= LONG_WORD:
-            forms["\x00new"] += 1
-            forms["\x00seen"] += n - 1
-    forms["\x00same"] = sum(map(eq, words, words[1:]))
-    return plain, forms
+def bucket_of(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+# Long words that are new in the text, seen before, and words equal to the one before.
+_REPEATS = [bucket_of("\x00new"), bucket_of("\x00seen"), bucket_of("\x00same")]
 
 
-def buckets_of(tokens: Counter) -> tuple[np.ndarray, np.ndarray]:
-    at = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in tokens), np.int64, len(tokens))
-    return at, np.fromiter(tokens.values(), np.float64, len(tokens))
+def _code(word: str) -> int:
+    """Bucket of the lower-case word, bucket of its form, and whether it is long, in one number."""
+    if len(_codes) >= CACHED:
+        _codes.clear()
+    code = _codes[word] = bucket_of(ascii_lower(word)) << 20 | bucket_of(form_of(word)) << 1 | (len(word) >= LONG_WORD)
+    return code
+
+
+def tokens_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and counts of the lower-case words of a text, and of their forms; buckets may repeat."""
+    words = words_of(text)
+    counts = Counter(words)
+    known = _codes.get
+    codes = np.fromiter((known(w) or _code(w) for w in counts), np.int64, len(counts))
+    n = np.fromiter(counts.values(), np.float64, len(counts))
+    long = codes & 1
+    repeats = [long.sum(), (long * (n - 1)).sum(), sum(map(eq, words, words[1:]))]
+    return codes >> 20, n, np.append(codes >> 1 & (1 << 19) - 1, _REPEATS), np.append(n, repeats)
 
 
 def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +78,11 @@ def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 seen += 1
-                plain, forms = tokens_of(t)
+                words, n_words, forms, n_forms = tokens_of(t)
                 draw = np.random.Generator(np.random.PCG64(zlib.crc32((t or "").encode("utf-8", "surrogatepass"))))
                 dims, signs = draw.integers(0, DIM, NONZERO), draw.integers(0, 2, NONZERO) * 2 - 1
-                at, n = buckets_of(plain + forms)
-                np.add.at(docs, at, 1)
+                at, n = np.append(words, forms), np.append(n_words, n_forms)
+                docs[np.unique(at[n > 0])] += 1
                 for d, s in zip(dims, signs):
                     np.add.at(total[:, d], at, s * n.astype(np.int64))
         held = np.flatnonzero(docs)
@@ -95,8 +106,8 @@ def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
 def pooled(text: str | None, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean word vector and mean form vector of a text; zeros where it has no words."""
     out = np.zeros(2 * DIM, np.float32)
-    for side, tokens in enumerate(tokens_of(text)):
-        at, n = buckets_of(tokens)
+    words, n_words, forms, n_forms = tokens_of(text)
+    for side, (at, n) in enumerate(((words, n_words), (forms, n_forms))):
         if side == 0:
             n = n * weights[at]
         if n.sum() > 0:
