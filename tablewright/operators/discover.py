@@ -282,7 +282,8 @@ def drift_report(lines: DataFrame, mapping: dict, file: str = "file") -> DataFra
     Output: file, name, severity, reason.  Reasons for skipping: too_short,
     no_fields, unsupported_format.
     """
-    fmt = (mapping.get("format") or mapping.get("file_format") or "").lower()
+    named = [mapping[k] for k in ("format", "file_format") if mapping.get(k)]
+    fmt = str(named[0]).lower() if named else ""
     fields = mapping.get("fields", [])
     out = [file, "name", "severity", "reason"]
     nothing = F.lit(None).cast("string")

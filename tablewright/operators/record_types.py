@@ -102,7 +102,7 @@ def classify_layouts(lines: DataFrame, layouts: list[RecordLayout]) -> DataFrame
 def unknown_records(records: DataFrame, disc: Column, action: str = "warn", batch: list[str] | None = None) -> DataFrame:
     """Violations for lines of no known type (``skip``, ``warn``, ``error``)."""
     severity = "error" if action == "error" else "warning"
-    message = F.concat(F.lit("Unrecognized record type: discriminator value '"), disc, F.lit("' does not match any configured type."))
+    message = F.concat(F.lit("no record type for mark "), disc)
     what = violation("CT_UNKNOWN_RECORD_TYPE", "unknown_record_type", severity, "discriminator", disc, message, None, "CT_UNKNOWN")
     rows = records.filter(F.col(TYPE).isNull() & F.lit(action != "skip"))
     return _finish(rows.select(*(batch or []), F.col("_row").cast("bigint").alias("row_number"), what.alias("v")), batch)
@@ -141,12 +141,12 @@ def expect_cardinality(records: DataFrame, types: list[RecordType], batch: list[
         n = F.col(f"n{i}")
         shown = n.cast("string")
         if t.expect == "exactly_one":
-            bad, code, text = n != 1, "CT_EXPECT_EXACTLY_ONE", f"Expected exactly 1 row of type '{t.name}' but found "
+            bad, code, text = n != 1, "CT_EXPECT_EXACTLY_ONE", f"{t.name}: one row wanted, rows there: "
         elif t.expect == "at_least_one":
-            bad, code, text = n < 1, "CT_EXPECT_AT_LEAST_ONE", f"Expected at least 1 row of type '{t.name}' but found "
+            bad, code, text = n < 1, "CT_EXPECT_AT_LEAST_ONE", f"{t.name}: some row wanted, rows there: "
         else:
             continue
-        message = F.concat(F.lit(text), shown, F.lit("."))
+        message = F.concat(F.lit(text), shown)
         found.append(F.when(bad, violation("CT_EXPECT", "expect_cardinality", "error", t.name, shown, message, None, code, FILE)))
     kept = [*(batch or []), F.lit(0).cast("bigint").alias("row_number")]
     return explode_found(counts, kept, F.array(*found)).select(*(batch or []), *VIOLATION_COLUMNS)
@@ -156,7 +156,7 @@ def required_companion(records: DataFrame, when_type: str, requires_type: str, b
     """Batches that hold one type but not the type it needs."""
     keyed, keys = _keyed(records, batch)
     found = _totals(keyed, keys, batch, [F.count_if(_of(when_type)).alias("a"), F.count_if(_of(requires_type)).alias("b")]).filter("a > 0 AND b = 0")
-    message = F.lit(f"Record type '{when_type}' is present but required companion '{requires_type}' is absent.")
+    message = F.lit(f"{when_type} rows come without any {requires_type} row")
     return _file_level(found, "required_companion", severity, requires_type, F.lit(None), message, batch)
 
 
@@ -164,7 +164,7 @@ def expect_count(records: DataFrame, record_type: str, exactly: int, batch=None,
     keyed, keys = _keyed(records, batch)
     found = _totals(keyed, keys, batch, [F.count_if(_of(record_type)).alias("n")]).filter(F.col("n") != exactly)
     shown = F.col("n").cast("string")
-    message = F.concat(F.lit(f"Expected exactly {exactly} row(s) for record type '{record_type}' but found "), shown, F.lit("."))
+    message = F.concat(F.lit(f"{record_type}: {exactly} rows wanted, rows there: "), shown)
     return _file_level(found, "expect_count", severity, "row_count", shown, message, batch)
 
 
@@ -175,7 +175,7 @@ def header_trailer_count(records: DataFrame, record_type: str, declared: str, co
     wanted = F.col(declared).cast("string")
     rows = rows_of_groups(keyed.filter(_of(record_type)).select(*keys, declared), totals, keys, "_n")
     found = rows.filter(coerce.integer(wanted) != F.col("_actual"))
-    message = F.concat(F.lit(f"'{record_type}' field '{declared}' declares "), wanted, F.lit(f" rows but '{count_of}' has "), F.col("_actual").cast("string"), F.lit("."))
+    message = F.concat(F.lit(f"{record_type}.{declared} counts "), wanted, F.lit(f", {count_of} rows there: "), F.col("_actual").cast("string"))
     return _file_level(found, "header_trailer_count", severity, declared, wanted, message, batch)
 
 
@@ -185,8 +185,7 @@ def header_trailer_sum(
     """A declared total against the sum of one or more detail fields.
 
     Amounts and totals are read as decimals, so no cent is lost in large sums
-    and the order of rows does not matter.  A declared total that is not a
-    number is a finding of its own kind of difference.
+    and the order of rows does not matter.
     """
     keyed, keys = _keyed(records, batch)
     kind = f"decimal(28,{scale})"
@@ -196,7 +195,7 @@ def header_trailer_sum(
     wanted = F.col(declared).cast("string")
     rows = rows_of_groups(keyed.filter(_of(record_type)).select(*keys, declared), totals, keys, "_n")
     found = rows.filter(F.abs(coerce.decimal(wanted, "decimal(38,9)") - F.col("_actual").cast("decimal(38,9)")) > F.lit(tolerance).cast("decimal(38,9)"))
-    message = F.concat(F.lit(f"'{record_type}' field '{declared}' declares sum="), wanted, F.lit(" but computed sum="), F.col("_actual").cast("string"), F.lit(f" from '{count_of}'."))
+    message = F.concat(F.lit(f"{record_type}.{declared} totals "), wanted, F.lit(f", {count_of} rows add up to "), F.col("_actual").cast("string"))
     return _file_level(found, "header_trailer_sum", severity, declared, wanted, message, batch)
 
 
@@ -209,7 +208,7 @@ def header_detail_consistent(
     totals = _totals(keyed, keys, batch, [head.alias("_head"), F.count_if(_of(detail_type)).alias("_n")])
     detail = keyed.filter(_of(detail_type)).select(*keys, row, F.col(detail_field).cast("string").alias("_detail"))
     found = rows_of_groups(detail, totals, keys, "_n", F.col("_head").isNotNull()).filter(coerce.strip(F.col("_detail")) != coerce.strip(F.col("_head")))
-    message = F.concat(F.lit(f"Detail field '{detail_field}' value '"), F.col("_detail"), F.lit(f"' does not match header field '{header_field}' value '"), F.col("_head"), F.lit("'."))
+    message = F.concat(F.lit(f"{detail_field} is "), F.col("_detail"), F.lit(f", the header's {header_field} is "), F.col("_head"))
     what = violation("CT_header_detail_consistent", "header_detail_consistent", severity, detail_field, F.col("_detail"), message, None, "CT_HEADER-DETAIL-CONSISTENT")
     return _finish(found.select(*(batch or []), F.col(row).cast("bigint").alias("row_number"), what.alias("v")), batch)
 
@@ -225,7 +224,7 @@ def header_trailer_match(
 
     found = _totals(keyed, keys, batch, [first(header_field, header_type).alias("h"), first(trailer_field, trailer_type).alias("t")])
     found = found.filter(coerce.strip(F.col("h")) != coerce.strip(F.col("t")))
-    message = F.concat(F.lit(f"Header '{header_field}'='"), F.col("h"), F.lit(f"' does not match trailer '{trailer_field}'='"), F.col("t"), F.lit("'."))
+    message = F.concat(F.lit(f"header {header_field} is "), F.col("h"), F.lit(f", trailer {trailer_field} is "), F.col("t"))
     return _file_level(found, "header_trailer_match", severity, f"{header_field}/{trailer_field}", F.concat_ws(" vs ", "h", "t"), message, batch)
 
 
@@ -242,7 +241,7 @@ def type_sequence(records: DataFrame, expected: list[str], batch=None, row: str
     seen = F.transform(F.array_sort(present), lambda e: e["t"])
     wanted = F.transform(present, lambda e: e["t"])
     found = totals.withColumn("_seen", F.array_join(seen, ",")).withColumn("_wanted", F.array_join(wanted, ",")).filter("_seen <> _wanted")
-    message = F.concat(F.lit("Record type sequence "), F.col("_seen"), F.lit(" does not match expected order "), F.col("_wanted"), F.lit("."))
+    message = F.concat(F.lit("record types come as "), F.col("_seen"), F.lit(", wanted as "), F.col("_wanted"))
     return _file_level(found, "type_sequence", severity, "record_type_sequence", F.col("_seen"), message, batch)
 
 
