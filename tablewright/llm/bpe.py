@@ -32,7 +32,7 @@ from tablewright.llm.common import append, by_slices
 # Fixed value: the pre-tokenizer's pattern of the vocabulary files.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
 CACHED_LENGTH = 48
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 # Fixed value: a word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
+# The C library's own call where it has one; elsewhere memory is left as it is.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def ascii_lower(text: str) -> str:
@@ -40,13 +43,22 @@ def append(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, and the next one needs the room."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def by_slices(make: Callable[[list], pa.Array], rows: int = 400) -> Callable[[pa.Array], pa.Array]:
     """Apply ``make`` to slices of a column, so that Python objects exist for a few rows at a time only."""
 
     def run(column: pa.Array) -> pa.Array:
         if not len(column):
             return make([])
-        return pa.concat_arrays([make(column.slice(at, rows).to_pylist()) for at in range(0, len(column), rows)])
+        made = pa.concat_arrays([make(column.slice(at, rows).to_pylist()) for at in range(0, len(column), rows)])
+        release_memory()
+        return made
 
     return run
 
@@ -59,4 +71,8 @@ def in_pieces(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
 
-    return lambda batches: run(split(batches))
+    def whole(batches):
+        yield from run(split(batches))
+        release_memory()
+
+    return whole

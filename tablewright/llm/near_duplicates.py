@@ -355,6 +355,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
                 [batch.column("doc_id"), batch.column("h"), batch.column("nb"), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(roots, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "nb", "k", "n", "sketch", "roots"],
             )
+        _known.clear()
 
     rows = written_once(source.mapInArrow(in_pieces(features, 1000), f"doc_id {kind}, h long, nb int, k long, n long, sketch binary, roots array<long>"))
     classes = written_once(

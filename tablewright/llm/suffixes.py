@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append, in_pieces
+from tablewright.llm.common import append, in_pieces, release_memory
 from tablewright.session import discard, written_once
 
 GRAM = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+HEAVY_BYTES = 1 << 20
 QUEUE_BYTES = 64 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -350,14 +351,16 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
     weights = written_once(distinct.groupBy("m").agg(F.sum(F.length("cut")).alias("bytes")))
     total = weights.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    heavy = weights.where(F.col("bytes") > SHARD_BYTES // 4).select("m")
+    heavy = weights.where(F.col("bytes") > HEAVY_BYTES).select("m")
     ranges = "s binary, found array<struct<a:int,b:int>>"
 
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s").reset_index(drop=True)
         starts = repeats_in(pdf["cut"].tolist(), size)
         every = [np.arange(len(c) - size + 1) if k > 1 else s for c, k, s in zip(pdf["cut"], pdf["k"], starts)]
-        return pd.DataFrame({"s": pdf["s"], "found": [_spans(s) for s in every]})
+        found = pd.DataFrame({"s": pdf["s"], "found": [_spans(s) for s in every]})
+        release_memory()
+        return found
 
     shard = F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")
     light = distinct.join(heavy, "m", "left_anti").select(shard, "s", "cut", "k").groupBy("shard").applyInPandas(sort_shard, ranges)

@@ -65,9 +65,10 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("shard", [4 << 20, 3000])
+@pytest.mark.parametrize("shard", [2 << 20, 3000])
 def test_against_all_windows(spark, monkeypatch, shard):
     monkeypatch.setattr(suffixes, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffixes, "HEAVY_BYTES", shard // 4)
     texts = corpus()
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, H long").repartition(5)
     found = {(r.h, r.n): r for r in repeated_spans(df).collect()}
