@@ -58,3 +58,16 @@ def _(t):
     right = left.filter("l_orderkey % 97 <> 0").withColumn("l_quantity", changed)
     s = compare.compare_summary(left, right, ["l_orderkey", "l_linenumber"])
     return s.select("total_rows_left", "total_rows_right", "only_in_left", "rows_with_differences")
+
+
+@query("bench_lineitem_diff_details", """
+WITH j AS (SELECT a.l_quantity <> b.l_quantity AS quantity, a.l_tax <> b.l_tax AS tax FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, l_tax, CASE WHEN l_suppkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity
+ FROM lineitem WHERE l_orderkey % 97 <> 0) b USING (l_orderkey, l_linenumber))
+SELECT 'l_quantity' AS field, count(*) FILTER (quantity) AS differences FROM j HAVING count(*) FILTER (quantity) > 0
+UNION ALL SELECT 'l_tax', count(*) FILTER (tax) FROM j HAVING count(*) FILTER (tax) > 0""")
+def _(t):
+    left = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    changed = F.when(F.col("l_suppkey") % 50 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    right = t.lineitem.filter("l_orderkey % 97 <> 0").select("l_orderkey", "l_linenumber", changed.alias("l_quantity"), "l_tax")
+    stats = compare.field_difference_stats(compare.keyed_diff(left, right, ["l_orderkey", "l_linenumber"]))
+    return stats.groupBy("field").agg(F.sum("differences").alias("differences"))
