@@ -20,6 +20,10 @@ SETTINGS = {
 }
 
 
+# Folders of intermediate tables that this process has written.
+_STEPS: list[str] = []
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName("tablewright")
     if master:
@@ -75,9 +79,19 @@ def written_once(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     table = df.sparkSession.read.schema(df.schema).parquet(folder)
     table._written_to = folder
+    _STEPS.append(folder)
     return table
 
 
+def discard_steps(spark: SparkSession, keep: DataFrame) -> None:
+    """Delete all tables of ``written_once`` but ``keep``, once results that read them are written."""
+    kept = getattr(keep, "_written_to", None)
+    for folder in _STEPS:
+        if folder != kept:
+            remove_folder(spark, folder)
+    _STEPS[:] = [kept] if kept else []
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``written_once`` that nothing will read again."""
     remove_folder(table.sparkSession, table._written_to)
