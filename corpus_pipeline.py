@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, language, mixing, near_duplicates, suffixes
-from tablewright.session import written_once
+from tablewright.session import discard_steps, written_once
 
 # Even a random guess between two families of two languages has this score.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -31,6 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes that occur elsewhere too."""
+    # ``docs`` is a written table: what earlier stages kept on the way to it is used up.
+    discard_steps(spark, docs)
     left = suffixes.remove_repeats(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
