@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, suffixes, token_counts, topk
+from tablewright.llm import alignment, bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
     scored = language_model.katz_scores(table(spark, folder, "documents"), ~held_out(F.col("doc_id"), 7, 2))
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@registered
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_counts(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
