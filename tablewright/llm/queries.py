@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import alignment, bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, suffixes, token_counts, topk
+from tablewright.llm import alignment, bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, ranked_search, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,24 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_counts(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@registered
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+i AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM i) GROUP BY doc_id, n, term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, c GROUP BY term, docs),
+s AS (SELECT i.item_id, f.doc_id,
+             CAST(sum(g.weight * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * f.n * c.docs) // c.terms)))) AS BIGINT) AS score
+      FROM f JOIN g ON f.term = g.term JOIN i ON i.term = f.term, c GROUP BY i.item_id, f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
