@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import alignment, bpe, fingerprints, language, language_model, mixing, near_duplicates, quality, ranked_search, suffixes, token_counts, topk
+from tablewright.llm import alignment, bpe, fingerprints, language, language_model, licenses, mixing, near_duplicates, quality, ranked_search, suffixes, token_counts, topk
 from tablewright.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,22 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents")).select("doc_id", "licenses.*")
+    starts = F.transform("base", lambda f: f["first_word"].cast("long"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.label_list(F.col("base")).alias("base_labels"),
+        licenses.label_list(F.concat("base", "found")).alias("labels"),
+        "score",
+    )
+
+
 @registered
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
