@@ -49,7 +49,7 @@ def length_issues(lines: DataFrame, layout: list[LayoutField], keep=()) -> DataF
 def length_issue_report(issues: DataFrame, cap: int = 200) -> DataFrame:
     """The first ``cap`` issues of a report and, on each, how many there are."""
     total = issues.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return issues.orderBy("row_number").limit(cap).withColumn("omitted", F.greatest(total - cap, F.lit(0)).cast("bigint"))
+    return issues.orderBy("row_number", *[c for c in issues.columns if c != "row_number"]).limit(cap).withColumn("omitted", F.greatest(total - cap, F.lit(0)).cast("bigint"))
 
 
 def uniform_length(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -85,9 +85,9 @@ def strict_checks(layout: list[LayoutField], level: str = "all", digits_only: bo
     checks = []
     for is_bad, f, code in _strict_conditions(layout, level, digits_only):
         name, expected, before, after = {
-            "FW_REQ_001": ("required", None, f"Required field '{f.name}' is empty", ""),
-            "FW_VAL_001": ("valid_values", ",".join(f.valid_values), f"Field '{f.name}' has invalid value '", "'"),
-            "FW_FMT_001": ("format", f.picture, f"Field '{f.name}' has invalid format for value '", "'"),
+            "FW_REQ_001": ("required", None, f"{f.name} has to be filled", ""),
+            "FW_VAL_001": ("valid_values", ",".join(f.valid_values), f"{f.name} does not allow [", "]"),
+            "FW_FMT_001": ("format", f.picture, f"{f.name} asks for picture {f.picture}, not [", "]"),
         }[code]
         checks.append(ValueCheck(is_bad, code, name, "error", f.name, F.col(f.name), expected, code, before, after))
     return checks

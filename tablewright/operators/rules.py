@@ -401,57 +401,96 @@ def _plain_number(n: Column) -> Column:
 
 
 def _group_message(i: int, r: GroupRule, value: Column) -> Column:
-    shown = F.coalesce(value, F.lit("None"))
+    shown = F.coalesce(value, F.lit("null"))
     label = _label(r)
     key = r.keys[0]
-    key_text = F.concat(F.lit(f"'{key}'='"), F.col(key).cast("string"), F.lit("'"))
+    group = F.concat(F.lit(f"{key} = "), F.col(key).cast("string"))
     if r.check == "unique":
-        return F.concat(F.lit(f"{label}: duplicate value '"), shown, F.lit(f"' in field '{key}'"))
+        return F.concat(F.lit(f"{label}: more than one row has {key} = "), shown)
     if r.check == "unique_composite":
-        return F.concat(F.lit(f"{label}: duplicate combination "), shown)
+        return F.concat(F.lit(f"{label}: more than one row has ("), shown, F.lit(")"))
     if r.check == "consistent":
-        return F.concat(F.lit(f"{label}: '{r.target}' is inconsistent within "), key_text, F.lit(" group"))
+        return F.concat(F.lit(f"{label}: rows with "), group, F.lit(f" disagree on {r.target}"))
     if r.check == "sequential":
-        return F.concat(F.lit(f"{label}: '{r.target}' is not sequential within "), key_text, F.lit(" group"))
+        return F.concat(F.lit(f"{label}: {r.target} does not count 1, 2, 3 and on where "), group)
     if r.check == "group_count":
-        return F.concat(
-            F.lit(f"{label}: expected "), _plain_number(F.col(f"_v{i}")), F.lit(" rows for "), key_text,
-            F.lit(" but found "), F.col("_n").cast("string"),
-        )
-    return F.concat(
-        F.lit(f"{label}: sum of '{r.target}' for "), key_text, F.lit(" is "), F.col(f"_v{i}").cast("string"),
-        F.lit(f" (allowed: {r.min} to {r.max})"),
-    )
+        return F.concat(F.lit(f"{label}: "), group, F.lit(" has "), F.col("_n").cast("string"), F.lit(" rows and declares "), _plain_number(F.col(f"_v{i}")))
+    return F.concat(F.lit(f"{label}: {r.target} adds up to "), F.col(f"_v{i}").cast("string"), F.lit(" where "), group, F.lit(f", outside [{r.min}, {r.max}]"))
 
 
-def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column, ids=(), within=()) -> DataFrame:
-    """Violations of cross-row rules that share keys and scope.
+def shared_keys(rules: list[GroupRule]) -> list[list[GroupRule]]:
+    """Cross-row rules by common keys and scope, in order."""
+    shared: dict = {}
+    for r in rules:
+        shared.setdefault((r.keys, r.check == "unique_composite", str(r.when)), []).append(r)
+    return list(shared.values())
 
-    One aggregation serves all rules; groups that break any of them are joined
-    back to their rows once.  Groups never cross the columns ``within``.
-    """
+
+def group_columns(rules: list[GroupRule], within=()) -> list[str]:
+    keys = list(rules[0].keys)
+    return [*keys, *[c for c in within if c not in keys]]
+
+
+def group_members(df: DataFrame, rules: list[GroupRule], row_number: Column, ids=(), within=()) -> DataFrame:
+    """The rows that cross-row rules with shared keys look at, with only the columns that they need."""
     first = rules[0]
-    keys = list(first.keys)
-    shared = [*keys, *[c for c in within if c not in keys]]
-    composite = first.check == "unique_composite"
+    shared = group_columns(rules, within)
     rows = df.filter(_scope(first.when)) if first.when is not None else df
-    if not composite:
-        rows = rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    if first.check != "unique_composite":
+        rows = rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in first.keys]))
     carried = [c for c in ids if c not in shared]
     targets = sorted({r.target for r in rules if r.target and r.target not in [*shared, *carried]})
-    rows = rows.select(row_number.cast("bigint").alias("row_number"), *shared, *carried, *targets)
+    return rows.select(row_number.cast("bigint").alias("row_number"), *shared, *carried, *targets)
+
+
+def group_partials(rows: DataFrame, rules: list[GroupRule], within=()) -> DataFrame:
+    """What the verdicts need of some members, in a form that adds up.
 
+    One row per group; where a rule asks for a sequence, one per group and
+    number, because only those can be counted across parts.
+    """
+    numbers = {}
+    for i, r in enumerate(rules):
+        if r.check == "sequential":
+            n = coerce.number_of(rows, r.target)
+            numbers[f"_s{i}"] = F.when(n == F.floor(n), n.try_cast("bigint"))
     metrics = [F.count(F.lit(1)).alias("_n")]
     for i, r in enumerate(rules):
-        metrics += _group_metrics(df, i, r, F.col("row_number"))
-    groups = rows.groupBy(*shared).agg(*metrics)
+        if r.check == "group_count":
+            n = coerce.number_of(rows, r.target)
+            metrics.append(F.min(F.when(n.isNotNull(), F.struct(F.col("row_number").alias("at"), n.alias("v")))).alias(f"_v{i}"))
+        elif r.check != "sequential":
+            metrics += _group_metrics(rows, i, r, F.col("row_number"))
+    return rows.withColumns(numbers).groupBy(*group_columns(rules, within), *numbers).agg(*metrics)
+
+
+def merged_groups(partials: DataFrame, rules: list[GroupRule], within=()) -> DataFrame:
+    """Partials of any number of parts as one row per group."""
+    metrics = [F.sum("_n").alias("_n")]
+    for i, r in enumerate(rules):
+        if r.check == "consistent":
+            metrics += [F.min(f"_lo{i}").alias(f"_lo{i}"), F.max(f"_hi{i}").alias(f"_hi{i}")]
+        elif r.check == "sequential":
+            metrics += [F.count_distinct(f"_s{i}").alias(f"_d{i}"), F.min(f"_s{i}").alias(f"_lo{i}"), F.max(f"_s{i}").alias(f"_hi{i}")]
+        elif r.check == "group_count":
+            metrics.append(F.min(f"_v{i}")["v"].alias(f"_v{i}"))
+        elif r.check == "group_sum":
+            metrics.append(F.sum(f"_v{i}").alias(f"_v{i}"))
+    return partials.groupBy(*group_columns(rules, within)).agg(*metrics)
+
+
+def member_violations(rows: DataFrame, groups: DataFrame, rules: list[GroupRule], ids=(), within=()) -> DataFrame:
+    """The violations of members whose group breaks a rule; rows meet their group once."""
+    first = rules[0]
+    keys, shared = list(first.keys), group_columns(rules, within)
+    composite = first.check == "unique_composite"
     any_bad = reduce(lambda a, b: a | b, [_group_is_bad(i, r) for i, r in enumerate(rules)])
     joined = rows_of_groups(rows, groups, shared, "_n", any_bad, null_safe=composite or len(shared) > len(keys))
 
     checks = []
     for i, r in enumerate(rules):
         if composite:
-            value = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+            value = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
             shown = ", ".join(keys)
         else:
             shown = r.target or keys[0]
@@ -463,6 +502,20 @@ def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column,
     return explode_checks(joined, F.col("row_number"), checks, ids)
 
 
+def group_violations(df: DataFrame, rules: list[GroupRule], row_number: Column, ids=(), within=()) -> DataFrame:
+    """Violations of cross-row rules that share keys and scope.
+
+    One aggregation serves all rules; groups that break any of them are joined
+    back to their rows once.  Groups never cross the columns ``within``.
+    """
+    rows = group_members(df, rules, row_number, ids, within)
+    metrics = [F.count(F.lit(1)).alias("_n")]
+    for i, r in enumerate(rules):
+        metrics += _group_metrics(df, i, r, F.col("row_number"))
+    groups = rows.groupBy(*group_columns(rules, within)).agg(*metrics)
+    return member_violations(rows, groups, rules, ids, within)
+
+
 # ------------------------------------------------------------------- entry
 def validate(df: DataFrame, rules, row_id="_row", ids=None, within=()) -> DataFrame:
     """All violations of ``rules`` in ``df``.
@@ -475,7 +528,7 @@ def validate(df: DataFrame, rules, row_id="_row", ids=None, within=()) -> DataFr
     passing; on a stream, which can not carry such a row, it is an error.
     """
     row_number = F.col(row_id) if isinstance(row_id, str) else row_id
-    ids = [c for c in ("_file",) if c in df.columns and row_id != c] if ids is None else list(ids)
+    ids = [c for c in ("_file",) if c in df.columns and not (isinstance(row_id, str) and row_id == c)] if ids is None else list(ids)
     active = rules.active() if isinstance(rules, RuleSet) else [r for r in rules if r.enabled]
     known = set(df.columns)
     skipped = [r for r in active if any(n not in known for n in _columns_needed(r)) or _nothing_to_compare(r, known)]
@@ -487,11 +540,8 @@ def validate(df: DataFrame, rules, row_id="_row", ids=None, within=()) -> DataFr
     row_rules = [r for r in usable if not isinstance(r, GroupRule)]
     if row_rules:
         parts.append(explode_value_checks(df, row_number, [row_check(df, r) for r in row_rules], ids))
-    shared: dict = {}
-    for r in usable:
-        if isinstance(r, GroupRule):
-            shared.setdefault((r.keys, r.check == "unique_composite", str(r.when)), []).append(r)
-    parts += [group_violations(df, same_key, row_number, ids, within) for same_key in shared.values()]
+    group_rules = [r for r in usable if isinstance(r, GroupRule)]
+    parts += [group_violations(df, same_key, row_number, ids, within) for same_key in shared_keys(group_rules)]
     if skipped or not parts:
         rows = []
         for r in skipped:

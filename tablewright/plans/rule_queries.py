@@ -304,16 +304,16 @@ LI = "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)"
 @query("R01_unique", group_sql(
     "uniq", LINE, "l_orderkey", "CAST(l_orderkey AS VARCHAR)",
     "(SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey IS NOT NULL) g",
-    "'uniq: duplicate value ''' || CAST(l_orderkey AS VARCHAR) || ''' in field ''l_orderkey'''", "n > 1"))
+    "'uniq: more than one row has l_orderkey = ' || CAST(l_orderkey AS VARCHAR)", "n > 1"))
 def _(t):
     return validate(t.lineitem, [GroupRule("uniq", "unique", ("l_orderkey",))], line_id())
 
 
 @query("R02_unique_composite", group_sql(
-    "uniq2", LINE, "l_orderkey, flag", "coalesce(CAST(l_orderkey AS VARCHAR), 'None') || ', ' || coalesce(flag, 'None')",
+    "uniq2", LINE, "l_orderkey, flag", "coalesce(CAST(l_orderkey AS VARCHAR), 'null') || ', ' || coalesce(flag, 'null')",
     """(SELECT *, count(*) OVER (PARTITION BY l_orderkey, flag) AS n FROM
        (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_returnflag END AS flag FROM lineitem)) g""",
-    "'uniq2: duplicate combination ' || coalesce(CAST(l_orderkey AS VARCHAR), 'None') || ', ' || coalesce(flag, 'None')", "n > 1"))
+    "'uniq2: more than one row has (' || coalesce(CAST(l_orderkey AS VARCHAR), 'null') || ', ' || coalesce(flag, 'null') || ')'", "n > 1"))
 def _(t):
     rows = t.lineitem.withColumn("flag", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")))
     return validate(rows, [GroupRule("uniq2", "unique_composite", ("l_orderkey", "flag"))], line_id())
@@ -322,7 +322,7 @@ def _(t):
 @query("R03_consistent", group_sql(
     "same_flag", LINE, "l_returnflag", "l_returnflag",
     "(SELECT *, count(DISTINCT l_returnflag) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) g",
-    "'same_flag: ''l_returnflag'' is inconsistent within ''l_orderkey''=''' || CAST(l_orderkey AS VARCHAR) || ''' group'", "n > 1"))
+    "'same_flag: rows with l_orderkey = ' || CAST(l_orderkey AS VARCHAR) || ' disagree on l_returnflag'", "n > 1"))
 def _(t):
     return validate(t.lineitem, [GroupRule("same_flag", "consistent", ("l_orderkey",), target="l_returnflag")], line_id())
 
@@ -351,7 +351,7 @@ def _(t):
 WITH c AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL WHEN conv_id % 5 = 0 THEN '3' ELSE CAST(turn + 1 AS VARCHAR) END AS declared FROM conversations),
 k AS (SELECT conv_id, count(*) AS n, arg_min(CAST(declared AS BIGINT), turn) FILTER (declared IS NOT NULL) AS v FROM c GROUP BY conv_id)
 SELECT CAST(c.conv_id * 100 + c.turn AS BIGINT) AS row_number, c.declared AS value,
-  'cnt: expected ' || CAST(v AS VARCHAR) || ' rows for ''conv_id''=''' || CAST(c.conv_id AS VARCHAR) || ''' but found ' || CAST(n AS VARCHAR) AS message
+  'cnt: conv_id = ' || CAST(c.conv_id AS VARCHAR) || ' has ' || CAST(n AS VARCHAR) || ' rows and declares ' || CAST(v AS VARCHAR) AS message
 FROM c JOIN k USING (conv_id) WHERE v <> n""")
 def _(t):
     declared = F.when(F.col("turn") == 0, None).when(F.col("conv_id") % 5 == 0, "3").otherwise((F.col("turn") + 1).cast("string"))
@@ -363,7 +363,7 @@ def _(t):
 @query("R06_group_sum", """
 WITH k AS (SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(30,2))) AS s FROM lineitem GROUP BY l_orderkey)
 SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS row_number, CAST(l.l_quantity AS VARCHAR) AS value,
-  'total: sum of ''l_quantity'' for ''l_orderkey''=''' || CAST(l.l_orderkey AS VARCHAR) || ''' is ' || CAST(s AS VARCHAR) || ' (allowed: 20 to 200)' AS message
+  'total: l_quantity adds up to ' || CAST(s AS VARCHAR) || ' where l_orderkey = ' || CAST(l.l_orderkey AS VARCHAR) || ', outside [20, 200]' AS message
 FROM lineitem l JOIN k USING (l_orderkey) WHERE s < 20 OR s > 200""")
 def _(t):
     rule = GroupRule("total", "group_sum", ("l_orderkey",), target="l_quantity", min=20, max=200, scale=2)

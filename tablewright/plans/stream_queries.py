@@ -33,9 +33,9 @@ def watched_orders(t, files_per_batch):
     folder = landed(t, "watch", t.orders.repartition(4, "o_custkey"))
     target = watch.WatchTarget(f"{folder}/in", ORDERS_SCHEMA, f"{folder}/out", f"{folder}/state", files_per_batch=files_per_batch)
     rules = [FieldRule("price_cap", "o_totalprice", "<=", value=400000), GroupRule("one_per_customer", "unique", ("o_custkey",))]
-    watch.watch_and_validate(t.spark, target, rules, "o_orderkey").awaitTermination()
+    watch.watch_and_validate(t.spark, target, rules, "o_orderkey", unit="file").awaitTermination()
     # A second run finds nothing new and adds nothing.
-    watch.watch_and_validate(t.spark, target, rules, "o_orderkey").awaitTermination()
+    watch.watch_and_validate(t.spark, target, rules, "o_orderkey", unit="file").awaitTermination()
     return watch.read_results(t.spark, target)[0].groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"))
 
 
@@ -49,6 +49,30 @@ def _(t):
     return watched_orders(t, 2)
 
 
+@query("Z01_watch_across_batches", """
+WITH o AS (SELECT *, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS row_number FROM lineitem),
+k AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi,
+  sum(CAST(l_quantity AS DECIMAL(30,2))) AS s FROM o GROUP BY l_orderkey)
+SELECT 'cap' AS rule_id, row_number FROM o WHERE NOT l_discount <= 0.09
+UNION ALL SELECT 'one_line', row_number FROM o JOIN k USING (l_orderkey) WHERE n > 1
+UNION ALL SELECT 'same_flag', row_number FROM o JOIN k USING (l_orderkey) WHERE flags > 1
+UNION ALL SELECT 'numbered', row_number FROM o JOIN k USING (l_orderkey) WHERE NOT (d = n AND lo = 1 AND hi = n)
+UNION ALL SELECT 'total', row_number FROM o JOIN k USING (l_orderkey) WHERE s < 20 OR s > 200""")
+def _(t):
+    """The lines of an order are spread over files that arrive in several batches."""
+    folder = landed(t, "watch", t.lineitem.repartition(5, "l_linenumber", "l_partkey"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.lineitem.schema)
+    target = watch.WatchTarget(f"{folder}/in", schema, f"{folder}/out", f"{folder}/state", files_per_batch=2)
+    key = ("l_orderkey",)
+    rules = [
+        FieldRule("cap", "l_discount", "<=", value=0.09), GroupRule("one_line", "unique", key), GroupRule("same_flag", "consistent", key, target="l_returnflag"),
+        GroupRule("numbered", "sequential", key, target="l_linenumber"), GroupRule("total", "group_sum", key, target="l_quantity", min=20, max=200, scale=2),
+    ]
+    for _ in range(2):
+        watch.watch_and_validate(t.spark, target, rules, line_id(), unit="all").awaitTermination()
+    return watch.landed_violations(t.spark, target, rules).select("rule_id", "row_number")
+
+
 @query("Z01_watch_metrics", "SELECT count(*) AS total_rows, count(*) FILTER (o_totalprice <= 400000) AS valid_rows, count(*) FILTER (o_totalprice > 400000) AS error_count FROM orders")
 def _(t):
     folder = landed(t, "watch", t.orders.repartition(4))

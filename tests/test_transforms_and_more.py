@@ -173,6 +173,27 @@ def test_watch_is_once_only(spark, tmp_path):
     assert {r.row_number for r in validate(first, rules, "id").collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_watch_across_files_and_batches(spark, tmp_path, files):
+    schema = "id int, k string, n string, c string"
+    rows = [(1, "a", "1", None), (2, "b", "1", "2"), (3, "a", "2", "x"), (4, None, "9", None), (5, "c", "1", None), (6, "b", "2", "2"), (7, "a", "2", "4"), (8, "d", "1", "1"), (9, "c", "3", None)]
+    target = watch.WatchTarget(str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=files)
+    keys = ("k",)
+    rules = [
+        FieldRule("f", "k", "not_null"), GroupRule("u", "unique", keys), GroupRule("s", "sequential", keys, target="n"), GroupRule("g", "group_count", keys, target="c"),
+        GroupRule("k", "consistent", keys, target="n"), GroupRule("t", "group_sum", keys, target="n", max=3), GroupRule("p", "unique_composite", ("k", "n")), GroupRule("gone", "unique", ("nowhere",)),
+    ]
+    for part in (rows[:5], rows[5:8], rows[8:]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            watch.watch_and_validate(spark, target, rules, "id", unit="all").awaitTermination()
+    got = [tuple(r) for r in watch.landed_violations(spark, target, rules).where("rule_id <> 'gone'").select("rule_id", "row_number", "value", "message").collect()]
+    want = [tuple(r) for r in validate(spark.createDataFrame(rows, schema), rules, "id").where("rule_id <> 'gone'").select("rule_id", "row_number", "value", "message").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 15
+    states = watch.merge_states(spark, target, rules, str(tmp_path / "merged"))
+    assert sorted(r._n for r in states[0].collect()) == [1, 2, 2, 3]
+
+
 def test_stream_refuses_cross_row_rules(spark):
     with pytest.raises(ValueError):
         watch.stream_violations(spark.readStream.format("rate").load(), [GroupRule("u", "unique", ("value",))], "value")
