@@ -20,6 +20,7 @@ from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.profile import pct
 from tablewright.operators.violations import explode_found
 from tablewright.session import written_once
+from tablewright.sources.rows import number_rows
 
 ROW_COLUMNS = ("_row", "_file")
 
@@ -102,25 +103,64 @@ def _comparable(a: T.DataType, b: T.DataType) -> bool:
     return a == b or (isinstance(a, T.NumericType) and isinstance(b, T.NumericType))
 
 
+def _digits(kind: T.DataType) -> tuple[int, int]:
+    """Digits before and after the point that a whole or decimal type can hold."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    return {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}[kind.simpleString()], 0
+
+
 def _common_type(a: T.DataType, b: T.DataType) -> str | None:
-    """The type in which two numeric columns of different types are compared."""
-    if a == b or not _comparable(a, b):
-        return None
-    if isinstance(a, T.FractionalType) and isinstance(b, T.FractionalType) and isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
-        return f"decimal(38,{max(a.scale, b.scale)})"
-    if any(isinstance(x, (T.DoubleType, T.FloatType)) for x in (a, b)):
-        return "double"
-    scales = [x.scale for x in (a, b) if isinstance(x, T.DecimalType)]
-    return f"decimal(38,{max(scales)})" if scales else "bigint"
-
-
-def _aligned(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with numeric columns of different types in their common type."""
-    casts = {c: _common_type(left.schema[c].dataType, right.schema[c].dataType) for c in names}
-    casts = {c: kind for c, kind in casts.items() if kind}
+    """A type that holds every value of two numeric types exactly, if there is one."""
+    binary = [isinstance(x, (T.DoubleType, T.FloatType)) for x in (a, b)]
+    if any(binary):
+        return "double" if all(binary) else None
+    before, after = (max(x) for x in zip(_digits(a), _digits(b), strict=True))
+    if not after and before <= 19 and not any(isinstance(x, T.DecimalType) for x in (a, b)):
+        return "bigint"
+    return f"decimal({before + after},{after})" if before + after <= 38 else None
+
+
+def number_form(c: Column) -> Column:
+    """Sign, digits without zeros at their ends, and power of ten of any number, as text.
+
+    Equal numbers have equal forms whatever their types, and nothing has to fit
+    into a common type.  Binary floating point counts as the decimal that it
+    is written as; NaN and infinities are their names.
+    """
+    text = c.cast("string")
+    mantissa = F.regexp_replace(text, "^-|E.*$", "")
+    exponent = F.coalesce(F.regexp_extract(text, "E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+    core = F.rtrim(digits, F.lit("0"))
+    decimals = F.char_length(F.regexp_extract(mantissa, "[.]([0-9]*)$", 1))
+    power = exponent - decimals + F.char_length(digits) - F.char_length(core)
+    form = F.concat(F.when(text.startswith("-"), "-").otherwise(""), core, F.lit("e"), power.cast("string"))
+    return F.when(~text.rlike("^-?[0-9]"), text).when(core == "", F.lit("0")).otherwise(form)
+
+
+def _aligned(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Both sides with numeric columns of different types made comparable.
+
+    Where a type holds both exactly they are cast to it.  Otherwise the column
+    becomes its ``number_form``, and a further column, named in the third
+    result, keeps the value as the side wrote it.
+    """
+    casts, shown, taken = {}, {}, {*left.columns, *right.columns}
+    for n, c in enumerate(names):
+        a, b = left.schema[c].dataType, right.schema[c].dataType
+        if a == b or not _comparable(a, b):
+            continue
+        kind = _common_type(a, b)
+        if kind:
+            casts[c] = F.col(c).cast(kind)
+        else:
+            casts[c] = number_form(F.col(c))
+            shown[c] = next(x for x in (f"_shown{n}{'_' * i}" for i in range(len(taken) + 1)) if x not in taken)
     if not casts:
-        return left, right
-    return tuple(side.withColumns({c: F.col(c).try_cast(kind) for c, kind in casts.items()}) for side in (left, right))
+        return left, right, {}
+    texts = {name: F.col(c).cast("string") for c, name in shown.items()}
+    return *(side.withColumns(texts).withColumns(casts) for side in (left, right)), shown
 
 
 def schema_differences(left: DataFrame, right: DataFrame, keys: list[str], ignore=()) -> tuple[list[str], list[str]]:
@@ -133,19 +173,20 @@ def schema_differences(left: DataFrame, right: DataFrame, keys: list[str], ignor
     return extra(left, right), extra(right, left)
 
 
-def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool]], nulls_differ: bool) -> DataFrame:
+def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool]], nulls_differ: bool, shown: dict[str, str] | None = None) -> DataFrame:
     """Explode rows holding ``_l`` and ``_r`` structs into differing fields."""
     entries = []
     for name, same_type in fields:
         a, b = F.col("_l")[name], F.col("_r")[name]
+        seen = (shown or {}).get(name, name)
         differs = _differs(a, b, nulls_differ) if same_type else a.isNotNull() | b.isNotNull() | F.lit(nulls_differ)
         entries.append(
             F.when(
                 differs,
                 F.struct(
                     F.lit(name).alias("field"),
-                    a.cast("string").alias("left_value"),
-                    b.cast("string").alias("right_value"),
+                    F.col("_l")[seen].cast("string").alias("left_value"),
+                    F.col("_r")[seen].cast("string").alias("right_value"),
                     difference_type(a, b, same_type).alias("diff_type"),
                     F.lit(1).cast("bigint").alias("pairs"),
                 ),
@@ -154,11 +195,19 @@ def _field_diffs(pairs: DataFrame, keys: list[str], fields: list[tuple[str, bool
     return explode_found(pairs, keys, F.array(*entries))
 
 
-def _unique_diff(left: DataFrame, right: DataFrame, keys, fields, nulls_differ) -> DataFrame:
-    """Diff of sides without repeated keys: one equi-join, null keys meet."""
+def _unique_diff(left: DataFrame, right: DataFrame, keys, fields, nulls_differ, shown=None, checked: bool = True) -> DataFrame:
+    """Diff of sides without repeated keys: one equi-join, null keys meet.
+
+    Unless ``checked``, the right side is reduced to its keys first (in the
+    shuffle that the join needs anyway), and a key that repeats is an error.
+    """
+    if not checked:
+        right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_r").alias("_r"))
+        told = F.raise_error(F.lit(f"a key repeats on the right side, which unique_keys rules out: {', '.join(keys)}"))
+        right = right.withColumn("_r", F.when(F.col("_n") > 1, told).otherwise(F.col("_r")))
     other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_r")
     same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return _field_diffs(left.join(other, same_key), keys, fields, nulls_differ)
+    return _field_diffs(left.join(other, same_key), keys, fields, nulls_differ, shown)
 
 
 def keyed_diff(
@@ -173,7 +222,8 @@ def keyed_diff(
 
     Columns: the keys, ``field, left_value, right_value, diff_type, pairs``.
     With ``unique_keys`` the caller states that no key repeats, and the diff is
-    one equi-join.  Otherwise the keys are counted first (this runs a job), and
+    one equi-join; a key that does repeat on the right is an error, one that
+    repeats on the left is compared row by row.  Otherwise the keys are counted first (this runs a job), and
     only if some repeat are they told apart: a key that is single on one side
     is paired with each of its rows on the other side; a key repeated on both
     sides yields one ``many_to_many`` row per field with the exact number of
@@ -181,18 +231,18 @@ def keyed_diff(
     """
     names = value_columns(left, right, keys, ignore)
     fields = [(c, _comparable(left.schema[c].dataType, right.schema[c].dataType)) for c in names]
-    left, right = _aligned(left, right, names)
+    left, right, shown = _aligned(left, right, names)
     out = [*keys, "field", "left_value", "right_value", "diff_type", "pairs"]
-    packed_left = left.select(*keys, F.struct(*names).alias("_l"))
-    packed_right = right.select(*keys, F.struct(*names).alias("_r"))
+    packed_left = left.select(*keys, F.struct(*names, *shown.values()).alias("_l"))
+    packed_right = right.select(*keys, F.struct(*names, *shown.values()).alias("_r"))
     if unique_keys:
-        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ).select(*out)
+        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ, shown, checked=False).select(*out)
 
     # Repeated keys with a partner; a narrow aggregation, written because the
     # steps below read it several times.
     repeats = written_once(key_balance(left, right, keys).filter("n_left > 0 AND n_right > 0 AND (n_left > 1 OR n_right > 1)"))
     if repeats.isEmpty():
-        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ).select(*out)
+        return _unique_diff(packed_left, packed_right, keys, fields, nulls_differ, shown).select(*out)
 
     # Both sides meet in one aggregation; for a single row ``min`` is the row.
     both = packed_left.withColumn("_r", F.lit(None).cast(packed_right.schema["_r"].dataType)).unionByName(
@@ -212,9 +262,9 @@ def keyed_diff(
     return reduce(
         DataFrame.unionByName,
         [
-            _field_diffs(single, keys, fields, nulls_differ).select(*out),
-            _field_diffs(fan_right, keys, fields, nulls_differ).select(*out),
-            _field_diffs(fan_left, keys, fields, nulls_differ).select(*out),
+            _field_diffs(single, keys, fields, nulls_differ, shown).select(*out),
+            _field_diffs(fan_right, keys, fields, nulls_differ, shown).select(*out),
+            _field_diffs(fan_left, keys, fields, nulls_differ, shown).select(*out),
             _many_to_many(many_left.filter(both_many), many_right.filter(both_many), keys, fields, nulls_differ).select(*out),
         ],
     )
@@ -243,6 +293,88 @@ def _many_to_many(left: DataFrame, right: DataFrame, keys, fields, nulls_differ)
     )
 
 
+# ------------------------------------------------- details by cancellation
+def _contents(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct contents with their number of rows per side."""
+    both = left.select(*columns, F.lit(1).alias("_nl"), F.lit(0).alias("_nr")).unionByName(
+        right.select(*columns, F.lit(0).alias("_nl"), F.lit(1).alias("_nr"))
+    )
+    return both.groupBy(*columns).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr"))
+
+
+def _left_over(rows: DataFrame, contents: DataFrame, columns: list[str], keys: list[str], own: str, other: str, ids: list[str]) -> DataFrame:
+    """Rows of a side that no equal row of the other side cancels, numbered within their key.
+
+    Of equal rows those with the smallest ids are cancelled.  Numbers come
+    from one distributed sort and from where contents and keys begin in it, so
+    no key or content is gathered in a task.
+    """
+    surplus = contents.filter(F.col(own) > F.col(other)).select(*columns, F.col(own).alias("_own"), F.col(other).alias("_gone"))
+    placed = number_rows(rows_of_groups(rows, surplus, columns, "_own", null_safe=True), [*columns, *ids], "_num")
+    begun = placed.groupBy(*columns).agg(F.min("_num").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    placed = rows_of_groups(placed, begun, columns, "_size", null_safe=True)
+    left = placed.filter(F.col("_num") - F.col("_first") >= F.col("_gone")).drop("_own", "_gone", "_first", "_size", "_num")
+    left = number_rows(left, [*keys, *columns[len(keys):], *ids], "_num")
+    begun = left.groupBy(*keys).agg(F.min("_num").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    left = rows_of_groups(left, begun, keys, "_size", null_safe=True)
+    return left.withColumn("_place", F.col("_num") - F.col("_first")).drop("_num", "_first", "_size")
+
+
+def matched_diff(left: DataFrame, right: DataFrame, keys: list[str], ignore=(), ids=None) -> DataFrame:
+    """Differences between rows that share a key, each with its source rows.
+
+    Equal rows of both sides cancel each other, as often as both have them.
+    What is left of a key is paired in the order of its values, the first row
+    of one side with the first of the other, and every field that differs in a
+    pair is listed with both values.  A row without a partner is listed once,
+    with no field, as ``extra_in_left`` or ``extra_in_right``.  So repeated
+    keys never multiply, and the result is linear in the rows that differ.
+    Keys that only one side has are left to ``only_in_left`` and ``only_in_right``.
+
+    ``ids`` are the columns that name a source row (by default ``_row`` and
+    ``_file``, where both sides have them); they come back as structs
+    ``left_row`` and ``right_row``.  Numbers of different types are compared
+    exactly.  Contents are counted and rows numbered first: this runs jobs.
+    """
+    ids = [c for c in ROW_COLUMNS if c in left.columns and c in right.columns] if ids is None else list(ids)
+    names = [c for c in value_columns(left, right, keys, ignore) if c not in ids]
+    fields = [(c, _comparable(left.schema[c].dataType, right.schema[c].dataType)) for c in names]
+    left, right, shown = _aligned(left, right, names)
+    # Text and numbers never agree: such columns meet as texts that tell the side.
+    apart = [c for c, same in fields if not same]
+    for c in apart:
+        shown[c] = next(x for x in (f"_text{'_' * i}" + c for i in range(99)) if x not in left.columns and x not in right.columns)
+    tagged = [
+        side.withColumns({shown[c]: F.col(c).cast("string") for c in apart}).withColumns({c: F.concat(F.lit(tag), F.col(c).cast("string")) for c in apart})
+        for side, tag in ((left, "left "), (right, "right "))
+    ]
+    columns = [*keys, *names]
+    # Written values can differ between equal numbers; any of them will do.
+    left, right = (side.select(*columns, *shown.values(), *ids) for side in tagged)
+    contents = written_once(_contents(left, right, columns))
+    shared = contents.groupBy(*keys).agg(F.sum("_nl").alias("_l"), F.sum("_nr").alias("_r")).filter("_l > 0 AND _r > 0")
+    uneven = contents.filter("_nl <> _nr").groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    open_keys = written_once(shared.join(uneven.select(*[F.col(k).alias(f"_k_{k}") for k in keys]), keyed, "left_semi").withColumn("_size", F.col("_l") + F.col("_r")))
+    # Only contents of keys that both sides have.
+    in_play = written_once(rows_of_groups(contents.filter("_nl <> _nr"), open_keys.select(*keys, "_size"), keys, "_size", null_safe=True).drop("_size"))
+    sides = []
+    for side, own, other, place in ((left, "_nl", "_nr", "_l"), (right, "_nr", "_nl", "_r")):
+        rest = _left_over(side, in_play, columns, keys, own, other, ids)
+        sides.append(rest.select(*keys, "_place", F.struct(*names, *shown.values(), F.struct(*ids).alias("_id") if ids else F.lit(None).cast("int").alias("_id")).alias(place)))
+    other = sides[1].select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_place").alias("_at"), "_r")
+    pairs = sides[0].join(other, keyed & (F.col("_place") == F.col("_at")), "full_outer")
+    pairs = pairs.withColumns({k: F.coalesce(F.col(k), F.col(f"_k_{k}")) for k in keys})
+    rows = [F.col("_l")["_id"].alias("left_row"), F.col("_r")["_id"].alias("right_row")]
+    changed = _field_diffs(
+        pairs.filter("_l IS NOT NULL AND _r IS NOT NULL").withColumns({"left_row": rows[0], "right_row": rows[1]}), [*keys, "left_row", "right_row"], fields, False, shown
+    ).drop("pairs")
+    nothing = F.lit(None).cast("string")
+    kind = F.when(F.col("_r").isNull(), "extra_in_left").otherwise("extra_in_right")
+    extra = pairs.filter("_l IS NULL OR _r IS NULL").select(*keys, *rows, nothing.alias("field"), nothing.alias("left_value"), nothing.alias("right_value"), kind.alias("diff_type"))
+    return changed.select(*extra.columns).unionByName(extra)
+
+
 def field_difference_stats(diffs: DataFrame) -> DataFrame:
     """Differences per field and type."""
     return diffs.groupBy("field", "diff_type").agg(F.sum("pairs").alias("differences"))
@@ -271,7 +403,7 @@ def compare_summary(left: DataFrame, right: DataFrame, keys: list[str], ignore=(
     names = value_columns(left, right, keys, ignore)
     extra_left, extra_right = schema_differences(left, right, keys, ignore)
     apart = [c for c in names if not _comparable(left.schema[c].dataType, right.schema[c].dataType)]
-    left, right = _aligned(left, right, names)
+    left, right, _ = _aligned(left, right, names)
     if apart:
         left = left.withColumns({c: F.concat(F.lit("left "), F.col(c).cast("string")) for c in apart})
         right = right.withColumns({c: F.concat(F.lit("right "), F.col(c).cast("string")) for c in apart})

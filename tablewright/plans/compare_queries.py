@@ -84,6 +84,69 @@ def _(t):
     return compare.keyed_diff(*sides(t), KEYS, nulls_differ=True)
 
 
+# Lines under their order key alone, so keys repeat; the line number names the source row.
+LINES_SQL = """WITH a AS (SELECT l_orderkey AS k, l_returnflag AS flag, CAST(l_quantity AS DECIMAL(12,2)) AS q, l_linenumber AS n FROM lineitem),
+b AS (SELECT l_orderkey AS k, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_returnflag END AS flag,
+      CAST(CASE WHEN l_partkey % 40 = 0 THEN l_quantity + 1 ELSE l_quantity END AS DECIMAL(12,2)) AS q, l_linenumber + 10 AS n
+      FROM lineitem WHERE l_suppkey % 30 <> 0
+      UNION ALL SELECT l_orderkey, l_returnflag, CAST(l_quantity AS DECIMAL(12,2)), l_linenumber + 20 FROM lineitem WHERE l_partkey % 70 = 0)"""
+
+
+def repeated_lines(t):
+    k, flag, n = F.col("l_orderkey").alias("k"), F.col("l_returnflag"), F.col("l_linenumber")
+    q = F.col("l_quantity").cast("decimal(12,2)")
+    a = t.lineitem.select(k, flag.alias("flag"), q.alias("q"), n.alias("n"))
+    more = F.when(F.col("l_partkey") % 40 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).cast("decimal(12,2)")
+    b = t.lineitem.filter("l_suppkey % 30 <> 0").select(k, F.when(F.col("l_partkey") % 50 != 0, flag).alias("flag"), more.alias("q"), (n + 10).alias("n"))
+    return a, b.unionByName(t.lineitem.filter("l_partkey % 70 = 0").select(k, flag.alias("flag"), q.alias("q"), (n + 20).alias("n")))
+
+
+@query("C03_matched_diff", f"""{LINES_SQL},
+c AS (SELECT k, flag, q, sum(l) AS l, sum(r) AS r FROM (SELECT k, flag, q, 1 AS l, 0 AS r FROM a UNION ALL SELECT k, flag, q, 0, 1 FROM b) GROUP BY k, flag, q),
+x AS (SELECT *, row_number() OVER (PARTITION BY k, flag, q ORDER BY n) AS i FROM a WHERE k IN (SELECT k FROM b)),
+y AS (SELECT *, row_number() OVER (PARTITION BY k, flag, q ORDER BY n) AS i FROM b WHERE k IN (SELECT k FROM a)),
+u AS (SELECT x.k, x.flag, x.q, x.n, row_number() OVER (PARTITION BY x.k ORDER BY x.flag NULLS FIRST, x.q NULLS FIRST, x.n) AS j
+      FROM x JOIN c ON x.k = c.k AND x.flag IS NOT DISTINCT FROM c.flag AND x.q IS NOT DISTINCT FROM c.q WHERE x.i > c.r),
+v AS (SELECT y.k, y.flag, y.q, y.n, row_number() OVER (PARTITION BY y.k ORDER BY y.flag NULLS FIRST, y.q NULLS FIRST, y.n) AS j
+      FROM y JOIN c ON y.k = c.k AND y.flag IS NOT DISTINCT FROM c.flag AND y.q IS NOT DISTINCT FROM c.q WHERE y.i > c.l),
+p AS (SELECT u.k, u.n AS left_n, v.n AS right_n, u.flag AS f, v.flag AS g, u.q AS s, v.q AS t FROM u JOIN v ON u.k = v.k AND u.j = v.j)
+SELECT k, left_n, right_n, 'flag' AS field, f AS left_value, g AS right_value,
+  CASE WHEN f IS NULL THEN 'null_to_value' WHEN g IS NULL THEN 'value_to_null' ELSE 'value_difference' END AS diff_type FROM p WHERE f IS DISTINCT FROM g
+UNION ALL SELECT k, left_n, right_n, 'q', CAST(s AS VARCHAR), CAST(t AS VARCHAR), 'value_difference' FROM p WHERE s IS DISTINCT FROM t
+UNION ALL SELECT k, n, NULL, NULL, NULL, NULL, 'extra_in_left' FROM u WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.k = u.k AND v.j = u.j)
+UNION ALL SELECT k, NULL, n, NULL, NULL, NULL, 'extra_in_right' FROM v WHERE NOT EXISTS (SELECT 1 FROM u WHERE v.k = u.k AND v.j = u.j)""")
+def _(t):
+    found = compare.matched_diff(*repeated_lines(t), ["k"], ids=["n"])
+    return found.withColumns({"left_n": F.col("left_row.n"), "right_n": F.col("right_row.n")}).drop("left_row", "right_row")
+
+
+# Prices that fit no common type: 38 whole digits on one side, six decimals on the other; keys above 2**53 against doubles.
+WIDE_SQL = """WITH a AS (SELECT o_orderkey AS k, CAST(o_custkey AS HUGEINT) * CAST('10000000000000000000000000000' AS HUGEINT) AS big,
+  CAST(9007199254740992 AS BIGINT) + o_orderkey % 4 AS n FROM orders WHERE o_orderkey % 3 > 0),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey + 0.5 AS DECIMAL(20,6)) END AS small FROM orders WHERE o_orderkey % 3 > 0)"""
+
+
+def wide_numbers(t):
+    rows = t.orders.filter("o_orderkey % 3 > 0")
+    big = F.concat(F.col("o_custkey").cast("string"), F.lit("0" * 28)).cast("decimal(38,0)")
+    a = rows.select(F.col("o_orderkey").alias("k"), big.alias("price"), (F.lit(2**53) + F.col("o_orderkey") % 4).alias("n"))
+    small = F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") + F.lit("0.5").cast("decimal(3,1)")).cast("decimal(20,6)"))
+    return a, rows.select(F.col("o_orderkey").alias("k"), small.alias("price"), F.lit(float(2**53)).alias("n"))
+
+
+@query("C03_exact_numbers", f"""{WIDE_SQL}
+SELECT a.k, 'price' AS field, CAST(a.big AS VARCHAR) AS left_value, CAST(b.small AS VARCHAR) AS right_value,
+  CASE WHEN b.small IS NULL THEN 'value_to_null' ELSE 'value_difference' END AS diff_type, CAST(1 AS BIGINT) AS pairs FROM a JOIN b ON a.k = b.k
+UNION ALL SELECT k, 'n', CAST(n AS VARCHAR), '9.007199254740992E15', 'value_difference', CAST(1 AS BIGINT) FROM a WHERE n <> 9007199254740992""")
+def _(t):
+    return compare.keyed_diff(*wide_numbers(t), ["k"])
+
+
+@query("C09_exact_numbers", f"""{WIDE_SQL} SELECT count(*) AS rows_with_differences, CAST(0 AS BIGINT) AS matching_rows, 'failed' AS status FROM a""")
+def _(t):
+    return compare.compare_status(compare.compare_summary(*wide_numbers(t), ["k"])).select("rows_with_differences", "matching_rows", "status")
+
+
 @query("C04_ignore_columns", f"{SIDES_SQL} {diff_sql(['o_orderstatus', 'o_orderpriority'])}")
 def _(t):
     return compare.keyed_diff(*sides(t), KEYS, ignore=("o_custkey", "o_totalprice", "o_orderdate"), unique_keys=True)

