@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import coerce
 from tablewright.functions import transforms as tf
-from tablewright.operators.groups import rows_of_groups
+from tablewright.operators.groups import HOT_SHARE, rows_of_groups
 from tablewright.operators.profile import pct
 from tablewright.operators.violations import explode_found
 from tablewright.session import written_once
@@ -490,7 +490,8 @@ def transform_mismatch(source: DataFrame, targets: list, actual: DataFrame, keys
     A key that repeats on both sides has no defined partner and is an error:
     keys are counted first (this runs a job).
     """
-    if not key_balance(source, actual, keys).filter("n_left > 1 AND n_right > 1").isEmpty():
+    balance = written_once(key_balance(source, actual, keys))
+    if not balance.filter("n_left > 1 AND n_right > 1").isEmpty():
         raise ValueError(f"keys {keys} repeat on both sides")
     build = {t.name: t for t in targets}
     made = F.struct(*[
@@ -498,7 +499,24 @@ def transform_mismatch(source: DataFrame, targets: list, actual: DataFrame, keys
         for i, (name, c) in enumerate(fields.items())
     ])
     given = F.struct(*[F.col(name).cast("string").alias(f"f{i}") for i, name in enumerate(fields)])
-    joined = source.select(*keys, made.alias("_made")).join(actual.select(*keys, given.alias("_given")), keys, "left")
+    made_rows, given_rows = source.select(*keys, made.alias("_made")), actual.select(*keys, given.alias("_given"))
+    # Keys that are single on both sides, or lack a partner, join as they are.  A key that repeats on one side is
+    # single on the other, which becomes its verdict: hot keys are split off and never shuffled.
+    many = balance.filter("n_left > 0 AND n_right > 0 AND (n_left > 1 OR n_right > 1)")
+    if many.isEmpty():
+        joined = made_rows.join(given_rows, keys, "left")
+    else:
+        repeated = many.withColumn("_size", F.col("n_left") + F.col("n_right")).select(*keys, "n_left", "n_right", "_size")
+        made_many = written_once(rows_of_groups(made_rows, repeated, keys, "_size"))
+        given_many = written_once(rows_of_groups(given_rows, repeated, keys, "_size"))
+        fan = [
+            rows_of_groups(made_many.filter("n_left > 1").select(*keys, "_made"), given_many.filter("n_left > 1").select(*keys, "_given", "_size"), keys, "_size"),
+            rows_of_groups(given_many.filter("n_right > 1").select(*keys, "_given"), made_many.filter("n_right > 1").select(*keys, "_made", "_size"), keys, "_size"),
+        ]
+        # Null keys have no partner; those and all that does not repeat stay in the plain join.
+        hot_free = [_without_groups(rows, repeated, keys) for rows in (made_rows, given_rows)]
+        joined = hot_free[0].join(hot_free[1], keys, "left").select(*keys, "_made", "_given")
+        joined = reduce(DataFrame.unionByName, [joined, *[f.select(*keys, "_made", "_given") for f in fan]])
     cells = F.array(*[
         F.struct(
             F.lit(name).alias("field"),
@@ -511,6 +529,13 @@ def transform_mismatch(source: DataFrame, targets: list, actual: DataFrame, keys
     return joined.select(*keys, F.inline(cells)).withColumn("match", F.col("transformed_value").eqNullSafe(F.col("file_value")))
 
 
+def _without_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of other keys than those of ``groups``; hot groups leave before the shuffle."""
+    total = groups.agg(F.sum("_size").alias("_total")).scalar()
+    hot = groups.filter(F.col("_size") * HOT_SHARE > total).select(*keys)
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(groups.select(*keys), keys, "left_anti")
+
+
 def mismatch_totals(mismatches: DataFrame) -> DataFrame:
     per_field = mismatches.groupBy("field").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("match")).alias("matched"), F.count_if(~F.col("match")).alias("mismatched")

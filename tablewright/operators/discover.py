@@ -96,20 +96,31 @@ def modal_column_count(lines: DataFrame, delimiter: str, file: str = "file") ->
     return counted.groupBy(file).agg(F.max_by("n", F.struct("lines", -F.col("first"))).alias("column_count"))
 
 
+# Positions of one bitmap; a bigint holds them without its sign.
+BITMAP = 60
+
+
 def infer_boundaries(lines: DataFrame, file: str = "file") -> DataFrame:
     """Fields of fixed-width files: runs of positions filled on some line.
 
-    Positions are reduced to one row per file and position before the shuffle;
-    the runs are then found over at most one line width per file.  A file with
-    blank lines only is one field.
+    Each ``BITMAP`` characters of a line become one bitmap of filled positions,
+    and the bitmaps of a file are combined by OR before the shuffle.  The runs
+    are then found over at most one line width per file.  A file with blank
+    lines only is one field.
     """
-    chars = lines.select(file, F.posexplode(F.split("content", "")).alias("i", "ch")).filter("ch <> ''")
-    used = chars.groupBy(file, F.col("i").alias("i")).agg(F.bool_or(F.col("ch") != " ").alias("filled"))
-    filled = used.filter("filled")
+    width = F.char_length("content")
+    starts = F.sequence(F.lit(0), F.floor((width - 1) / BITMAP).cast("int"))
+    pieces = lines.filter("content <> ''").select(file, width.alias("width"), "content", F.explode(starts).alias("piece"))
+    # The first character is the lowest bit.
+    text = F.reverse(F.substring(F.col("content"), F.col("piece") * BITMAP + 1, F.lit(BITMAP)))
+    bits = F.conv(F.translate(F.regexp_replace(text, "[^ ]", "1"), " ", "0"), 2, 10).cast("bigint")
+    used = pieces.groupBy(file, "piece").agg(F.bit_or(bits).alias("bits"), F.max("width").alias("width"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(BITMAP - 1)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    filled = used.select(file, F.explode(F.transform(places, lambda i: F.col("piece") * BITMAP + i)).alias("i"))
     # Consecutive positions share the difference to their rank.
     rank = F.row_number().over(W.partitionBy(file).orderBy("i"))
     runs = filled.withColumn("run", F.col("i") - rank).groupBy(file, "run").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"))
-    blank_only = used.groupBy(file).agg(F.bool_or("filled").alias("any"), (F.max("i") + 1).alias("hi")).filter("NOT any")
+    blank_only = used.groupBy(file).agg(F.max(F.col("bits") != 0).alias("any"), F.max("width").alias("hi")).filter("NOT any")
     spans = runs.select(file, "lo", "hi").unionByName(blank_only.select(file, F.lit(0).alias("lo"), "hi"))
     number = F.row_number().over(W.partitionBy(file).orderBy("lo"))
     return spans.select(file, number.alias("field_number"), F.col("lo").alias("start"), F.col("hi").alias("end"))
@@ -167,26 +178,62 @@ def infer_mapping(lines: DataFrame, file: str = "file") -> DataFrame:
     return formats.select(file, "format").join(fields, file).select(file, "format", "field_number", name.alias("name"), "data_type", "position", "length")
 
 
-def detect_discriminator(lines: DataFrame, file: str = "file", max_position: int | None = MAX_POSITION, max_length: int = MAX_LENGTH) -> DataFrame:
+# Items that a frequency sketch keeps apart; its counts are off by 3.5 / SKETCH_ITEMS of the lines at most.
+SKETCH_ITEMS = 1024
+# Sketches of one aggregation.
+SKETCHES = 120
+MOST_VALUES = 8
+
+
+def _promising_cells(rows: DataFrame, file: str, cells: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cells whose eight most frequent values can cover half of the lines of some file.
+
+    One scan, no row per cell: every cell has a mergeable frequency sketch per
+    file.  What the sketches may miss is allowed for, so no candidate is lost.
+    """
+    sketches = [F.call_function("approx_top_k", F.substring("content", p, n), F.lit(MOST_VALUES), F.lit(SKETCH_ITEMS)).alias(f"c{i}") for i, (p, n) in enumerate(cells)]
+    counted = rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *sketches)
+    least = 0.5 - 2 * MOST_VALUES * 3.5 / SKETCH_ITEMS
+    held = [
+        F.max(F.aggregate(F.col(f"c{i}"), F.lit(0).cast("bigint"), lambda s, x: s + x["count"]) >= F.col("n") * least).alias(f"c{i}")
+        for i in range(len(cells))
+    ]
+    verdict = counted.agg(*held).first()
+    return [cell for i, cell in enumerate(cells) if verdict[f"c{i}"]]
+
+
+def detect_discriminator(lines: DataFrame, file: str = "file", max_position: int | None = None, max_length: int = MAX_LENGTH) -> DataFrame:
     """Candidate record-type fields per file, best first.
 
     A candidate has 2 to 8 values that repeat and cover at least half of the
-    lines, and lies within the shortest line of its file.  Fields that start
-    up to ``max_position`` and have up to ``max_length`` characters are tried;
-    without ``max_position`` all starts within the longest of the files'
-    shortest lines (this runs a job).
+    lines, and lies within the shortest line of its file.  Fields of up to
+    ``max_length`` characters are tried at all starts within the longest of the
+    files' shortest lines, or up to ``max_position``.
+
+    Sketches rule out most cells of this grid first, in one scan where the grid
+    is small.  In a wide grid they go by length: a longer field covers no more
+    than its start does, so only starts that are left are tried further.  The
+    values of what remains are counted exactly.  This runs jobs.
     """
     rows = lines.filter(coerce.is_filled(F.col("content")))
     if max_position is None:
         least = rows.groupBy(file).agg(F.min(F.char_length("content")).alias("n"))
         max_position = least.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    grid = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(n).alias("length"), F.substring("content", p, n).alias("v")) for p in range(1, max_position + 1) for n in range(1, max_length + 1)])
+    starts, left = list(range(1, max_position + 1)), []
+    lengths = [range(1, max_length + 1)] if len(starts) * max_length <= SKETCHES else [[n] for n in range(1, max_length + 1)]
+    for tried in lengths:
+        cells = [(p, n) for p in starts for n in tried]
+        found = [c for at in range(0, len(cells), SKETCHES) for c in _promising_cells(rows, file, cells[at : at + SKETCHES])]
+        left += found
+        starts = sorted({p for p, _ in found})
+    entries = [F.struct(F.lit(p).alias("position"), F.lit(n).alias("length"), F.substring("content", p, n).alias("v")) for p, n in left]
+    grid = F.array(*entries) if entries else F.expr("cast(array() as array<struct<position:int,length:int,v:string>>)")
     counted = rows.select(file, F.inline(grid)).filter(F.char_length("v") == F.col("length")).groupBy(file, "position", "length", "v").agg(F.count(F.lit(1)).alias("n"))
     repeating = counted.filter("n >= 2").groupBy(file, "position", "length").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("covered"), F.min("v").alias("least_value"), F.max("v").alias("greatest_value")
     )
     sizes = rows.groupBy(file).agg(F.count(F.lit(1)).alias("total"), F.min(F.char_length("content")).alias("shortest"))
-    found = repeating.filter("distinct_values BETWEEN 2 AND 8").join(sizes, file)
+    found = repeating.filter(F.col("distinct_values").between(2, MOST_VALUES)).join(sizes, file)
     return (
         found.filter("position + length - 1 <= shortest AND covered * 2 >= total")
         .withColumn("confidence", F.round(F.col("covered") / F.col("total"), 4))

@@ -180,44 +180,55 @@ def _fill_rates(per_column: DataFrame) -> DataFrame:
 def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 5) -> DataFrame:
     """The ``n`` smallest distinct values of each column.
 
-    Runs one ordered limit per column; Spark keeps only ``n`` values per task.
+    All columns share one scan.  Values are reduced to distinct ones, of which
+    every task passes on only its ``n`` smallest per column.
     """
-    parts = [
-        df.select(F.col(c).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-        .orderBy("value").limit(n).select(F.lit(c).alias("column_name"), "value")
-        for c in columns or df.columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    values = long_values(df, columns).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(W.partitionBy("column_name").orderBy("value"))
+    return values.withColumn("_place", place).filter(F.col("_place") <= n).select("column_name", "value")
 
 
 def numeric_profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Minimum, maximum, mean, median and sample deviation per column.
 
     The median is exact; ``accuracy`` switches to a sketch of bounded size.
+    Values are scanned once: what they are reduced to for the median, distinct
+    values with their number of rows, gives the other figures too.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), coerce.number_of(df, c).alias("x")) for c in columns])
     values = df.select(F.inline(pairs)).filter("x IS NOT NULL")
-    stats = [
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.round(F.avg("x"), 4).alias("mean"),
-        F.round(F.stddev_samp("x"), 4).alias("std_dev"),
-    ]
     if accuracy is not None:
+        stats = [
+            F.min("x").alias("min"),
+            F.max("x").alias("max"),
+            F.round(F.avg("x"), 4).alias("mean"),
+            F.round(F.stddev_samp("x"), 4).alias("std_dev"),
+        ]
         return values.groupBy("column_name").agg(*stats, F.percentile_approx("x", 0.5, accuracy).alias("median"))
-    moments = values.groupBy("column_name").agg(*stats)
-    return moments.join(_exact_medians(values), "column_name")
+    counted = values.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("n"))
+    placed = written_once(counted.orderBy("column_name", "x").withColumn("_part", F.spark_partition_id()))
+    return _weighted_moments(placed).join(_exact_medians(placed), "column_name")
 
 
-def _exact_medians(values: DataFrame) -> DataFrame:
+def _weighted_moments(counted: DataFrame) -> DataFrame:
+    """Figures of distinct values ``x`` that stand for ``n`` rows each; deviations are taken from the mean."""
+    sums = counted.groupBy("column_name").agg(
+        F.min("x").alias("min"), F.max("x").alias("max"), F.sum("n").alias("_rows"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("_mean")
+    )
+    # One row per column of the table.
+    around = counted.join(F.broadcast(sums.select("column_name", "_mean")), "column_name")
+    spread = around.groupBy("column_name").agg(F.sum(F.col("n") * F.pow(F.col("x") - F.col("_mean"), F.lit(2))).alias("_spread"))
+    deviation = F.sqrt(F.try_divide(F.col("_spread"), F.col("_rows") - 1))
+    return sums.join(spread, "column_name").select("column_name", "min", "max", F.round("_mean", 4).alias("mean"), F.round(deviation, 4).alias("std_dev"))
+
+
+def _exact_medians(placed: DataFrame) -> DataFrame:
     """Median of ``x`` per column without gathering a column in one task.
 
-    Value counts are sorted over range partitions and written once.  The
-    counts per partition say which partition holds the middle rows of a column
+    Value counts were sorted over range partitions and written.  The counts
+    per partition say which partition holds the middle rows of a column
     (at most two), and only those are looked into.
     """
-    counted = values.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("n"))
-    placed = written_once(counted.orderBy("column_name", "x").withColumn("_part", F.spark_partition_id()))
     parts = placed.groupBy("column_name", "_part").agg(F.sum("n").alias("in_part"))
     ordered = W.partitionBy("column_name").orderBy("_part")
     total = F.sum("in_part").over(W.partitionBy("column_name"))

@@ -122,12 +122,12 @@ def event_lines(t):
 
 @query("D06_detect_discriminator", f"WITH {CAND_SQL} SELECT * FROM cd")
 def _(t):
-    return dis.detect_discriminator(event_lines(t))
+    return dis.detect_discriminator(event_lines(t), max_position=dis.MAX_POSITION)
 
 
 @query("D06_best_discriminator", f"""WITH {CAND_SQL} SELECT file, position, length, confidence FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY confidence DESC, distinct_values DESC, position, length DESC) AS rn FROM cd) WHERE rn = 1""")
 def _(t):
-    return dis.best_discriminator(dis.detect_discriminator(event_lines(t)))
+    return dis.best_discriminator(dis.detect_discriminator(event_lines(t), max_position=dis.MAX_POSITION))
 
 
 # The customer layout as declared by somebody who got some starts wrong.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.violations import of_rows, row_identity
-from tablewright.sources.rows import number_file_rows
+from tablewright.sources.rows import number_file_rows, number_reported_rows
 
 LARGE_FILE = 1024**3
 SMALL_FILE = 10
@@ -73,13 +73,12 @@ def grep_lines(lines: DataFrame, needle: str, content: str = "content") -> DataF
 def grep_files(spark: SparkSession, path: str, needle: str, name_glob: str | None = None) -> DataFrame:
     """``file, line, content`` of every matching line in a folder.
 
-    Lines without a match are numbered but not carried.
+    Lines without a match are counted but not carried.
     """
     reader = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
-    hit = F.when(F.col("value").contains(needle), F.col("value")).alias("content")
-    lines = number_file_rows(reader.text(path).select(hit, F.col("_metadata")))
-    return lines.filter("content IS NOT NULL").select(
-        F.element_at(F.split("_file", "/"), -1).alias("file"), F.col("_row").alias("line"), F.rtrim("content").alias("content")
+    lines = number_reported_rows(reader.text(path), F.col("value").contains(needle))
+    return lines.select(
+        F.element_at(F.split("_file", "/"), -1).alias("file"), F.col("_row").alias("line"), F.rtrim("value").alias("content")
     )
 
 

@@ -9,7 +9,7 @@ into offsets; that table has one row per partition and is safe to broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,3 +64,22 @@ def number_file_rows(lines: DataFrame, name: str = "_row") -> DataFrame:
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1)
         .drop("_at", "_block", "_first", "_before")
     )
+
+
+def number_reported_rows(lines: DataFrame, reported: Column, name: str = "_row") -> DataFrame:
+    """The ``reported`` lines of a text scan with ``_file`` and their number in it.
+
+    Numbers are resolved late: a line carries its file, block and place, and
+    only lines that are reported meet an index with one row per file block.
+    The other lines are counted, but neither written nor joined.  Both scans
+    belong to one plan and so see the same blocks.
+    """
+    placed = lines.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    )
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    index = blocks.select("_file", "_block", "_first", earlier.alias("_before"))
+    # Places are given before lines are left out: the id is not deterministic, so no filter passes it.
+    found = placed.filter(reported)
+    return found.join(index, ["_file", "_block"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_block", "_first", "_before")

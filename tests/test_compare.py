@@ -223,3 +223,16 @@ def test_unique_keys_is_checked(spark):
     with pytest.raises(Exception, match="repeats on the right"):
         compare.keyed_diff(one, two, ["k"], unique_keys=True).collect()
     assert compare.keyed_diff(two, one, ["k"], unique_keys=True).count() == 2
+
+
+def test_transform_mismatch_with_repeated_keys(spark):
+    from tablewright.functions import transforms as tf
+    from tablewright.operators.mapping import Target
+
+    source = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), *[(9, "h")] * 50], "k int, v string")
+    actual = spark.createDataFrame([(1, "a"), (2, "c"), (2, "x"), (None, "e"), (9, "h"), (7, "z")], "k int, v string")
+    targets = [Target("v", lambda: tf.field_map("v"), 1)]
+    rows = compare.transform_mismatch(source, targets, actual, ["k"], {"v": "v"}).collect()
+    got = sorted((str(r.k), r.source_value, r.file_value or "", r.match) for r in rows if r.k != 9)
+    assert got == [("1", "a", "a", True), ("1", "b", "a", False), ("2", "c", "c", True), ("2", "c", "x", False), ("3", "d", "", False), ("None", "e", "", False)]
+    assert sum(r.match for r in rows if r.k == 9) == 50
