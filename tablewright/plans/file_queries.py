@@ -10,6 +10,9 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tablewright.functions.pictures import picture_holds
@@ -185,6 +188,35 @@ def _(t):
     return files.search_archives(archives, "ation", "doc-*").select("archive", "file", "line")
 
 
+@query("S14_streamed_digests", "SELECT count(*) AS lines, CAST(0 AS BIGINT) AS differing FROM customer")
+def _(t):
+    """Digests made from streams equal those made from whole contents."""
+    folder = scratch_folder(t.spark, "inventory")
+    layouts.render_fixed_width(t.customer, CUSTOMER_LAYOUT).repartition(3).write.text(folder)
+    whole = files.file_inventory(t.spark, folder, "part-*").select("file", "line_count", "sha256")
+    streamed = files.file_inventory(t.spark, folder, "part-*", in_one_piece=0).select("file", F.col("sha256").alias("streamed"))
+    return whole.join(streamed, "file").agg(F.sum("line_count").alias("lines"), F.count_if(~F.col("sha256").eqNullSafe(F.col("streamed"))).alias("differing"))
+
+
+@query("S17_grep_written_archives", f"SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS file, line FROM {LINES_SQL} WHERE contains(content, 'ation') AND doc_id % 2 = 0")
+def _(t):
+    """The documents of a batch share an archive in a folder, which is then searched."""
+    folder = scratch_folder(t.spark, "archives")
+
+    def written(batches):
+        for n, batch in enumerate(batches):
+            store, path = FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+            store.create_dir(path, recursive=True)
+            with store.open_output_stream(f"{path}/{TaskContext.get().partitionId()}-{n}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    z.writestr(name, text)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    member = F.concat(F.when(F.col("doc_id") % 2 == 0, "doc-").otherwise("other-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    t.documents.select(member.alias("name"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(written, "n long").agg(F.sum("n")).collect()
+    return files.grep_archives(t.spark, folder, "ation", "*.zip", "doc-*").select("file", "line")
+
+
 ISSUE_RULES = [
     FieldRule("acct_positive", "c_acctbal", ">", value=0),
     FieldRule("segment_known", "c_mktsegment", "in", values=("BUILDING", "MACHINERY"), severity="warning"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import os
+import re
 import tarfile
 import zipfile
 import zlib
@@ -12,6 +14,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from tablewright.sources.rows import number_file_rows, number_reported_rows
 
 LARGE_FILE = 1024**3
 SMALL_FILE = 10
+# Bytes read at once from a stream.
+PIECE = 8 * 1024**2
 
 
 def read_lines(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
@@ -33,12 +39,46 @@ def _one_slash_form(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None, hash_limit: int = 256 * 1024**2) -> DataFrame:
+def open_stored(place: str):
+    """A seekable stream of a file in the store that its URI names; nothing is read ahead of its use."""
+    store, path = FileSystem.from_uri(place if "://" in place else re.sub("^file:/+", "file:///", place))
+    return store.open_input_file(path)
+
+
+def stream_digests(places: DataFrame, place: str = "path") -> DataFrame:
+    """``place, sha256, error`` of files of any size.
+
+    A task reads its files in pieces and carries the state of the hash, so it
+    holds one piece whatever the size.  A file that can not be read has the
+    reason in ``error``.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for where in batch.column(0).to_pylist():
+                state = hashlib.sha256()
+                try:
+                    with open_stored(where) as stream:
+                        while piece := stream.read(PIECE):
+                            state.update(piece)
+                    out.append((where, state.hexdigest(), None))
+                except (OSError, pa.ArrowException) as why:
+                    out.append((where, None, f"{type(why).__name__}: {why}"))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[place, "sha256", "error"])
+
+    return places.select(place).mapInArrow(digests, f"`{place}` string, sha256 string, error string")
+
+
+def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None, in_one_piece: int = 256 * 1024**2) -> DataFrame:
     """Size, time, line count, SHA-256 and a size note per file.
 
-    ``sha256_status`` says why a digest is missing (``too_large``, ``empty``).
-    Contents are only read for files up to ``hash_limit`` bytes (the filter is
-    pushed into the scan); lines are counted by a text scan that splits files.
+    Every file that is not empty gets its digest.  Contents of up to
+    ``in_one_piece`` bytes are hashed in the scan (the filter is pushed into
+    it); longer files are read as streams by tasks of their own.
+    ``sha256_status`` is ``hashed``, ``empty``, or says why a stream could not
+    be read.  Lines are counted by a text scan that splits files.
     """
     reader = spark.read.format("binaryFile")
     if name_glob:
@@ -49,7 +89,9 @@ def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None,
     # A scan leaves out empty files; the listing that Spark keeps has them.
     listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(_one_slash_form(F.col("file")).alias("file"))
     meta = listed.join(scanned, "file", "left").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
-    hashes = files.filter(F.col("length") <= hash_limit).select(place, F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= in_one_piece).select(place, F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
+    streamed = stream_digests(files.filter(F.col("length") > in_one_piece).select("path"))
+    hashes = small.unionByName(streamed.withColumn("file", _one_slash_form(F.col("path"))).drop("path"))
     text = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
     lines = text.text(path).groupBy(place).agg(F.count(F.lit(1)).alias("line_count"))
     note = (
@@ -61,7 +103,8 @@ def file_inventory(spark: SparkSession, path: str, name_glob: str | None = None,
         .withColumn("line_count", F.coalesce("line_count", F.lit(0)))
         .withColumn("name", F.element_at(F.split("file", "/"), -1))
         .withColumn("note", note)
-        .withColumn("sha256_status", F.when(F.col("sha256").isNotNull(), "hashed").when(F.col("size_bytes") > hash_limit, "too_large").otherwise("empty"))
+        .withColumn("sha256_status", F.when(F.col("sha256").isNotNull(), "hashed").otherwise(F.coalesce("error", F.lit("empty"))))
+        .drop("error")
     )
 
 
@@ -95,57 +138,69 @@ def hit_totals(hits: DataFrame, shown: int, file: str = "file") -> DataFrame:
     )
 
 
-def _members(name: str, content: bytes) -> Iterator[tuple[str, io.BufferedIOBase]]:
+def _members(name: str, stream) -> Iterator[tuple[str, io.BufferedIOBase]]:
     if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(stream) as z:
             for info in z.infolist():
                 if not info.is_dir():
                     with z.open(info) as f:
                         yield info.filename, f
     else:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+        with tarfile.open(fileobj=stream, mode="r:gz") as tar:
             for member in tar:
                 if member.isfile():
                     yield member.name, tar.extractfile(member)
 
 
-def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batch: int = 10_000) -> DataFrame:
-    """``archive, file, line, content`` of matching lines inside zip and tar.gz.
-
-    ``archives`` has ``path`` and ``content``.  They are spread over tasks;
-    members are read line by line and hits are handed on in batches, so a task
-    never holds a whole member.  An archive that can not be read to its end
-    yields one row with the reason in ``error`` and no file.
-    """
+def _searched(archives: DataFrame, opened, needle: str, file_glob: str, batch: int) -> DataFrame:
+    """Hits in archives whose first column is a path; ``opened`` makes a stream of a row."""
     columns = ["archive", "file", "line", "content", "error"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
         for frame in frames:
-            for where, content in zip(frame["path"], frame["content"]):
-                name = os.path.basename(where)
+            for row in frame.itertuples(index=False):
+                name = os.path.basename(row.path)
                 try:
-                    for member, f in _members(name, content):
-                        if not fnmatch.fnmatch(os.path.basename(member), file_glob):
-                            continue
-                        for number, line in enumerate(io.TextIOWrapper(f, "utf-8", "replace"), 1):
-                            if needle in line:
-                                found.append((name, member, number, line.rstrip(), None))
-                                if len(found) >= batch:
-                                    yield pd.DataFrame(found, columns=columns, dtype=object)
-                                    found = []
-                except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError) as why:
+                    with opened(row) as stream:
+                        for member, f in _members(name, stream):
+                            if not fnmatch.fnmatch(os.path.basename(member), file_glob):
+                                continue
+                            for number, line in enumerate(io.TextIOWrapper(f, "utf-8", "replace"), 1):
+                                if needle in line:
+                                    found.append((name, member, number, line.rstrip(), None))
+                                    if len(found) >= batch:
+                                        yield pd.DataFrame(found, columns=columns, dtype=object)
+                                        found = []
+                except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError, pa.ArrowException) as why:
                     found.append((name, None, None, None, f"{type(why).__name__}: {why}"))
         if found:
             yield pd.DataFrame(found, columns=columns, dtype=object)
 
-    return archives.select("path", "content").mapInPandas(search, "archive string, file string, line bigint, content string, error string")
+    return archives.mapInPandas(search, "archive string, file string, line bigint, content string, error string")
+
+
+def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batch: int = 10_000) -> DataFrame:
+    """``archive, file, line, content`` of matching lines inside zip and tar.gz.
+
+    ``archives`` has ``path`` and ``content``.  They are spread over tasks;
+    members are read line by line and hits are handed on in batches, so a task
+    never holds a whole member.  An archive that can not be read to its end
+    yields one row with the reason in ``error`` and no file.
+    """
+    return _searched(archives.select("path", "content"), lambda row: io.BytesIO(row.content), needle, file_glob, batch)
+
 
+def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*", batch: int = 10_000) -> DataFrame:
+    """Search the archives of a folder.
 
-def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*") -> DataFrame:
-    """Search the archives of a folder."""
+    Archives are listed by a scan that reads no contents and dealt over tasks,
+    which open them as streams: the size of an archive is not bounded, and a
+    task holds a buffer of it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", archive_glob).load(path)
-    return search_archives(files.filter(F.col("path").rlike(r"\.(zip|tar\.gz|tgz)$")), needle, file_glob)
+    places = files.filter(F.col("path").rlike(r"\.(zip|tar\.gz|tgz)$")).select("path")
+    return _searched(places, lambda row: open_stored(row.path), needle, file_glob, batch)
 
 
 def extract_error_rows(rows: DataFrame, violations: DataFrame, row_id="_row", header_row: int | None = None) -> DataFrame:
