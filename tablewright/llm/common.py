@@ -43,6 +43,22 @@ def append(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(name for n in range(len(taken) + 1) if (name := "_" * n + w).lower() not in taken) for w in wanted]
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as a struct ``row``, and columns made from it: no name of the input can clash any more."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns ``names`` of packed rows, as they were."""
+    return [F.col("row").getField(n).alias(n) for n in names]
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker outlives its tasks, and the next one needs the room."""
     pa.default_memory_pool().release_unused()

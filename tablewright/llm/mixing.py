@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import n_words
+from tablewright.llm.common import n_words, packed, unpacked
 from tablewright.session import written_once
 from tablewright.sources.rows import number_rows
 
@@ -192,14 +193,15 @@ def take_mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str = "do
     """The rows of ``df`` as often as the mix takes them: none, once or several times.
 
     Rows that agree in key, source and size share a decision; which of them
-    gets an odd repeat follows from a hash of the text.
+    gets an odd repeat follows from a hash of the text, so that rows equal in
+    all of these get it together or not at all.
     """
     taken = mix(df, weights, key, text, source, most)
-    shared = written_once(taken.where("times > 0").groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_total")))
-    rows = df.select("*", n_words(F.col(text)).alias("_size"), F.col(source).cast("string").alias("_source"))
-    counts = taken.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    decided = shared.join(counts.withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
-    decided = decided.select(F.col("doc_id").alias("_key"), F.col("source").alias("_of"), F.col("size").alias("_words"), "_total", F.coalesce("_m", F.lit(1)).alias("_m"))
-    joined = rows.join(decided, F.col(key).eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_words")))
-    times = F.floor(F.col("_total") / F.col("_m")) + (F.pmod(F.xxhash64(text), F.col("_m")) < F.col("_total") % F.col("_m")).cast("long")
-    return joined.where(times > 0).select(*df.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).drop("_copy")
+    by = ["doc_id", "source", "size"]
+    decided = written_once(taken.groupBy(*by).agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 0"))
+    decided = decided.select(*[F.col(c).alias(f"of_{c}") for c in by], "total", "m")
+    rows = packed(df, doc_id=F.col(key), source=F.col(source).cast("string"), size=n_words(F.col(text)), text=F.col(text))
+    joined = rows.join(decided, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]))
+    times = F.floor(F.col("total") / F.col("m")) + (F.pmod(F.xxhash64("text"), F.col("m")) < F.col("total") % F.col("m")).cast("long")
+    copies = joined.where(times > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    return copies.select(*unpacked(copies, df.columns))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append, ascii_lower, in_pieces, words_of
+from tablewright.llm.common import ascii_lower, in_pieces, packed, unpacked, words_of
 from tablewright.llm.components import connected_components
 from tablewright.llm.suffixes import text_key
 from tablewright.session import written_once
@@ -376,14 +376,15 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     """The rows of ``df`` without all but one document of each component; texts without words all stay."""
     found = near_duplicates(df, key, text, words, percent)
     # A text has one component: what is kept follows from the text and the key.
-    names = written_once(found.where("n_shingles > 0").groupBy("h", "nb").agg(F.min("component_id").alias("_component")))
-    keys = text_key(F.col(text))
-    joined = append(df, _h=keys[0], _nb=keys[1]).join(names.withColumnsRenamed({"h": "_h", "nb": "_nb"}).withColumn("_named", F.lit(True)), ["_h", "_nb"], "left")
-    stays = joined.where(F.col("_named").isNull() | F.col(key).eqNullSafe(F.col("_component")))
-    twice = found.where("n_shingles > 0 and kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice"))
+    names = written_once(found.where("n_shingles > 0").groupBy("h", "nb").agg(F.min("component_id").alias("component")))
+    h, nb = text_key(F.col(text))
+    joined = packed(df, h=h, nb=nb, k=F.col(key)).join(names.withColumn("named", F.lit(True)), ["h", "nb"], "left")
+    stays = joined.where(F.col("named").isNull() | F.col("k").eqNullSafe(F.col("component")))
+    twice = found.where("n_shingles > 0 and kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("twice"))
     if twice.isEmpty():
-        return stays.select(df.columns)
+        return stays.select(*unpacked(stays, df.columns))
     # A key that several kept rows share: one of them stays, the least by its text key.
-    marked = stays.join(written_once(twice), F.col(key).eqNullSafe(F.col("_twice")), "left").withColumn("_again", F.col("_twice").isNotNull() | (F.col(key).isNull() & F.col("_named").isNotNull()))
-    single = marked.where("not _again or _named is null").select(df.columns)
-    return single.unionByName(marked.where("_again and _named is not null").dropDuplicates(["_component"]).select(df.columns))
+    marked = stays.join(written_once(twice), F.col("k").eqNullSafe(F.col("twice")), "left").withColumn("again", F.col("twice").isNotNull() | (F.col("k").isNull() & F.col("named").isNotNull()))
+    single = marked.where("not again or named is null")
+    one = marked.where("again and named is not null").dropDuplicates(["component"])
+    return single.select(*unpacked(single, df.columns)).unionByName(one.select(*unpacked(one, df.columns)))

@@ -162,10 +162,11 @@ class Network:
 def score_quality(df: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = 8000, name: str = "score") -> DataFrame:
     """Add the probability that a document's label is 1.
 
-    Word vectors come from all texts.  The network learns from about
-    ``sample_rows`` of the rows for which ``learn_from`` (a condition on the
-    key) holds and a label exists; all of them when there are fewer.  The
-    choice follows a hash of the key.  Null and empty texts are scored like
+    Word vectors come from all texts.  The network learns from
+    ``sample_rows`` of the keys for which ``learn_from`` (a condition on the
+    key) holds and a label exists, those with the smallest hashes; from all of
+    them when there are fewer, and from twice as many rows at most where keys
+    repeat.  Null and empty texts are scored like
     any other, from a zero vector.  A key that is labelled several times has
     its smallest label; null keys and labels teach nothing.  Without both
     classes every score is the smoothed share of label 1.
@@ -179,14 +180,15 @@ def score_quality(df: DataFrame, labels: DataFrame, learn_from: Column, text: st
         return by_slices(lambda part: pa.array([pooled(t, *model.value) for t in part], pa.list_(pa.float32())))(texts)
 
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.min(label) > 0).cast("int").alias("_y")).where(learn_from)
-    share = min(1.0, sample_rows / max(1, known.count()))
-    # At most about sample_rows rows, so this side may be broadcast.
-    chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
-    taught = df.select(key, F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), key).limit(2 * sample_rows).select(features("_t").alias("x"), "_y", F.xxhash64("_t").alias("h"))
-    rows = taught.toPandas().sort_values(["h", "_y"])
+    # The smallest hashes: sample_rows keys whatever the number of labels, so this side may be broadcast.
+    chosen = known.select(F.col(key).alias("k"), F.col("_y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
+    texts = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    taught = texts.join(F.broadcast(chosen), "k").select(features("t").alias("x"), "y", F.xxhash64("t").alias("h"))
+    # A key may repeat without bound; the order makes reruns agree.
+    rows = taught.orderBy("h", "y").limit(2 * sample_rows).toPandas()
     network = Network()
     if len(rows):
-        network.fit(np.stack(rows.x.to_list()).astype(np.float64), rows["_y"].to_numpy(float))
+        network.fit(np.stack(rows.x.to_list()).astype(np.float64), rows["y"].to_numpy(float))
     shared = spark.sparkContext.broadcast(network)
 
     @F.arrow_udf("double")

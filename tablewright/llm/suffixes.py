@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append, in_pieces, release_memory
+from tablewright.llm.common import in_pieces, packed, release_memory, unpacked
 from tablewright.session import discard, written_once
 
 GRAM = 32
@@ -420,16 +420,16 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
     left out of the text.  Rows whose text loses nothing keep it as it is
     (null stays null) with no spans; repeated rows lose all of a long text.
     """
-    spans = repeated_spans(df, text, size)
-    keys = text_key(F.col(text))
-    marked = append(df, _h=keys[0], _n=keys[1])
-    found = spans.select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("spans").alias("_spans"), F.col("kept").alias("_kept"))
+    found = repeated_spans(df, text, size)
+    h, n = text_key(F.col(text))
+    rows = packed(df, h=h, n=n, text=F.col(text))
 
     @F.arrow_udf("string")
     def whole_characters(raw: pa.Array) -> pa.Array:
         return pa.array([None if r is None else r.decode("utf-8", "ignore") for r in raw.to_pylist()], pa.string())
 
-    joined = marked.join(found, ["_h", "_n"], "left")
+    joined = rows.join(found, ["h", "n"], "left")
     # A text made whole again only where something was removed.
-    changed = append(joined, **{text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(whole_characters("_kept"))})
-    return append(changed, spans=F.coalesce("_spans", F.array())).drop("_h", "_n", "_spans", "_kept")
+    left = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole_characters("kept"))
+    same = [c for c in df.columns if c.lower() not in (text.lower(), "spans")]
+    return joined.select(*unpacked(joined, same), left.alias(text), F.coalesce("spans", F.array()).alias("spans"))

@@ -31,13 +31,18 @@ from tablewright.session import written_once
 BLOCK_QUERIES = 1024
 BLOCK_CANDIDATES = 4096
 BINS = 1024
+# Components are below this in size once scaled.
+LARGEST = 1 << 30
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of every component; null if the vector or a component is null, not finite or out of range."""
     # With three-valued logic a null component makes the test null, which is not true.
     finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(math.inf)) & x.isNotNull())
-    return F.when(finite, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
+    exact = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    # Larger numbers would leave 64 bits; the bounds are written so that they hold for a saturated value too.
+    small = F.forall(exact, lambda x: (x > -LARGEST) & (x < LARGEST))
+    return F.when(finite, F.when(small, exact))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -93,8 +98,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     """The ``k`` best rows by integer inner product for every query row: query_id, rank, vec_id, score.
 
     Components become floor(scale * x).  Vectors that are null, or hold null,
-    NaN or infinite components, and rows without a key take no part.  Equal
-    rows count once; a query never finds rows with its own key; shorter
+    NaN or infinite components, and rows without a key take no part.  Scores
+    are 64-bit integers: vectors with a scaled component of ``LARGEST`` or more
+    in size take no part either, and if the remaining ones are so long and
+    large that a score could pass 62 bits, that is an error which says so.
+    Equal rows count once; a query never finds rows with its own key; shorter
     vectors are filled up with zeros; ties go to the smaller key.  With fewer
     than ``k`` candidates all are returned, without candidates or queries none.
     """
@@ -110,6 +118,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     if not size.nq or not size.width:
         return df.sparkSession.createDataFrame([], result)
     width, bound = size.width, size.width * size.top**2
+    if bound >= 1 << 62:
+        raise ValueError(f"scores of {width} components of up to {size.top} do not fit 64 bits; scale the vectors down")
     exact = bound < 1 << 53
     blocks, parts = -(-size.nq // BLOCK_QUERIES), max(1, min(-(-size.n // BLOCK_CANDIDATES), 4096))
     candidates = written_once(_pack(vectors, width, parts))
