@@ -200,8 +200,8 @@ def take_mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str = "do
     by = ["doc_id", "source", "size"]
     decided = written_once(taken.groupBy(*by).agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 0"))
     decided = decided.select(*[F.col(c).alias(f"of_{c}") for c in by], "total", "m")
-    rows = packed(df, doc_id=F.col(key), source=F.col(source).cast("string"), size=n_words(F.col(text)), text=F.col(text))
+    rows = packed(df, doc_id=F.col(key), source=F.col(source).cast("string"), size=n_words(F.col(text)))
     joined = rows.join(decided, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]))
-    times = F.floor(F.col("total") / F.col("m")) + (F.pmod(F.xxhash64("text"), F.col("m")) < F.col("total") % F.col("m")).cast("long")
+    times = F.floor(F.col("total") / F.col("m")) + (F.pmod(F.xxhash64(F.col("row").getField(text)), F.col("m")) < F.col("total") % F.col("m")).cast("long")
     copies = joined.where(times > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return copies.select(*unpacked(copies, df.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import in_pieces, packed, release_memory, unpacked
+from tablewright.llm.common import by_slices, in_pieces, packed, release_memory, unpacked
 from tablewright.session import discard, written_once
 
 GRAM = 32
@@ -422,14 +422,14 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
     """
     found = repeated_spans(df, text, size)
     h, n = text_key(F.col(text))
-    rows = packed(df, h=h, n=n, text=F.col(text))
+    rows = packed(df, h=h, n=n)
 
     @F.arrow_udf("string")
     def whole_characters(raw: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else r.decode("utf-8", "ignore") for r in raw.to_pylist()], pa.string())
+        return by_slices(lambda part: pa.array([None if r is None else r.decode("utf-8", "ignore") for r in part], pa.string()))(raw)
 
     joined = rows.join(found, ["h", "n"], "left")
     # A text made whole again only where something was removed.
-    left = F.when(F.col("kept").isNull(), F.col("text")).otherwise(whole_characters("kept"))
+    left = F.when(F.col("kept").isNull(), F.col("row").getField(text)).otherwise(whole_characters("kept"))
     same = [c for c in df.columns if c.lower() not in (text.lower(), "spans")]
     return joined.select(*unpacked(joined, same), left.alias(text), F.coalesce("spans", F.array()).alias("spans"))
