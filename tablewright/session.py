@@ -123,89 +123,6 @@ def written_once(df: DataFrame) -> DataFrame:
     return table
 
 
-def discard(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
-        """Delete the scope's tables but those that ``keep`` reads; results that read them must be written."""
-        read = [_bare(f) for f in keep.inputFiles()] if keep is not None else []
-        left = [folder for folder in self.folders if any(f.startswith(_bare(folder) + "/") for f in read)]
-        for folder in self.folders:
-            if folder not in left:
-                remove_folder(spark, folder)
-        self.folders = left
-
-
-def _bare(place: str) -> str:
-    """A path without scheme, authority and doubled slashes, in which local paths are written in several ways."""
-    return re.sub("^[a-z0-9+.-]+:(//[^/]*)?", "", unquote(place)).replace("//", "/")
-
-
-def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
-    builder = SparkSession.builder.appName("tablewright")
-    if master:
-        builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
-        builder = builder.config(key, value)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names.
-
-    Only a local session, where all tasks see one disk, may fall back to a
-    temporary folder; elsewhere a missing setting is an error, because the
-    folder of one machine would split or lose intermediate data.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(named)
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint location, for derived files."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written_once(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several branches read.
-
-    The table goes to the shared checkpoint folder, so a lost executor costs a
-    re-read and not a recomputation, branches can not see different rows, and
-    each branch reads only the columns it needs.  A caller that has used up
-    the table hands it to ``discard``; a lazy result may still read it, so the
-    rest is deleted by ``remove_scratch``, once results have been written.
-    """
-    folder = scratch_folder(df.sparkSession, "step")
-    df.write.parquet(folder)
-    table = df.sparkSession.read.schema(df.schema).parquet(folder)
-    table._written_to = folder
-    Scratch.own(folder)
-    return table
-
-
-def discard_steps(spark: SparkSession, keep: DataFrame) -> None:
-    """Delete all tables of ``written_once`` but ``keep``, once results that read them are written."""
-    kept = getattr(keep, "_written_to", None)
-    for folder in _STEPS:
-        if folder != kept:
-            remove_folder(spark, folder)
-    _STEPS[:] = [kept] if kept else []
-
-
 def discard(table: DataFrame) -> None:
     """Delete a table of ``written_once`` that nothing will read again."""
     remove_folder(table.sparkSession, table._written_to)
