@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.rules import validate
-from tablewright.operators.violations import FILE, VIOLATION_COLUMNS, explode_found, violation
+from tablewright.operators.violations import FILE, VIOLATION_COLUMNS, VIOLATION_SCHEMA, explode_found, violation
 from tablewright.sources.layouts import slice_fields
 
 WHOLE = "_batch"
@@ -257,3 +257,83 @@ def validate_per_type(records: DataFrame, per_type: dict[str, tuple[list, list]]
         fields = slice_fields(rows, layout) if layout else rows
         parts.append(validate(fields, rules, row).withColumn(TYPE, F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class CrossTypeRule:
+    """A check between record types with its arguments; ``message`` replaces the check's own text."""
+
+    check: str
+    args: dict
+    severity: str = "error"
+    message: str | None = None
+
+
+# Entries of a rule file and the argument each of them sets; ``!`` marks those a rule must have.
+CROSS_TYPE_CHECKS = {
+    "required_companion": (required_companion, {"when_type": "when_type!", "requires_type": "requires_type!"}),
+    "header_trailer_count": (header_trailer_count, {"record_type": "record_type!", "trailer_field": "declared!", "count_of": "count_of"}),
+    "header_trailer_sum": (header_trailer_sum, {"record_type": "record_type!", "trailer_field": "declared!", "count_of": "count_of", "sum_of": "sum_of!"}),
+    "header_detail_consistent": (
+        header_detail_consistent,
+        {"header_field": "header_field!", "detail_field": "detail_field!", "when_type": "header_type", "count_of": "detail_type"},
+    ),
+    "header_trailer_match": (
+        header_trailer_match,
+        {"header_field": "header_field!", "trailer_field": "trailer_field!", "when_type": "header_type", "record_type": "trailer_type"},
+    ),
+    "type_sequence": (type_sequence, {"expected_order": "expected!"}),
+    "expect_count": (expect_count, {"record_type": "record_type!", "exactly": "exactly!"}),
+}
+# Types that a rule counts or adds up when it names none.
+COUNTED_TYPE = "detail"
+
+
+def cross_type_rule(spec: dict) -> CrossTypeRule:
+    """A rule from its dictionary form; a missing or unknown entry is an error, not a rule that never fires."""
+    check = spec.get("check")
+    if check not in CROSS_TYPE_CHECKS:
+        raise ValueError(f"unknown check between record types {check!r}; known: {', '.join(sorted(CROSS_TYPE_CHECKS))}")
+    given = {k: v for k, v in spec.items() if v is not None and v != "" and v != []}
+    if check == "header_trailer_sum" and "sum_of" not in given and "sum_field" in given:
+        given["sum_of"] = [given["sum_field"]]
+    args = {}
+    for entry, target in CROSS_TYPE_CHECKS[check][1].items():
+        name = target.rstrip("!")
+        if entry in given:
+            args[name] = given[entry]
+        elif name == "count_of":
+            args[name] = COUNTED_TYPE
+        elif target.endswith("!"):
+            raise ValueError(f"{check} needs {entry}")
+    return CrossTypeRule(check, args, given.get("severity", "error"), given.get("message"))
+
+
+def record_types_from_dict(spec: dict) -> tuple[list[RecordType], Column]:
+    """The types and the discriminator of a record-type file.
+
+    ``{"discriminator": {"position": 1, "length": 3}, "record_types": {name: {"match", "position", "expect"}}}``
+    """
+    known = {"any", "exactly_one", "at_least_one"}
+    types = []
+    for name, t in spec["record_types"].items():
+        if not t.get("match") and t.get("position") not in ("first", "last"):
+            raise ValueError(f"record type {name} has neither a value to match nor a position")
+        if t.get("expect", "any") not in known:
+            raise ValueError(f"record type {name} expects {t['expect']!r}; known: {', '.join(sorted(known))}")
+        types.append(RecordType(name, t.get("match") or None, t.get("position") or None, t.get("expect", "any")))
+    mark = spec["discriminator"]
+    return types, discriminator(mark["position"], mark["length"])
+
+
+def check_across_types(records: DataFrame, rules: list, batch: list[str] | None = None) -> DataFrame:
+    """Violations of all rules (``CrossTypeRule`` or dictionaries) as one table."""
+    found = []
+    for rule in rules:
+        r = cross_type_rule(rule) if isinstance(rule, dict) else rule
+        rows = CROSS_TYPE_CHECKS[r.check][0](records, **r.args, batch=batch, severity=r.severity)
+        found.append(rows if r.message is None else rows.withColumn("message", F.lit(r.message)))
+    if not found:
+        none = F.from_json(F.lit("{}"), VIOLATION_SCHEMA)
+        return records.where("false").select(*(batch or []), none.alias("v")).select(*(batch or []), "v.*")
+    return reduce(DataFrame.unionByName, found)

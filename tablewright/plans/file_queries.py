@@ -86,6 +86,25 @@ def _(t):
     return database.query_views(t.spark, sql, {"orders": t.orders, "customer": t.customer}, {"least": 300000})
 
 
+@query("S07_range_splits", """WITH b AS (SELECT min(o_orderdate) AS lo, date_diff('day', min(o_orderdate), max(o_orderdate)) AS width FROM orders),
+c AS (SELECT i, CAST(lo AS DATE) + CAST(width * i // 7 AS INTEGER) AS cut FROM b, range(1, 7) r(i)),
+s AS (SELECT (SELECT count(*) FROM c WHERE o_orderdate >= cut) AS split FROM orders)
+SELECT CAST(i AS INTEGER) AS split, CAST(count(s.split) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS claimed_twice FROM range(0, 7) r(i) LEFT JOIN s ON s.split = i GROUP BY i""")
+def _(t):
+    dated = t.orders.select(F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    splits = database.range_splits("o_orderdate", *database.key_bounds(dated, "o_orderdate"), 7)
+    return database.split_balance(dated, splits)
+
+
+@query("S08_remainder_splits", """WITH q AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL WHEN l_returnflag = 'R' THEN -l_orderkey ELSE l_orderkey END AS k FROM lineitem),
+s AS (SELECT coalesce(abs(k) % 12, 0) AS split FROM q)
+SELECT CAST(i AS INTEGER) AS split, CAST(count(s.split) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS claimed_twice FROM range(0, 12) r(i) LEFT JOIN s ON s.split = i GROUP BY i""")
+def _(t):
+    sql = "SELECT CASE WHEN l_linenumber = 1 THEN NULL WHEN l_returnflag = 'R' THEN -l_orderkey ELSE l_orderkey END AS k FROM {lineitem}"
+    rows = database.query_views(t.spark, sql, {"lineitem": t.lineitem})
+    return database.split_balance(rows, database.remainder_splits("k", 12))
+
+
 @query("S09_sample_table", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def _(t):
     return database.first_rows(t.customer, 10, [F.desc("c_acctbal"), "c_custkey"]).select("c_custkey", "c_name")

@@ -184,6 +184,33 @@ def _(t):
     return all_checks.groupBy("rule_id").agg(F.count(F.lit(1)).alias("violations"))
 
 
+RECORD_FILE = {
+    "discriminator": {"position": 1, "length": 3},
+    "record_types": {"header": {"match": "HEA", "expect": "exactly_one"}, "detail": {"match": "DET"}, "trailer": {"match": "TRA", "expect": "exactly_one"}},
+    "cross_type_rules": [
+        {"check": "required_companion", "when_type": "header", "requires_type": "trailer", "message": "a trailer is due", "severity": "warning"},
+        {"check": "header_trailer_count", "record_type": "header", "trailer_field": "declared"},
+        {"check": "header_trailer_sum", "record_type": "trailer", "trailer_field": "total", "count_of": "detail", "sum_of": ["amount"], "message": "totals are off"},
+        {"check": "header_trailer_match", "header_field": "flag", "trailer_field": "flag", "severity": "info"},
+        {"check": "expect_count", "record_type": "detail", "exactly": 4, "message": "four lines are due"},
+    ],
+}
+
+
+@query("M13_rules_from_file", f"""WITH {BATCHES_SQL}, c AS (SELECT h.batch, coalesce(n, 0) AS n FROM h LEFT JOIN n ON l_orderkey = h.batch)
+SELECT batch, 'CT_required_companion' AS rule_id, 'warning' AS severity, CAST(NULL AS VARCHAR) AS value, 'a trailer is due' AS message FROM h WHERE batch NOT IN (SELECT batch FROM x)
+UNION ALL SELECT batch, 'CT_header_trailer_count', 'error', declared, 'header.declared counts ' || declared || ', detail rows there: ' || coalesce(n, 0)
+ FROM h LEFT JOIN n ON l_orderkey = batch WHERE CAST(declared AS BIGINT) <> coalesce(n, 0)
+UNION ALL SELECT batch, 'CT_header_trailer_sum', 'error', total, 'totals are off' FROM x LEFT JOIN n ON l_orderkey = batch WHERE CAST(total AS DECIMAL(28,2)) <> coalesce(q, 0)
+UNION ALL SELECT batch, 'CT_header_trailer_match', 'info', flag || ' vs Z', 'header flag is ' || flag || ', trailer flag is Z' FROM x WHERE batch % 25 = 0
+UNION ALL SELECT batch, 'CT_expect_count', 'error', CAST(n AS VARCHAR), 'four lines are due' FROM c WHERE n <> 4""")
+def _(t):
+    types, disc = rt.record_types_from_dict(RECORD_FILE)
+    lines = batches(t).withColumn("value", F.concat(F.upper(F.substring("_record_type", 1, 3)), F.lit(" "), F.col("batch").cast("string"))).drop("_record_type")
+    records = rt.classify_records(lines, types, disc, BATCH)
+    return rt.check_across_types(records, RECORD_FILE["cross_type_rules"], BATCH).select("batch", "rule_id", "severity", "value", "message")
+
+
 # ---------------------------------------------------------- multi-record files
 @query("S04_scan_multi_record", union_all(
     "SELECT 'detail' AS _record_type, CAST(l_linenumber AS VARCHAR) AS line, CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY ALL",
