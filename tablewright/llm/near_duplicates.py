@@ -38,6 +38,7 @@ DEPTH = 8
 BLOCK = 3000
 ALIKE = 58
 BLOCK_SHINGLES = 1_500_000
+MANY = 256
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -79,11 +80,27 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+class SharedCounts:
+    """How many shingles one set of a group shares with others of it, counted for many at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        self.marked = np.zeros(len(known), bool)
+
+    def _of(self, i: int) -> np.ndarray:
+        return self.codes[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def linked(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of ``others`` have 100 * intersection >= percent * union with set ``i``."""
+        own, sizes = self._of(i), self.sizes[others]
+        self.marked[own] = True
+        hits = self.marked[np.concatenate([self._of(j) for j in others])]
+        self.marked[own] = False
+        both = np.add.reduceat(hits, np.append(0, np.cumsum(sizes))[:-1], dtype=np.int64)
+        return 100 * both >= percent * (sizes + self.sizes[i] - both)
 
 
 def least_agreement(percent: int) -> int:
@@ -219,7 +236,7 @@ def _confirm(words: int, percent: int, whole: bool) -> Callable:
         for _, rows in _groups(batches, ["task"]):
             order = sorted(range(len(rows["k"])), key=lambda i: (rows["n"][i], rows["k"][i]))
             ks, sides, sizes = [rows["k"][i] for i in order], np.array([rows["side"][i] for i in order]), np.array([rows["n"][i] for i in order])
-            sets = [shingles_of(rows["t"][i], words) for i in order]
+            shared = SharedCounts([shingles_of(rows["t"][i], words) for i in order])
             sketches = np.stack([np.frombuffer(rows["sketch"][i], np.uint32) for i in order])
             first: dict[int, int] = {}
             label = np.array([first.setdefault(rows["label"][i], n) for n, i in enumerate(order)])
@@ -228,11 +245,15 @@ def _confirm(words: int, percent: int, whole: bool) -> Callable:
                 near = (sketches[:i] == sketches[i]).sum(1) >= least
                 near &= (100 * sizes[:i] >= percent * sizes[i]) & ((sides[:i] != sides[i]) | (sides[i] < 0))
                 open_ = np.flatnonzero(near)
+                # One at first, as its component needs no other; more and more where they do not link.
+                many = 1
                 while len(open_ := open_[label[open_] != label[i]]):
-                    j, open_ = int(open_[-1]), open_[:-1]
-                    if linked(sets[i], sets[j], percent):
-                        out.append((ks[i], ks[j]))
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                    now, open_ = open_[-many:], open_[:-many]
+                    many = min(2 * many, MANY)
+                    for j in now[shared.linked(i, now, percent)].tolist():
+                        if label[i] != label[j]:
+                            out.append((ks[i], ks[j]))
+                            label[label == max(label[i], label[j])] = min(label[i], label[j])
             if whole:
                 out = [(k, ks[label[i]]) for i, k in enumerate(ks)]
             if out:
