@@ -16,7 +16,11 @@ suffix-sorted by induction:
 
 Adjacent suffixes with a common prefix of ``size`` are repeats.  A key whose
 distinct cuts exceed a share of a shard (a passage with many different
-surroundings) is resolved window by window instead, in one aggregation.
+surroundings) is dealt further before it is sorted: its windows hold the key's
+gram at a known place, and each reaches far enough either to the left of it or
+to the right to hold half of the bytes that are still open.  These bytes make
+narrower keys, equal pieces are counted once again, and so on until the keys
+fit: at the latest when a key is a window.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import by_slices, in_pieces, packed, release_memory, unpacked
+from tablewright.operators.groups import rows_of_groups
 from tablewright.session import discard, written_once
 
 GRAM = 32
 SHARD_BYTES = 2 << 20
 HEAVY_BYTES = 1 << 20
+SLICE = 1 << 20
+RUN = 1024
 QUEUE_BYTES = 64 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -61,19 +69,61 @@ def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (span - have)], values[span - have :]) if have < span else values
 
 
-def runs_of(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one smallest gram: value, first, last, whether the gram occurs twice in the run."""
-    if len(raw) < size:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+def _runs_in(raw: bytes, size: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     grams = _grams(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), GRAM.bit_length() - 1)
     span = size - GRAM + 1
     least = _sliding_min(grams, span)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    # A repetitive text is one long run: its pieces are equal, or few are different.
+    pieces = -(-np.diff(np.append(first, len(least))) // RUN)
+    if len(pieces) < pieces.sum():
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + RUN * nth
     last = np.append(first[1:], len(least)) - 1
     values = least[first]
     twice = np.fromiter((np.count_nonzero(grams[a : b + span] == v) > 1 for a, b, v in zip(first, last, values)), np.int64, len(first))
-    return values.view(np.int64), first, last, twice
+    return values.view(np.int64), first + offset, last + offset, twice
+
+
+def runs_of(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts with one smallest gram: value, first, last, whether the gram occurs twice in the run.
+
+    Runs have at most ``RUN`` windows; a long text is read in overlapping slices.
+    """
+    if len(raw) < size:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    starts = range(0, len(raw) - size + 1, SLICE)
+    found = [_runs_in(raw[at : at + SLICE + size - 1], size, at) for at in starts]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _halves(part: tuple[int, int, int, int], size: int) -> list[tuple[int, int, int, int]]:
+    """Windows p to q, all of which hold the bytes [a, b): those that reach half of what is open to the left, and the rest."""
+    p, q, a, b = part
+    left = (size - (b - a) + 1) // 2
+    far = a - left
+    halves = [(p, min(q, far), far, b), (max(p, far + 1), q, a, a + size - left + 1)]
+    return [h for h in halves if h[0] <= h[1]] if left else [part]
+
+
+def narrower(cut: bytes, m: int, a: int, b: int, size: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces of a cut whose windows hold the bytes [a, b), or the gram hashed to m if that range is empty.
+
+    (key, p, q, a, b) each: windows p to q hold the bytes [a, b), from which the
+    key is made.  Windows with equal bytes have equal keys, wherever they are.
+    """
+    last = len(cut) - size
+    if a < b:
+        parts = [(0, last, a, b)]
+    else:
+        grams = _grams(np.frombuffer(cut, np.uint8).astype(np.uint64) + np.uint64(1), GRAM.bit_length() - 1)
+        at = np.flatnonzero(grams.view(np.int64) == m).tolist()
+        # A window's first occurrence counts.
+        parts = [(max(before + 1, 0), min(g, last), g, g + GRAM) for before, g in zip([-1, *at], at) if before < last]
+    parts = [h for part in parts for half in _halves(part, size) for h in _halves(half, size)]
+    seed = m % (1 << 64)
+    return [(xxhash.xxh64_intdigest(cut[a:b], seed) - (1 << 63), p, q, a, b) for p, q, a, b in parts]
 
 
 class Queue:
@@ -339,6 +389,9 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
                     for r in found:
                         piece = t[r["a"] : r["b"] + size]
                         rows.append((r["m"], hashlib.md5(piece).digest(), h, n, r["a"], piece)[: len(schema)])
+                        if len(rows) >= 50_000:
+                            yield _batch(list(zip(*rows)), schema)
+                            rows = []
                 if rows:
                     yield _batch(list(zip(*rows)), schema)
 
@@ -347,11 +400,46 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
     found = held.where("runs is not null").select("h", "n", "t", "runs")
     layout = "m long, s binary, h long, n int, a int"
     cuts = found.mapInArrow(in_pieces(cut(True), 200), layout + ", cut binary")
-    distinct = written_once(cuts.groupBy("m", "s").agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("k")))
-    weights = written_once(distinct.groupBy("m").agg(F.sum(F.length("cut")).alias("bytes")))
-    total = weights.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    level = written_once(cuts.groupBy("m", "s").agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("k")).withColumns({"a": F.lit(0), "b": F.lit(0)}))
+
+    piece_schema = pa.schema([("m", pa.int64()), ("s", pa.binary()), ("parent", pa.binary()), ("at", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64()), ("cut", pa.binary())])
+
+    def deal(with_bytes: bool):
+        schema = piece_schema if with_bytes else pa.schema([f for f in piece_schema if f.name != "cut"])
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for m, s, c, k, a, b in zip(*[batch.column(x).to_pylist() for x in ("m", "s", "cut", "k", "a", "b")]):
+                    for key, p, q, x, y in narrower(c, m, a, b, size):
+                        piece = c[p : q + size]
+                        name = hashlib.md5(piece + b"%d %d" % (x - p, y - p)).digest()
+                        rows.append((key, name, s, p, x - p, y - p, k, piece)[: len(schema)])
+                if rows:
+                    yield _batch(list(zip(*rows)), schema)
+
+        return run
+
+    # Narrower and narrower keys, until none has more than a share of a shard; light are those of all levels that do.
+    light, links, total = None, [], 0
+    narrow = "m long, s binary, parent binary, at int, a int, b int, k long"
+    while True:
+        weights = written_once(level.groupBy("m").agg(F.sum(F.length("cut")).alias("bytes"), F.min(F.col("b") - F.col("a")).alias("known")))
+        too_much = (F.col("bytes") > HEAVY_BYTES) & (F.col("known") < size)
+        row = weights.agg(F.sum(F.when(~too_much, F.col("bytes"))), F.count_if(too_much)).first()
+        total += row[0] or 0
+        heavy = weights.where(too_much).select("m")
+        fits = level.join(heavy, "m", "left_anti") if row[1] else level
+        fits = fits.select("m", "s", "cut", "k")
+        light = fits if light is None else light.unionByName(fits)
+        if not row[1]:
+            break
+        # A heavy key's cuts lie together: deal them anew, so that no task makes all their pieces.
+        wide = level.join(heavy, "m", "left_semi").repartition("s")
+        links.append(written_once(wide.mapInArrow(in_pieces(deal(False), 200), narrow).select("parent", "at", "s")))
+        pieces = wide.mapInArrow(in_pieces(deal(True), 200), narrow + ", cut binary")
+        level = written_once(pieces.groupBy("m", "s").agg(*[F.first(c).alias(c) for c in ("cut", "a", "b")], F.sum("k").alias("k")))
     shards = max(1, -(-total // SHARD_BYTES))
-    heavy = weights.where(F.col("bytes") > HEAVY_BYTES).select("m")
     ranges = "s binary, found array<struct<a:int,b:int>>"
 
     def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -363,32 +451,18 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
         return found
 
     shard = F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")
-    light = distinct.join(heavy, "m", "left_anti").select(shard, "s", "cut", "k").groupBy("shard").applyInPandas(sort_shard, ranges)
+    sorted_ = light.select(shard, "s", "cut", "k").groupBy("shard").applyInPandas(sort_shard, ranges)
+    hits = sorted_.where(F.size("found") > 0)
+    moved = F.transform("found", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
+    for link in reversed(links):
+        # What holds in a piece holds in the cuts that it comes from; a piece of very many cuts is split.
+        hits = written_once(hits)
+        sizes = link.groupBy("s").agg(F.count(F.lit(1)).alias("parents"))
+        up = rows_of_groups(link, written_once(sizes.join(hits, "s")), ["s"], "parents")
+        hits = hits.unionByName(up.groupBy("parent").agg(F.flatten(F.collect_list(moved)).alias("found")).select(F.col("parent").alias("s"), "found"))
 
-    window_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("s", pa.binary()), ("a", pa.int32()), ("k", pa.int64())])
-
-    def windows(batches):
-        for batch in batches:
-            for s, c, k in zip(*[batch.column(x).to_pylist() for x in ("s", "cut", "k")]):
-                codes = np.frombuffer(c, np.uint8).astype(np.uint64) + np.uint64(1)
-                n = len(codes) - size + 1
-                power = size.bit_length() - 1
-                pairs = []
-                for base in (_BASE, _MIX):
-                    g = _grams(codes, power, base)
-                    # Two overlapping runs of a power of two cover the window.
-                    pairs.append((g[:n] * _BASE + g[size - (1 << power) : size - (1 << power) + n]).view(np.int64))
-                yield _batch([*pairs, [s] * n, np.arange(n), np.full(n, k)], window_schema)
-
-    # A heavy key's cuts lie together: deal them anew, so that no task makes all their windows.
-    each = distinct.join(heavy, "m", "left_semi").select("s", "cut", "k").repartition("s").mapInArrow(in_pieces(windows, 1), "x long, y long, s binary, a int, k long")
-    spot = F.xxhash64("s", "a")
-    twice = each.groupBy("x", "y").agg(F.min(spot).alias("p"), F.max(spot).alias("q"), F.max("k").alias("k")).where("p <> q or k > 1").select("x", "y")
-    dense = each.join(twice, ["x", "y"]).groupBy("s").agg(F.sort_array(F.collect_list("a")).alias("at")).select("s", F.transform("at", lambda a: F.struct(a.alias("a"), a.alias("b"))).alias("found"))
-
-    hits = light.where(F.size("found") > 0).unionByName(dense)
     spread = found.mapInArrow(in_pieces(cut(False), 500), layout).select("s", "h", "n", F.col("a").alias("at"))
-    by_text = spread.join(hits, "s").groupBy("h", "n").agg(F.flatten(F.collect_list(F.transform("found", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b"))))).alias("found"))
+    by_text = spread.join(hits, "s").groupBy("h", "n").agg(F.flatten(F.collect_list(moved)).alias("found"))
     result = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("spans", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), ("kept", pa.binary())])
 
     def remove(batches):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tablewright.llm.suffixes as suffixes
-from tablewright.llm.suffixes import Queue, remove_repeats, repeated_spans, repeats_in, sorted_suffixes, text_key
+from tablewright.llm.suffixes import Queue, narrower, remove_repeats, repeated_spans, repeats_in, runs_of, sorted_suffixes, text_key
 
 SIZE = 200
 
@@ -65,6 +65,58 @@ def corpus():
     return texts
 
 
+def test_runs_and_narrower_keys(monkeypatch):
+    """Every window lies in one run and in one piece of it, and equal windows have equal keys at every level."""
+    monkeypatch.setattr(suffixes, "SLICE", 700)
+    monkeypatch.setattr(suffixes, "RUN", 50)
+    draw = random.Random(3)
+    part = bytes(draw.choice(b"abc") for _ in range(500))
+    key_of, seen = [{} for _ in range(7)], 0
+    for raw in [part, b"x" + part[100:] + b"yz", b"ab" * 400, b"q" * 1500, part[:199], b"", bytes(draw.choice(b"ab") for _ in range(900))]:
+        values, first, last, twice = runs_of(raw, SIZE)
+        assert [i for a, b in zip(first, last) for i in range(a, b + 1)] == list(range(len(raw) - SIZE + 1))
+        for m, start, end in zip(values.tolist(), first.tolist(), last.tolist()):
+            assert end - start < 50
+            pieces = [(m, raw[start : end + SIZE], 0, 0)]
+            for level in range(7):
+                pieces, had = [], pieces
+                for key, cut, a, b in had:
+                    found = narrower(cut, key, a, b, SIZE)
+                    assert sorted(i for _, p, q, _, _ in found for i in range(p, q + 1)) == list(range(len(cut) - SIZE + 1))
+                    for k, p, q, x, y in found:
+                        pieces.append((k, cut[p : q + SIZE], x - p, y - p))
+                        assert x <= p + SIZE - 1 and q <= x and y <= p + SIZE
+                        for i in range(p, q + 1):
+                            assert key_of[level].setdefault(cut[i : i + SIZE], k) == k
+            assert all(len(cut) == SIZE and (a, b) == (0, SIZE) for _, cut, a, b in pieces)
+            seen += len(pieces)
+    assert seen > 2000
+
+
+def test_long_repetitive_texts(spark):
+    """Megabytes of one letter, of a short period and of both: nothing but bounded runs, all of it repeated."""
+    texts = ["e" * 6_000_000, "abcdefg" * 400_000 + "!", "e" * 300_000 + "abcdefg" * 50_000, "e" * 199]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert out[0].text == "" and out[1].text == "!" and out[3].text == texts[3]
+    # The windows over the seam of the third text occur once, but others cover all of it.
+    assert out[2].text == "" and [(s["from"], s["to"]) for s in out[2].spans] == [(0, len(texts[2]))]
+
+
+def test_many_surroundings_of_one_passage(spark, monkeypatch):
+    """A passage in hundreds of texts makes keys beyond a share: they are dealt further, with the same result."""
+    monkeypatch.setattr(suffixes, "HEAVY_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 20_000)
+    draw = random.Random(11)
+    prose = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = prose(450)
+    texts = [prose(draw.randint(0, 300)) + passage + prose(draw.randint(0, 300)) for _ in range(300)] + [passage[:250] + prose(300) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    for i, (removed, spans, kept) in enumerate(brute(texts)):
+        assert (got[i].text, len(got[i].spans)) == (kept.decode(), spans), i
+
+
 @pytest.mark.parametrize("shard", [2 << 20, 3000])
 def test_against_all_windows(spark, monkeypatch, shard):
     monkeypatch.setattr(suffixes, "SHARD_BYTES", shard)
