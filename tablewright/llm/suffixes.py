@@ -163,43 +163,59 @@ def _words(symbols: np.ndarray) -> np.ndarray:
     return ((padded[:n] << s | padded[1 : n + 1]) << s | padded[2 : n + 2]) << s | padded[3 : n + 3]
 
 
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Common prefix of suffixes a and b, at most ``size``; a word holds four symbols."""
-    n, out = len(words), np.zeros(len(a), np.int64)
-    open_ = np.arange(len(a))
-    while len(open_):
-        x, y = a[open_] + out[open_], b[open_] + out[open_]
-        wx = np.where(x < n, words[np.minimum(x, n - 1)], np.uint64(0))
-        wy = np.where(y < n, words[np.minimum(y, n - 1)], np.uint64(0))
-        differ = wx ^ wy
-        equal = np.where(differ == 0, 4, np.where(differ < 1 << 16, 3, np.where(differ < 1 << 32, 2, np.where(differ < 1 << 48, 1, 0))))
-        out[open_] += equal
-        open_ = open_[(equal == 4) & (out[open_] < size)]
-    return np.minimum(out, size)
-
-
-def _rank_sample(words: np.ndarray, sample: np.ndarray, size: int) -> np.ndarray:
-    """The sample suffixes in order of their first ``size`` symbols: by words, recursively within tied groups."""
-    n = len(words)
+def _equal_symbols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading symbols that words share, of four."""
+    differ = a ^ b
+    return np.where(differ == 0, 4, np.where(differ < 1 << 16, 3, np.where(differ < 1 << 32, 2, np.where(differ < 1 << 48, 1, 0))))
+
+
+def _words_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    found = words[np.minimum(at, len(words) - 1)]
+    found[at >= len(words)] = 0
+    return found
+
+
+def _common(words: np.ndarray, a: int, b: int, size: int) -> int:
+    """Common prefix of suffixes a and b, at most ``size``."""
+    steps = np.arange(0, size, 4)
+    equal = _equal_symbols(_words_at(words, a + steps), _words_at(words, b + steps))
+    short = np.flatnonzero(equal < 4)
+    return min(size, int(4 * short[0] + equal[short[0]])) if len(short) else size
+
+
+def _rank_sample(words: np.ndarray, sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample suffixes in order of their first ``size`` symbols, and each one's common prefix with the one before.
+
+    Sorted by words, recursively within tied groups; only groups whose next words differ are sorted again.
+    """
     order = sample[np.argsort(words[sample], kind="stable")]
-    depth, at = 4, np.arange(len(order))
-    group = np.cumsum(np.append(0, words[order][1:] != words[order][:-1])) if len(order) else at
-    while depth < size and len(at):
-        tied = np.zeros(len(at), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at, group = at[tied], group[tied]
-        if not len(at):
-            break
-        x = order[at] + depth
-        w = np.where(x < n, words[np.minimum(x, n - 1)], np.uint64(0))
-        by = np.lexsort((w, group))
-        order[at] = order[at][by]
-        w, group = w[by], group[by]
-        group = np.cumsum(np.append(0, (group[1:] != group[:-1]) | (w[1:] != w[:-1])))
+    common = np.full(len(order), size)
+    w, depth, at = words[order], 0, np.arange(len(order))
+    head = np.zeros(len(order), bool)
+    head[:1], common[:1] = True, 0
+    while len(at):
+        if depth:
+            w = _words_at(words, order[at] + depth)
+        differs = np.append(False, (w[1:] != w[:-1]) & ~head[1:])
+        if differs.any():
+            if depth:
+                group = np.cumsum(head) - 1
+                mixed = np.zeros(group[-1] + 1, bool)
+                mixed[group[differs]] = True
+                sub = np.flatnonzero(mixed[group])
+                by = sub[np.lexsort((w[sub], group[sub]))]
+                order[at[sub]], w[sub] = order[at[by]], w[by]
+                differs = np.append(False, (w[1:] != w[:-1]) & ~head[1:])
+            new = np.flatnonzero(differs)
+            common[at[new]] = depth + _equal_symbols(w[new], w[new - 1])
+            head[new] = True
+        if not depth or differs.any():
+            tied = ~(head & np.append(head[1:], True))
+            at, head = at[tied], head[tied]
         depth += 4
-    return order
+        if depth >= size:
+            break
+    return order, np.minimum(common, size)
 
 
 def _deal(queues: list[Queue], since: np.ndarray, symbols: np.ndarray, batch: np.ndarray, keep, size: int) -> None:
@@ -246,13 +262,12 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
     # The type of a suffix is decided at the next place where the symbol changes; the last suffix is large.
     change = np.flatnonzero(wide[1:] != wide[:-1])
     upto = np.append(change, n - 1)
-    nearest = upto[np.searchsorted(upto, np.arange(n))]
+    nearest = np.repeat(upto, np.diff(upto, prepend=-1))
     small = np.zeros(n, bool)
     inside = nearest < n - 1
     small[inside] = wide[nearest[inside]] < wide[nearest[inside] + 1]
     sample = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sample = _rank_sample(words, sample, size)
-    sample_common = np.append(0, _common(words, sample[:-1], sample[1:], size)) if len(sample) else sample
+    sample, sample_common = _rank_sample(words, sample, size)
     heads = symbols[sample]
     per_queue = max(1 << 16, limit // (top + 1))
 
@@ -266,7 +281,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
         first = True
         while found is not None:
             if first:
-                found[0, 1] = _common(words, np.array([max(last, 0)]), found[:1, 0], size)[0] if last >= 0 else 0
+                found[0, 1] = _common(words, last, int(found[0, 0]), size) if last >= 0 else 0
                 first = False
             own.append(found)
             last = int(found[-1, 0])
@@ -276,7 +291,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
         a, b = np.searchsorted(heads, [c, c + 1])
         if b > a:
             pairs = np.stack([sample[a:b], sample_common[a:b]], axis=1)
-            pairs[0, 1] = _common(words, np.array([max(last, 0)]), pairs[:1, 0], size)[0] if last >= 0 else 0
+            pairs[0, 1] = _common(words, last, int(pairs[0, 0]), size) if last >= 0 else 0
             last = int(pairs[-1, 0])
             _deal(queues, since, symbols, pairs, lambda char, at: ~small[at], size)
 
@@ -289,7 +304,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
         own, found, first = [], queues[c].pull(), True
         while found is not None:
             if first:
-                found[0, 1] = _common(words, np.array([max(last, 0)]), found[:1, 0], size)[0] if last >= 0 else 0
+                found[0, 1] = _common(words, last, int(found[0, 0]), size) if last >= 0 else 0
                 first = False
             own.append(found)
             last = int(found[-1, 0])
@@ -298,7 +313,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
         if len(large[c]):
             down = large[c][::-1].copy()
             down[1:, 1] = large[c][:0:-1, 1]
-            down[0, 1] = _common(words, np.array([max(last, 0)]), down[:1, 0], size)[0] if last >= 0 else 0
+            down[0, 1] = _common(words, last, int(down[0, 0]), size) if last >= 0 else 0
             own.append(down)
             last = int(down[-1, 0])
             _deal(queues, since, symbols, down, lambda char, at: small[at], size)
