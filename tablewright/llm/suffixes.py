@@ -449,8 +449,8 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
         light = fits if light is None else light.unionByName(fits)
         if not row[1]:
             break
-        # A heavy key's cuts lie together: deal them anew, so that no task makes all their pieces.
-        wide = level.join(heavy, "m", "left_semi").repartition("s")
+        # The table of a level is dealt by key and cut, so a heavy key's cuts lie in many of its files.
+        wide = level.join(heavy, "m", "left_semi")
         links.append(written_once(wide.mapInArrow(in_pieces(deal(False), 200), narrow).select("parent", "at", "s")))
         pieces = wide.mapInArrow(in_pieces(deal(True), 200), narrow + ", cut binary")
         level = written_once(pieces.groupBy("m", "s").agg(*[F.first(c).alias(c) for c in ("cut", "a", "b")], F.sum("k").alias("k")))
@@ -498,7 +498,8 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
             if rows:
                 yield _batch(list(zip(*rows)), result)
 
-    whole = held.select("h", "n", "t", "c").join(by_text, ["h", "n"], "left").where("c > 1 or found is not null")
+    # A text that occurs twice goes whole: its bytes need not travel.
+    whole = held.select("h", "n", F.when(F.col("c") == 1, F.col("t")).alias("t"), "c").join(by_text, ["h", "n"], "left").where("c > 1 or found is not null")
     return whole.mapInArrow(in_pieces(remove, 200), "h long, n int, spans array<struct<from:int,to:int>>, kept binary")
 
 
