@@ -1,15 +1,20 @@
 """Schema and contract checks over a catalogue of columns.
 
 A catalogue row is ``(dataset, column_name, ordinal, type, nullable)``; a spec row
-is ``(dataset, column_name, required, ...)``.  Thousands of datasets are checked
-against their specs by one join on ``(dataset, column_name)``, which is unique on
-both sides.
+is ``(dataset, column_name, required, ...)``.  ``(dataset, column_name)`` is unique
+on both sides.  Either may also come packed: one row per dataset with arrays
+instead of values, as long as a table is wide.
+
+Thousands of datasets are checked against their specs by one join on ``dataset``
+of packed rows; names are compared inside a row, so they are not shuffled or
+sorted one by one, and only findings become rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import coerce
 
@@ -34,44 +39,81 @@ def catalogue_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     return spark.createDataFrame(rows, "dataset string, column_name string, ordinal int, type string, nullable boolean")
 
 
+def packed(entries: DataFrame, *fields: str) -> DataFrame:
+    """One row per dataset with an array for each of the given fields."""
+    if isinstance(entries.schema["column_name"].dataType, T.ArrayType):
+        return entries.select("dataset", *fields)
+    rows = entries.groupBy("dataset").agg(F.collect_list(F.struct(*fields)).alias("_entries"))
+    return rows.select("dataset", *[F.col("_entries")[f].alias(f) for f in fields])
+
+
+def _names(where=None) -> Column:
+    """Names of the entries for which ``where`` holds on their fields."""
+    if where is None:
+        return F.col("column_name")
+    return F.filter("column_name", lambda _, i: where(lambda field: F.get(F.col(field), i)))
+
+
+def _side_by_side(catalogue: DataFrame, spec: DataFrame, have: dict[str, Column], want: dict[str, Column], how: str) -> DataFrame:
+    """Lists made of either side, on one row per dataset."""
+    return catalogue.select("dataset", *[c.alias(n) for n, c in have.items()]).join(spec.select("dataset", *[c.alias(n) for n, c in want.items()]), "dataset", how)
+
+
+def _listed(both: DataFrame, names: Column, **labels: str) -> DataFrame:
+    """One row per name, with labels."""
+    return both.select("dataset", F.explode(names).alias("column_name"), *[F.lit(v).alias(n) for n, v in labels.items()])
+
+
+def _labelled(both: DataFrame, found: list[tuple[Column, dict[str, str]]]) -> DataFrame:
+    """One row per name and list of names, with the labels of the list."""
+
+    def rows(names: Column, labels: dict[str, str]) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("column_name"), *[F.lit(v).alias(k) for k, v in labels.items()]))
+
+    return both.select("dataset", F.inline(F.concat(*[rows(*f) for f in found])))
+
+
+def _none_if_absent(name: str) -> Column:
+    """A list of one side, empty where that side lacks the dataset."""
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
 def schema_missing(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Declared columns that the data lacks."""
-    gone = spec.join(catalogue.select(*KEY), KEY, "left_anti")
-    return gone.select(*KEY, F.lit("VAL_SCHEMA_MISSING_FIELD").alias("issue_code"))
+    both = _side_by_side(packed(catalogue, "column_name"), packed(spec, "column_name"), {"have": _names()}, {"want": _names()}, "right")
+    return _listed(both, F.array_except("want", _none_if_absent("have")), issue_code="VAL_SCHEMA_MISSING_FIELD")
 
 
 def schema_unexpected(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Columns in the data that nobody declared."""
-    extra = catalogue.join(spec.select(*KEY), KEY, "left_anti")
-    return extra.select(*KEY, F.lit("VAL_SCHEMA_UNEXPECTED_FIELD").alias("issue_code"))
+    both = _side_by_side(packed(catalogue, "column_name"), packed(spec, "column_name"), {"have": _names()}, {"want": _names()}, "left")
+    return _listed(both, F.array_except("have", _none_if_absent("want")), issue_code="VAL_SCHEMA_UNEXPECTED_FIELD")
 
 
 def unmapped_columns(catalogue: DataFrame, spec: DataFrame, side: str = "source") -> DataFrame:
     """Both directions at once: data not mapped, and mapped but absent."""
-    return (
-        schema_unexpected(catalogue, spec).select(*KEY, F.lit(f"unmapped_{side}").alias("finding"))
-        .unionByName(schema_missing(catalogue, spec).select(*KEY, F.lit(f"missing_in_{side}").alias("finding")))
-    )
+    both = _side_by_side(packed(catalogue, "column_name"), packed(spec, "column_name"), {"have": _names()}, {"want": _names()}, "full")
+    have, want = _none_if_absent("have"), _none_if_absent("want")
+    return _labelled(both, [(F.array_except(have, want), {"finding": f"unmapped_{side}"}), (F.array_except(want, have), {"finding": f"missing_in_{side}"})])
 
 
 def schema_check(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Missing required (error), unexpected and missing optional (warnings)."""
-    have = catalogue.select(*KEY, F.lit(True).alias("have"))
-    want = spec.select(*KEY, F.coalesce("required", F.lit(False)).alias("required"), F.lit(True).alias("want"))
-    both = have.join(want, KEY, "full_outer")
-    finding = (
-        F.when(F.col("want").isNull(), "unexpected")
-        .when(F.col("have").isNull() & F.col("required"), "missing_required")
-        .when(F.col("have").isNull(), "missing_optional")
-    )
-    out = both.select(*KEY, finding.alias("finding")).filter("finding IS NOT NULL")
-    return out.withColumn("severity", F.when(F.col("finding") == "missing_required", "error").otherwise("warning"))
+    due = _names(lambda e: e("required"))
+    both = _side_by_side(packed(catalogue, "column_name"), packed(spec, "column_name", "required"), {"have": _names()}, {"want": _names(), "due": due}, "full")
+    have, want, due = (_none_if_absent(n) for n in ("have", "want", "due"))
+    return _labelled(both, [
+        (F.array_except(have, want), {"finding": "unexpected", "severity": "warning"}),
+        (F.array_except(due, have), {"finding": "missing_required", "severity": "error"}),
+        (F.array_except(F.array_except(want, due), have), {"finding": "missing_optional", "severity": "warning"}),
+    ])
 
 
 def column_lists(catalogue: DataFrame) -> DataFrame:
     """Column names of each dataset in order (as long as a table is wide)."""
-    entries = F.array_sort(F.collect_list(F.struct("ordinal", "column_name")))
-    return catalogue.groupBy("dataset").agg(F.transform(entries, lambda e: e["column_name"]).alias("columns"))
+    lists = packed(catalogue, "column_name", "ordinal")
+    in_order = F.sort_array(F.arrays_zip("ordinal", "column_name"))
+    return lists.select("dataset", in_order["column_name"].alias("columns"))
 
 
 def structure_compatible(catalogue: DataFrame, pairs: DataFrame, expected_order: list[str] | None = None) -> DataFrame:
@@ -106,16 +148,15 @@ def structure_compatible(catalogue: DataFrame, pairs: DataFrame, expected_order:
 # ------------------------------------------------------------------ contracts
 def contract_columns(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Mapped columns the table lacks; NOT NULL columns that are not mapped."""
-    have = catalogue.select(*KEY, "nullable", F.lit(True).alias("have"))
-    want = spec.select(*KEY, "required", F.lit(True).alias("want"))
-    both = have.join(want, KEY, "full_outer")
-    finding = (
-        F.when(F.col("have").isNull() & F.col("required"), "required_column_absent")
-        .when(F.col("have").isNull(), "optional_column_absent")
-        .when(F.col("want").isNull() & ~F.col("nullable"), "not_null_column_unmapped")
-    )
-    out = both.select(*KEY, finding.alias("finding")).filter("finding IS NOT NULL")
-    return out.withColumn("severity", F.when(F.col("finding") == "required_column_absent", "error").otherwise("warning"))
+    both = _side_by_side(
+        packed(catalogue, "column_name", "nullable"), packed(spec, "column_name", "required"),
+        {"have": _names(), "filled": _names(lambda e: ~e("nullable"))}, {"want": _names(), "due": _names(lambda e: e("required"))}, "full")
+    have, filled, want, due = (_none_if_absent(n) for n in ("have", "filled", "want", "due"))
+    return _labelled(both, [
+        (F.array_except(due, have), {"finding": "required_column_absent", "severity": "error"}),
+        (F.array_except(F.array_except(want, due), have), {"finding": "optional_column_absent", "severity": "warning"}),
+        (F.array_except(filled, want), {"finding": "not_null_column_unmapped", "severity": "warning"}),
+    ])
 
 
 def types_compatible(declared: Column, stored: Column) -> Column:
@@ -127,24 +168,44 @@ def types_compatible(declared: Column, stored: Column) -> Column:
 
 def contract_types(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Columns whose stored type can not hold the declared type."""
-    both = catalogue.select(*KEY, "type").join(spec.select(*KEY, "data_type"), KEY)
-    return both.filter(~types_compatible(F.col("data_type"), F.col("type")))
+    both = _side_by_side(
+        packed(catalogue, "column_name", "type"), packed(spec, "column_name", "data_type"),
+        {"have": _names(), "type": F.col("type")}, {"want": _names(), "data_type": F.col("data_type")}, "inner")
+
+    # A dataset has few types: names meet for each pair of them that does not fit.
+    def of_type(stored: Column) -> Column:
+        held = F.array(F.filter("have", lambda _, i: F.get("type", i).eqNullSafe(stored)))
+        unfit = F.filter(F.array_distinct("data_type"), lambda declared: ~types_compatible(declared, stored))
+        return F.flatten(F.transform(held, lambda names: F.flatten(F.transform(unfit, lambda declared: of_pair(names, stored, declared)))))
+
+    def of_pair(names: Column, stored: Column, declared: Column) -> Column:
+        met = F.array_intersect(names, F.filter("want", lambda _, i: F.get("data_type", i).eqNullSafe(declared)))
+        return F.transform(met, lambda n: F.struct(n.alias("column_name"), stored.alias("type"), declared.alias("data_type")))
+
+    return both.select("dataset", F.inline(F.flatten(F.transform(F.array_distinct("type"), of_type))))
 
 
 def contract_nullability(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Required columns that the table allows to be null."""
-    both = catalogue.filter("nullable").select(*KEY).join(spec.filter("required").select(*KEY), KEY)
-    return both.withColumn("finding", F.lit("required_but_nullable"))
+    both = _side_by_side(
+        packed(catalogue, "column_name", "nullable"), packed(spec, "column_name", "required"),
+        {"have": _names(lambda e: e("nullable"))}, {"want": _names(lambda e: e("required"))}, "inner")
+    return _listed(both, F.array_intersect("have", "want"), finding="required_but_nullable")
 
 
 def contract_date_format(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Date formats on columns that are no dates; times on plain dates."""
-    both = catalogue.select(*KEY, F.upper("type").alias("type")).join(spec.select(*KEY, "data_type", "date_format"), KEY)
-    concerned = (F.lower("data_type") == "date") | F.col("date_format").isNotNull()
-    finding = F.when(~F.col("type").isin(*COMPATIBLE_TYPES["date"]), "not_a_date_type").when(
-        (F.col("type") == "DATE") & F.upper("date_format").rlike("HH|MI|SS"), "time_on_date"
-    )
-    return both.filter(concerned).select(*KEY, finding.alias("finding")).filter("finding IS NOT NULL")
+    concerned = _names(lambda e: (F.lower(e("data_type")) == "date") | e("date_format").isNotNull())
+    timed = _names(lambda e: F.upper(e("date_format")).rlike("HH|MI|SS"))
+    others = _names(lambda e: ~F.upper(e("type")).isin(*COMPATIBLE_TYPES["date"]))
+    dates = _names(lambda e: F.upper(e("type")) == "DATE")
+    both = _side_by_side(
+        packed(catalogue, "column_name", "type"), packed(spec, "column_name", "data_type", "date_format"),
+        {"others": others, "dates": dates}, {"concerned": concerned, "timed": timed}, "inner")
+    return _labelled(both, [
+        (F.array_intersect("others", "concerned"), {"finding": "not_a_date_type"}),
+        (F.array_intersect("dates", "timed"), {"finding": "time_on_date"}),
+    ])
 
 
 def contract_key_sets(declared: DataFrame, constraints: DataFrame) -> DataFrame:

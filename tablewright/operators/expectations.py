@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import coerce
+from tablewright.operators.catalogue import column_lists
 from tablewright.operators.trailing import with_trailing
 
 RESULT = ["target_id", "expectation_type", "column_name", "success", "unexpected_count", "element_count"]
@@ -103,8 +104,7 @@ def checkpoint_summary(results: list[DataFrame]) -> DataFrame:
 def columns_match_ordered_list(catalogue: DataFrame, expected: DataFrame) -> DataFrame:
     """Datasets of a catalogue against their expected column order
     (``dataset, expected``)."""
-    entries = F.array_sort(F.collect_list(F.struct("ordinal", "column_name")))
-    names = catalogue.groupBy("dataset").agg(F.transform(entries, lambda e: e["column_name"]).alias("columns"))
+    names = column_lists(catalogue)
     return names.join(expected, "dataset").select("dataset", (F.col("columns") == F.col("expected")).alias("success"))
 
 

@@ -6,6 +6,7 @@ columns, as if the line were the header of a file.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablewright.operators import catalogue as cat
@@ -22,22 +23,45 @@ spec AS (SELECT dataset, column_name, ordinal % 2 = 0 AS required, CASE ordinal
  UNION ALL SELECT DISTINCT dataset, 'zz_required', true, 'string', NULL FROM cat UNION ALL SELECT DISTINCT dataset, 'zz_optional', false, 'string', NULL FROM cat)"""
 
 
+def first_places(contents: pa.Array) -> pa.Array:
+    """Words of the lines of a dataset, each with its first place in a line."""
+    names, ordinals = [], []
+    for lines in contents.to_pylist():
+        places: dict[str, int] = {}
+        for line in lines:
+            for i, word in enumerate(line.split(" "), 1):
+                if word and places.setdefault(word, i) > i:
+                    places[word] = i
+        names.append(list(places))
+        ordinals.append(list(places.values()))
+    lists = pa.array(names, pa.list_(pa.string())), pa.array(ordinals, pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays(lists, ["column_name", "ordinal"])
+
+
 def catalogue(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content"))
-    words = lines.select((F.col("doc_id") * 100000 + F.col("n") + 1).alias("dataset"), F.posexplode(F.split("content", " ")).alias("i", "column_name"))
-    names = words.filter("column_name <> ''").groupBy("dataset", "column_name").agg((F.min("i") + 1).alias("ordinal"))
-    n = F.char_length("column_name") % 4
-    kind = F.when(n == 0, "VARCHAR2").when(n == 1, "NUMBER").when(n == 2, "DATE").otherwise("CLOB")
-    return names.withColumn("type", kind).withColumn("nullable", F.col("ordinal") % 3 != 0)
+    """Packed: lines meet by their dataset while they are texts, their words stay in one row."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content")).filter(F.trim("content") != "")
+    placed = F.arrow_udf(first_places, "struct<column_name: array<string>, ordinal: array<int>>")
+    groups = lines.groupBy((F.col("doc_id") * 100000 + F.col("n") + 1).alias("dataset")).agg(F.collect_list("content").alias("contents"))
+    types = F.array(*[F.lit(k) for k in ("VARCHAR2", "NUMBER", "DATE", "CLOB")])
+    return groups.select("dataset", placed("contents").alias("words")).select("dataset", "words.*").select(
+        "dataset", "column_name", "ordinal",
+        F.transform("column_name", lambda n: F.get(types, F.char_length(n) % 4)).alias("type"), F.transform("ordinal", lambda o: o % 3 != 0).alias("nullable"))
 
 
 def spec(c):
-    o = F.col("ordinal")
-    kind = F.when(o % 3 == 0, "string").when(o % 3 == 1, "number").otherwise("date")
-    listed = c.filter(o % 5 != 0).select("dataset", "column_name", (o % 2 == 0).alias("required"), kind.alias("data_type"), F.when(o % 4 == 0, "YYYYMMDD HH24").alias("date_format"))
-    extra = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(r).alias("required")) for n, r in (("zz_required", True), ("zz_optional", False))])
-    added = c.groupBy("dataset").agg(F.lit(1).alias("one")).select("dataset", F.inline(extra))
-    return listed.unionByName(added.withColumn("data_type", F.lit("string")).withColumn("date_format", F.lit(None).cast("string")))
+    def listed(name):
+        return F.filter(name, lambda _, i: F.get("ordinal", i) % 5 != 0)
+
+    def of_each(value, *added):
+        return F.concat(F.transform(listed("ordinal"), value), F.array(*added))
+
+    nothing = F.lit(None).cast("string")
+    return c.select(
+        "dataset", F.concat(listed("column_name"), F.array(F.lit("zz_required"), F.lit("zz_optional"))).alias("column_name"),
+        of_each(lambda o: o % 2 == 0, F.lit(True), F.lit(False)).alias("required"),
+        of_each(lambda o: F.when(o % 3 == 0, "string").when(o % 3 == 1, "number").otherwise("date"), F.lit("string"), F.lit("string")).alias("data_type"),
+        of_each(lambda o: F.when(o % 4 == 0, "YYYYMMDD HH24"), nothing, nothing).alias("date_format"))
 
 
 @query("H01_schema_missing", f"{CAT_SQL} SELECT dataset, column_name, 'VAL_SCHEMA_MISSING_FIELD' AS issue_code FROM spec ANTI JOIN cat USING (dataset, column_name)")
@@ -76,7 +100,7 @@ UNION ALL SELECT "left", "right", 'missing_columns', 'right', array_to_string(go
 UNION ALL SELECT "left", "right", 'missing_columns', 'left', array_to_string(gone_l, ',') FROM d WHERE nl = nr AND len(gone_l) > 0""")
 def _(t):
     c = catalogue(t)
-    pairs = c.select(F.col("dataset").alias("left"), (F.col("dataset") + 1).alias("right")).distinct()
+    pairs = c.select(F.col("dataset").alias("left"), (F.col("dataset") + 1).alias("right"))
     return cat.structure_compatible(c, pairs)
 
 
@@ -85,7 +109,9 @@ x AS (SELECT dataset, list(column_name ORDER BY ordinal) AS cols FROM cat WHERE
 SELECT names.dataset, names.cols = x.cols AS success FROM names JOIN x USING (dataset)""")
 def _(t):
     c = catalogue(t)
-    expected = cat.column_lists(c.filter(~((F.col("dataset") % 3 == 0) & (F.col("ordinal") == 2)))).withColumnRenamed("columns", "expected")
+    kept = [F.filter(n, lambda _, i: ~((F.col("dataset") % 3 == 0) & (F.get("ordinal", i) == 2))).alias(n) for n in ("column_name", "ordinal")]
+    some = c.select("dataset", *kept).filter(F.size("ordinal") > 0)
+    expected = cat.column_lists(some).withColumnRenamed("columns", "expected")
     return ex.columns_match_ordered_list(c, expected)
 
 
@@ -160,7 +186,7 @@ s AS (SELECT dataset, ordinal % 2 AS c, list_sort(list(DISTINCT upper(column_nam
  UNION ALL SELECT dataset, 9, list_sort(list(DISTINCT upper(column_name))) FROM cat WHERE dataset % 2 = 0 AND ordinal <= 2 GROUP BY dataset)
 SELECT dataset, 'keys_match_no_constraint' AS finding FROM d JOIN s USING (dataset) GROUP BY dataset HAVING NOT bool_or(d.k = s.k)""")
 def _(t):
-    c = catalogue(t).select("dataset", "column_name", "ordinal")
+    c = catalogue(t).select("dataset", F.inline(F.arrays_zip("column_name", "ordinal"))).filter("ordinal <= 4")
     declared = c.filter("ordinal <= 2")
     split = c.filter(F.col("ordinal") <= F.when(F.col("dataset") % 3 == 0, 4).otherwise(2)).withColumn("constraint", F.col("ordinal") % 2)
     whole = c.filter("dataset % 2 = 0 AND ordinal <= 2").withColumn("constraint", F.lit(9))
