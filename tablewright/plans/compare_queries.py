@@ -8,7 +8,7 @@ from tablewright.operators import compare, gates
 from tablewright.operators import profile as prof
 from tablewright.operators.rules import FieldRule, validate
 from tablewright.plans.registry import query
-from tablewright.plans.sqltext import union_all
+from tablewright.plans.sqltext import rounded_sql, union_all
 from tablewright.sources.rows import number_rows
 
 # The right side: some orders dropped, some new, some fields changed or nulled.
@@ -176,8 +176,8 @@ def _(t):
     return rows.select("p_partkey", compare.string_difference(F.col("x"), F.col("y")).alias("d")).select("p_partkey", "d.*")
 
 
-@query("C07_numeric_difference", """
-SELECT o_orderkey, round(y - x, 4) AS absolute_difference, CASE WHEN x = 0 THEN CAST('inf' AS DOUBLE) ELSE round((y - x) / x * 100, 4) END AS percent_change,
+@query("C07_numeric_difference", f"""
+SELECT o_orderkey, {rounded_sql("y - x", 4)} AS absolute_difference, CASE WHEN x = 0 THEN CAST('inf' AS DOUBLE) ELSE {rounded_sql("(y - x) / x * 100", 4)} END AS percent_change,
  (x < 0) <> (y < 0) AS sign_change FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 0.0::DOUBLE ELSE o_totalprice END AS x,
  CASE WHEN o_orderkey % 7 = 0 THEN -o_totalprice ELSE o_totalprice * 1.5::DOUBLE END AS y FROM orders)""")
 def _(t):
