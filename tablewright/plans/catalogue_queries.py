@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import catalogue as cat
 from tablewright.operators import expectations as ex
 from tablewright.plans.registry import query
-from tablewright.plans.sqltext import union_all
+from tablewright.plans.sqltext import union_all, upper_sql
 
 CAT_SQL = """WITH cat AS (SELECT dataset, column_name, CAST(min(i) AS INTEGER) AS ordinal,
  CASE length(column_name) % 4 WHEN 0 THEN 'VARCHAR2' WHEN 1 THEN 'NUMBER' WHEN 2 THEN 'DATE' ELSE 'CLOB' END AS type, min(i) % 3 <> 0 AS nullable
@@ -181,9 +181,9 @@ def _(t):
     return cat.observed_keys(t.orders, ["o_orderkey"]).unionByName(cat.observed_keys(t.lineitem, ["l_orderkey", "l_linenumber"]))
 
 
-@query("N07_contract_key_sets", f"""{CAT_SQL}, d AS (SELECT dataset, list_sort(list(DISTINCT upper(column_name))) AS k FROM cat WHERE ordinal <= 2 GROUP BY dataset),
-s AS (SELECT dataset, ordinal % 2 AS c, list_sort(list(DISTINCT upper(column_name))) AS k FROM cat WHERE ordinal <= CASE WHEN dataset % 3 = 0 THEN 4 ELSE 2 END GROUP BY dataset, c
- UNION ALL SELECT dataset, 9, list_sort(list(DISTINCT upper(column_name))) FROM cat WHERE dataset % 2 = 0 AND ordinal <= 2 GROUP BY dataset)
+@query("N07_contract_key_sets", f"""{CAT_SQL}, d AS (SELECT dataset, list_sort(list(DISTINCT {upper_sql("column_name")})) AS k FROM cat WHERE ordinal <= 2 GROUP BY dataset),
+s AS (SELECT dataset, ordinal % 2 AS c, list_sort(list(DISTINCT {upper_sql("column_name")})) AS k FROM cat WHERE ordinal <= CASE WHEN dataset % 3 = 0 THEN 4 ELSE 2 END GROUP BY dataset, c
+ UNION ALL SELECT dataset, 9, list_sort(list(DISTINCT {upper_sql("column_name")})) FROM cat WHERE dataset % 2 = 0 AND ordinal <= 2 GROUP BY dataset)
 SELECT dataset, 'keys_match_no_constraint' AS finding FROM d JOIN s USING (dataset) GROUP BY dataset HAVING NOT bool_or(d.k = s.k)""")
 def _(t):
     c = catalogue(t).select("dataset", F.inline(F.arrays_zip("column_name", "ordinal"))).filter("ordinal <= 4")
