@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
@@ -191,19 +190,22 @@ def _(t):
 
 @query("S17_grep_archives", f"SELECT CAST(doc_id AS VARCHAR) || '.zip' AS archive, 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS file, line FROM {LINES_SQL} WHERE contains(content, 'ation') AND doc_id % 2 = 0")
 def _(t):
-    @F.pandas_udf("binary")
-    def zipped(name: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for n, body in zip(name, text):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(n, body)
-            out.append(buffer.getvalue())
-        return pd.Series(out)
+    def zipped(batches):
+        # Handed on in small batches; an archive at a time is held as Python objects.
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part, archives = batch.slice(start, 256), []
+                for n, body in zip(part.column("name"), part.column("text"), strict=True):
+                    buffer = io.BytesIO()
+                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr(n.as_py(), body.as_py() or "")
+                    archives.append(buffer.getvalue())
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(archives, pa.binary())], names=["path", "content"])
 
     doc = F.col("doc_id").cast("string")
     member = F.concat(F.when(F.col("doc_id") % 2 == 0, "doc-").otherwise("other-"), doc, F.lit(".txt"))
-    archives = t.documents.select(F.concat(doc, F.lit(".zip")).alias("path"), zipped(member, "text").alias("content"))
+    documents = t.documents.select(F.concat(doc, F.lit(".zip")).alias("path"), member.alias("name"), "text")
+    archives = documents.mapInArrow(zipped, "path string, content binary")
     return files.search_archives(archives, "ation", "doc-*").select("archive", "file", "line")
 
 

@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,15 +153,20 @@ def _members(name: str, stream) -> Iterator[tuple[str, io.BufferedIOBase]]:
 
 def _searched(archives: DataFrame, opened, needle: str, file_glob: str, batch: int) -> DataFrame:
     """Hits in archives whose first column is a path; ``opened`` makes a stream of a row."""
-    columns = ["archive", "file", "line", "content", "error"]
+    schema = pa.schema([("archive", pa.string()), ("file", pa.string()), ("line", pa.int64()), ("content", pa.string()), ("error", pa.string())])
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                name = os.path.basename(row.path)
+            # Contents become Python objects one archive at a time.
+            for at in range(frame.num_rows):
+                row = [column[at] for column in frame.columns]
+                name = os.path.basename(row[0].as_py())
                 try:
-                    with opened(row) as stream:
+                    with opened(*row) as stream:
                         for member, f in _members(name, stream):
                             if not fnmatch.fnmatch(os.path.basename(member), file_glob):
                                 continue
@@ -170,14 +174,14 @@ def _searched(archives: DataFrame, opened, needle: str, file_glob: str, batch: i
                                 if needle in line:
                                     found.append((name, member, number, line.rstrip(), None))
                                     if len(found) >= batch:
-                                        yield pd.DataFrame(found, columns=columns, dtype=object)
+                                        yield as_batch(found)
                                         found = []
                 except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError, pa.ArrowException) as why:
                     found.append((name, None, None, None, f"{type(why).__name__}: {why}"))
         if found:
-            yield pd.DataFrame(found, columns=columns, dtype=object)
+            yield as_batch(found)
 
-    return archives.mapInPandas(search, "archive string, file string, line bigint, content string, error string")
+    return archives.mapInArrow(search, "archive string, file string, line bigint, content string, error string")
 
 
 def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batch: int = 10_000) -> DataFrame:
@@ -188,7 +192,7 @@ def search_archives(archives: DataFrame, needle: str, file_glob: str = "*", batc
     never holds a whole member.  An archive that can not be read to its end
     yields one row with the reason in ``error`` and no file.
     """
-    return _searched(archives.select("path", "content"), lambda row: io.BytesIO(row.content), needle, file_glob, batch)
+    return _searched(archives.select("path", "content"), lambda path, content: io.BytesIO(content.as_py() or b""), needle, file_glob, batch)
 
 
 def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str = "*", file_glob: str = "*", batch: int = 10_000) -> DataFrame:
@@ -200,7 +204,7 @@ def grep_archives(spark: SparkSession, path: str, needle: str, archive_glob: str
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", archive_glob).load(path)
     places = files.filter(F.col("path").rlike(r"\.(zip|tar\.gz|tgz)$")).select("path")
-    return _searched(places, lambda row: open_stored(row.path), needle, file_glob, batch)
+    return _searched(places, lambda path: open_stored(path.as_py()), needle, file_glob, batch)
 
 
 def extract_error_rows(rows: DataFrame, violations: DataFrame, row_id="_row", header_row: int | None = None) -> DataFrame:

@@ -20,3 +20,10 @@ def test_query_and_sql_agree(spark, tmp_path, name):
     df = entry_module.queries()[name](spark, str(tmp_path))
     assert df.count() > 0
     assert compare(df, connect(str(tmp_path)), entry_module.oracle_sql()[name]) == []
+
+
+def test_archives_of_documents_without_text(spark, tmp_path):
+    rows = [(2, None), (4, "a nation\nb\nration"), (3, "station")]
+    spark.createDataFrame(rows, "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    df = entry_module.queries()["S17_grep_archives"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("4.zip", "doc-4.txt", 1), ("4.zip", "doc-4.txt", 3)]
