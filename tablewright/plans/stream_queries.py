@@ -60,9 +60,11 @@ UNION ALL SELECT 'numbered', row_number FROM o JOIN k USING (l_orderkey) WHERE N
 UNION ALL SELECT 'total', row_number FROM o JOIN k USING (l_orderkey) WHERE s < 20 OR s > 200""")
 def _(t):
     """The lines of an order are spread over files that arrive in several batches."""
-    folder = landed(t, "watch", t.lineitem.repartition(5, "l_linenumber", "l_partkey"))
+    # Files and batches of a bounded size: five files for each part in which the table is read, two fifths of them a batch.
+    parts = t.lineitem.rdd.getNumPartitions()
+    folder = landed(t, "watch", t.lineitem.repartition(5 * parts, "l_linenumber", "l_partkey"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.lineitem.schema)
-    target = watch.WatchTarget(f"{folder}/in", schema, f"{folder}/out", f"{folder}/state", files_per_batch=2)
+    target = watch.WatchTarget(f"{folder}/in", schema, f"{folder}/out", f"{folder}/state", files_per_batch=2 * parts)
     key = ("l_orderkey",)
     rules = [
         FieldRule("cap", "l_discount", "<=", value=0.09), GroupRule("one_line", "unique", key), GroupRule("same_flag", "consistent", key, target="l_returnflag"),
