@@ -222,7 +222,9 @@ def header_trailer_match(
     def first(field: str, name: str) -> Column:
         return F.min_by(F.col(field).cast("string"), F.when(_of(name), F.col(row)))
 
-    found = _totals(keyed, keys, batch, [first(header_field, header_type).alias("h"), first(trailer_field, trailer_type).alias("t")])
+    # First fields are texts, for which rows are sorted: only those of the two types.
+    ends = keyed.filter(_of(header_type) | _of(trailer_type))
+    found = _totals(ends, keys, batch, [first(header_field, header_type).alias("h"), first(trailer_field, trailer_type).alias("t")])
     found = found.filter(coerce.strip(F.col("h")) != coerce.strip(F.col("t")))
     message = F.concat(F.lit(f"header {header_field} is "), F.col("h"), F.lit(f", trailer {trailer_field} is "), F.col("t"))
     return _file_level(found, "header_trailer_match", severity, f"{header_field}/{trailer_field}", F.concat_ws(" vs ", "h", "t"), message, batch)
