@@ -168,21 +168,23 @@ def types_compatible(declared: Column, stored: Column) -> Column:
 
 def contract_types(catalogue: DataFrame, spec: DataFrame) -> DataFrame:
     """Columns whose stored type can not hold the declared type."""
+    # A dataset has few types: a row carries each of them once, with its names.
+    def by_kind(field: str) -> Column:
+        return F.transform(F.array_distinct(field), lambda k: F.struct(k.alias("kind"), F.filter("column_name", lambda _, i: F.get(F.col(field), i).eqNullSafe(k)).alias("names")))
+
     both = _side_by_side(
-        packed(catalogue, "column_name", "type"), packed(spec, "column_name", "data_type"),
-        {"have": _names(), "type": F.col("type")}, {"want": _names(), "data_type": F.col("data_type")}, "inner")
+        packed(catalogue, "column_name", "type"), packed(spec, "column_name", "data_type"), {"have": by_kind("type")}, {"want": by_kind("data_type")}, "inner")
 
-    # A dataset has few types: names meet for each pair of them that does not fit.
+    # Names meet for each pair of types that does not fit.
     def of_type(stored: Column) -> Column:
-        held = F.array(F.filter("have", lambda _, i: F.get("type", i).eqNullSafe(stored)))
-        unfit = F.filter(F.array_distinct("data_type"), lambda declared: ~types_compatible(declared, stored))
-        return F.flatten(F.transform(held, lambda names: F.flatten(F.transform(unfit, lambda declared: of_pair(names, stored, declared)))))
+        unfit = F.filter("want", lambda declared: ~types_compatible(declared["kind"], stored["kind"]))
+        return F.flatten(F.transform(unfit, lambda declared: of_pair(stored, declared)))
 
-    def of_pair(names: Column, stored: Column, declared: Column) -> Column:
-        met = F.array_intersect(names, F.filter("want", lambda _, i: F.get("data_type", i).eqNullSafe(declared)))
-        return F.transform(met, lambda n: F.struct(n.alias("column_name"), stored.alias("type"), declared.alias("data_type")))
+    def of_pair(stored: Column, declared: Column) -> Column:
+        met = F.array_intersect(stored["names"], declared["names"])
+        return F.transform(met, lambda n: F.struct(n.alias("column_name"), stored["kind"].alias("type"), declared["kind"].alias("data_type")))
 
-    return both.select("dataset", F.inline(F.flatten(F.transform(F.array_distinct("type"), of_type))))
+    return both.select("dataset", F.inline(F.flatten(F.transform("have", of_type))))
 
 
 def contract_nullability(catalogue: DataFrame, spec: DataFrame) -> DataFrame:

@@ -24,27 +24,40 @@ spec AS (SELECT dataset, column_name, ordinal % 2 = 0 AS required, CASE ordinal
 
 
 def first_places(contents: pa.Array) -> pa.Array:
-    """Words of the lines of a dataset, each with its first place in a line."""
+    """Words of each line, joined by blanks, and the first place of each."""
     names, ordinals = [], []
-    for lines in contents.to_pylist():
+    for line in contents.to_pylist():
         places: dict[str, int] = {}
-        for line in lines:
-            for i, word in enumerate(line.split(" "), 1):
-                if word and places.setdefault(word, i) > i:
-                    places[word] = i
-        names.append(list(places))
+        for i, word in enumerate(line.split(" "), 1):
+            if word:
+                places.setdefault(word, i)
+        names.append(" ".join(places))
         ordinals.append(list(places.values()))
-    lists = pa.array(names, pa.list_(pa.string())), pa.array(ordinals, pa.list_(pa.int32()))
-    return pa.StructArray.from_arrays(lists, ["column_name", "ordinal"])
+    lists = pa.array(names, pa.string()), pa.array(ordinals, pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays(lists, ["names", "places"])
+
+
+def least_places(lists):
+    """Words of several lines with their least places: those of equal words stand together once sorted."""
+    placed = F.sort_array(F.flatten(F.transform(lists, lambda l: F.arrays_zip(F.split(l["names"], " ").alias("column_name"), l["places"].alias("ordinal")))))
+    before = F.concat(F.array(F.lit(None)), F.slice(placed, 1, F.size(placed) - 1))
+    return F.filter(F.zip_with(placed, before, lambda p, b: F.when(b.isNull() | (p["column_name"] != b["column_name"]), p)), lambda p: p.isNotNull())
 
 
 def catalogue(t):
-    """Packed: lines meet by their dataset while they are texts, their words stay in one row."""
+    """Packed: lines meet by their dataset with their words as one text.
+
+    Python has its turn before that; built-in functions leave the rows where their
+    dataset put them, so checks that join by dataset again shuffle nothing.
+    """
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "content")).filter(F.trim("content") != "")
-    placed = F.arrow_udf(first_places, "struct<column_name: array<string>, ordinal: array<int>>")
-    groups = lines.groupBy((F.col("doc_id") * 100000 + F.col("n") + 1).alias("dataset")).agg(F.collect_list("content").alias("contents"))
+    placed = F.arrow_udf(first_places, "struct<names: string, places: array<int>>")
+    lists = lines.select((F.col("doc_id") * 100000 + F.col("n") + 1).alias("dataset"), placed("content").alias("placed")).groupBy("dataset").agg(F.collect_list("placed").alias("lists"))
+    one, merged = F.get("lists", F.lit(0)), least_places("lists")
+    words = F.when(F.size("lists") == 1, F.struct(F.split(one["names"], " ").alias("column_name"), one["places"].alias("ordinal"))).otherwise(
+        F.struct(merged["column_name"].alias("column_name"), merged["ordinal"].alias("ordinal")))
     types = F.array(*[F.lit(k) for k in ("VARCHAR2", "NUMBER", "DATE", "CLOB")])
-    return groups.select("dataset", placed("contents").alias("words")).select("dataset", "words.*").select(
+    return lists.select("dataset", words.alias("words")).select("dataset", "words.*").select(
         "dataset", "column_name", "ordinal",
         F.transform("column_name", lambda n: F.get(types, F.char_length(n) % 4)).alias("type"), F.transform("ordinal", lambda o: o % 3 != 0).alias("nullable"))
 
@@ -109,8 +122,8 @@ x AS (SELECT dataset, list(column_name ORDER BY ordinal) AS cols FROM cat WHERE
 SELECT names.dataset, names.cols = x.cols AS success FROM names JOIN x USING (dataset)""")
 def _(t):
     c = catalogue(t)
-    kept = [F.filter(n, lambda _, i: ~((F.col("dataset") % 3 == 0) & (F.get("ordinal", i) == 2))).alias(n) for n in ("column_name", "ordinal")]
-    some = c.select("dataset", *kept).filter(F.size("ordinal") > 0)
+    kept = F.filter(F.arrays_zip("column_name", "ordinal"), lambda e: ~((F.col("dataset") % 3 == 0) & (e["ordinal"] == 2)))
+    some = c.select("dataset", kept.alias("kept")).filter(F.size("kept") > 0).select("dataset", "kept.column_name", "kept.ordinal")
     expected = cat.column_lists(some).withColumnRenamed("columns", "expected")
     return ex.columns_match_ordered_list(c, expected)
 

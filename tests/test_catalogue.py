@@ -20,6 +20,13 @@ def test_words_are_not_shuffled_one_by_one(spark, name):
     assert keys and not any("column_name" in k for k in keys)
 
 
+@pytest.mark.parametrize("name", [n for n in ON_WORDS if n != "H04_structure_compatible"])
+def test_rows_stay_where_their_dataset_put_them(spark, name):
+    plan = entry_module.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # One exchange for each side of the join, of lines; none of lists of words.
+    assert plan.count("Exchange hashpartitioning") == plan.count("FileScan parquet") == 2
+
+
 CHECKS = {
     "missing": lambda c, s: cat.schema_missing(c, s), "unexpected": lambda c, s: cat.schema_unexpected(c, s), "both": lambda c, s: cat.unmapped_columns(c, s),
     "check": lambda c, s: cat.schema_check(c, s), "columns": lambda c, s: cat.contract_columns(c, s), "types": lambda c, s: cat.contract_types(c, s),
@@ -50,3 +57,11 @@ def test_lines_of_one_dataset_meet(spark):
 
     rows = cq.catalogue(Tables).select("dataset", F.inline(F.arrays_zip("column_name", "ordinal"))).collect()
     assert sorted(map(tuple, rows)) == [(100001, "a", 1), (100001, "b", 1), (100001, "c", 2), (100003, "q", 1)]
+
+
+def test_least_places_of_many_lines(spark):
+    class Tables:
+        documents = spark.createDataFrame([(1, "c b a"), (1, " a"), (1, "b  c d d")], "doc_id long, text string")
+
+    rows = cq.catalogue(Tables).select("dataset", F.inline(F.arrays_zip("column_name", "ordinal", "nullable"))).collect()
+    assert sorted(map(tuple, rows)) == [(100001, "a", 2, True), (100001, "b", 1, True), (100001, "c", 1, True), (100001, "d", 4, True)]
