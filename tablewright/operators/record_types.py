@@ -18,6 +18,7 @@ from tablewright.functions import coerce
 from tablewright.operators.groups import rows_of_groups
 from tablewright.operators.rules import validate
 from tablewright.operators.violations import FILE, VIOLATION_COLUMNS, VIOLATION_SCHEMA, explode_found, violation
+from tablewright.session import written_once
 from tablewright.sources.layouts import slice_fields
 
 WHOLE = "_batch"
@@ -127,6 +128,34 @@ def _of(name: str) -> Column:
     return F.coalesce(F.col(TYPE) == name, F.lit(False))
 
 
+def _amount(fields: list[str], kind: str) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(coerce.decimal(F.col(c), kind), F.lit(0).cast(kind)) for c in fields])
+
+
+def _aggregate(figure: tuple) -> Column:
+    """``("count", type)`` or ``("sum", type, fields, scale)`` of a batch."""
+    if figure[0] == "count":
+        return F.count_if(_of(figure[1]))
+    _, name, fields, scale = figure
+    return F.coalesce(F.sum(F.when(_of(name), _amount(fields, f"decimal(28,{scale})"))), F.lit(0))
+
+
+class BatchFigures:
+    """Counts and sums per batch that several checks read: one aggregation, written once."""
+
+    def __init__(self, records: DataFrame, batch: list[str] | None, figures: list[tuple]):
+        keyed, keys = _keyed(records, batch)
+        self.names = {f: f"_f{i}" for i, f in enumerate(dict.fromkeys(figures))}
+        self.table = written_once(_totals(keyed, keys, batch, [_aggregate(f).alias(n) for f, n in self.names.items()]))
+
+
+def _figures(keyed: DataFrame, keys: list[str], batch: list[str] | None, shared: BatchFigures | None, **wanted: tuple) -> DataFrame:
+    """One row per batch with the wanted figures, from the shared table if there is one."""
+    if shared is None:
+        return _totals(keyed, keys, batch, [_aggregate(f).alias(n) for n, f in wanted.items()])
+    return shared.table.select(*keys, *[F.col(shared.names[f]).alias(n) for n, f in wanted.items()])
+
+
 def _file_level(found: DataFrame, check: str, severity: str, field: str, value: Column, message: Column, batch, code: str | None = None, rule: str | None = None) -> DataFrame:
     what = violation(rule or f"CT_{check}", check, severity, field, value, message, None, code or f"CT_{check.upper().replace('_', '-')}", FILE)
     return _finish(found.select(*(batch or []), F.lit(0).cast("bigint").alias("row_number"), what.alias("v")), batch)
@@ -152,26 +181,26 @@ def expect_cardinality(records: DataFrame, types: list[RecordType], batch: list[
     return explode_found(counts, kept, F.array(*found)).select(*(batch or []), *VIOLATION_COLUMNS)
 
 
-def required_companion(records: DataFrame, when_type: str, requires_type: str, batch=None, severity: str = "error") -> DataFrame:
+def required_companion(records: DataFrame, when_type: str, requires_type: str, batch=None, severity: str = "error", shared: BatchFigures | None = None) -> DataFrame:
     """Batches that hold one type but not the type it needs."""
     keyed, keys = _keyed(records, batch)
-    found = _totals(keyed, keys, batch, [F.count_if(_of(when_type)).alias("a"), F.count_if(_of(requires_type)).alias("b")]).filter("a > 0 AND b = 0")
+    found = _figures(keyed, keys, batch, shared, a=("count", when_type), b=("count", requires_type)).filter("a > 0 AND b = 0")
     message = F.lit(f"{when_type} rows come without any {requires_type} row")
     return _file_level(found, "required_companion", severity, requires_type, F.lit(None), message, batch)
 
 
-def expect_count(records: DataFrame, record_type: str, exactly: int, batch=None, severity: str = "error") -> DataFrame:
+def expect_count(records: DataFrame, record_type: str, exactly: int, batch=None, severity: str = "error", shared: BatchFigures | None = None) -> DataFrame:
     keyed, keys = _keyed(records, batch)
-    found = _totals(keyed, keys, batch, [F.count_if(_of(record_type)).alias("n")]).filter(F.col("n") != exactly)
+    found = _figures(keyed, keys, batch, shared, n=("count", record_type)).filter(F.col("n") != exactly)
     shown = F.col("n").cast("string")
     message = F.concat(F.lit(f"{record_type}: {exactly} rows wanted, rows there: "), shown)
     return _file_level(found, "expect_count", severity, "row_count", shown, message, batch)
 
 
-def header_trailer_count(records: DataFrame, record_type: str, declared: str, count_of: str, batch=None, severity: str = "error") -> DataFrame:
+def header_trailer_count(records: DataFrame, record_type: str, declared: str, count_of: str, batch=None, severity: str = "error", shared: BatchFigures | None = None) -> DataFrame:
     """A declared number of rows against the rows of another type."""
     keyed, keys = _keyed(records, batch)
-    totals = _totals(keyed, keys, batch, [F.count_if(_of(count_of)).alias("_actual"), F.count_if(_of(record_type)).alias("_n")])
+    totals = _figures(keyed, keys, batch, shared, _actual=("count", count_of), _n=("count", record_type))
     wanted = F.col(declared).cast("string")
     rows = rows_of_groups(keyed.filter(_of(record_type)).select(*keys, declared), totals, keys, "_n")
     found = rows.filter(coerce.integer(wanted) != F.col("_actual"))
@@ -180,7 +209,8 @@ def header_trailer_count(records: DataFrame, record_type: str, declared: str, co
 
 
 def header_trailer_sum(
-    records: DataFrame, record_type: str, declared: str, count_of: str, sum_of: list[str], batch=None, scale: int = 4, tolerance: float = 1e-9, severity: str = "error"
+    records: DataFrame, record_type: str, declared: str, count_of: str, sum_of: list[str], batch=None, scale: int = 4, tolerance: float = 1e-9, severity: str = "error",
+    shared: BatchFigures | None = None,
 ) -> DataFrame:
     """A declared total against the sum of one or more detail fields.
 
@@ -188,10 +218,7 @@ def header_trailer_sum(
     and the order of rows does not matter.
     """
     keyed, keys = _keyed(records, batch)
-    kind = f"decimal(28,{scale})"
-    amounts = [F.coalesce(coerce.decimal(F.col(c), kind), F.lit(0).cast(kind)) for c in sum_of]
-    amount = reduce(lambda a, b: a + b, amounts)
-    totals = _totals(keyed, keys, batch, [F.coalesce(F.sum(F.when(_of(count_of), amount)), F.lit(0)).alias("_actual"), F.count_if(_of(record_type)).alias("_n")])
+    totals = _figures(keyed, keys, batch, shared, _actual=("sum", count_of, tuple(sum_of), scale), _n=("count", record_type))
     wanted = F.col(declared).cast("string")
     rows = rows_of_groups(keyed.filter(_of(record_type)).select(*keys, declared), totals, keys, "_n")
     found = rows.filter(F.abs(coerce.decimal(wanted, "decimal(38,9)") - F.col("_actual").cast("decimal(38,9)")) > F.lit(tolerance).cast("decimal(38,9)"))
@@ -289,6 +316,13 @@ CROSS_TYPE_CHECKS = {
 }
 # Types that a rule counts or adds up when it names none.
 COUNTED_TYPE = "detail"
+# Figures per batch that a check reads; checks that are not listed gather other things.
+CHECK_FIGURES = {
+    "required_companion": lambda a: [("count", a["when_type"]), ("count", a["requires_type"])],
+    "header_trailer_count": lambda a: [("count", a["count_of"]), ("count", a["record_type"])],
+    "header_trailer_sum": lambda a: [("sum", a["count_of"], tuple(a["sum_of"]), a.get("scale", 4)), ("count", a["record_type"])],
+    "expect_count": lambda a: [("count", a["record_type"])],
+}
 
 
 def cross_type_rule(spec: dict) -> CrossTypeRule:
@@ -329,11 +363,17 @@ def record_types_from_dict(spec: dict) -> tuple[list[RecordType], Column]:
 
 
 def check_across_types(records: DataFrame, rules: list, batch: list[str] | None = None) -> DataFrame:
-    """Violations of all rules (``CrossTypeRule`` or dictionaries) as one table."""
+    """Violations of all rules (``CrossTypeRule`` or dictionaries) as one table.
+
+    Counts and sums of all rules are gathered in one pass when the function is called.
+    """
+    rules = [cross_type_rule(rule) if isinstance(rule, dict) else rule for rule in rules]
+    counting = [r for r in rules if r.check in CHECK_FIGURES]
+    figures = [f for r in counting for f in CHECK_FIGURES[r.check](r.args)]
+    shared = {"shared": BatchFigures(records, batch, figures)} if len(counting) > 1 else {}
     found = []
-    for rule in rules:
-        r = cross_type_rule(rule) if isinstance(rule, dict) else rule
-        rows = CROSS_TYPE_CHECKS[r.check][0](records, **r.args, batch=batch, severity=r.severity)
+    for r in rules:
+        rows = CROSS_TYPE_CHECKS[r.check][0](records, **r.args, batch=batch, severity=r.severity, **(shared if r in counting else {}))
         found.append(rows if r.message is None else rows.withColumn("message", F.lit(r.message)))
     if not found:
         none = F.from_json(F.lit("{}"), VIOLATION_SCHEMA)

@@ -39,15 +39,19 @@ def batches(t):
         F.coalesce("f", F.lit("A")).alias("flag"),
     )
     nothing = F.lit(None).cast("string")
-    header = heads.select("batch", F.lit("header").alias("_record_type"), F.lit(0).cast("bigint").alias("_row"), "declared", "total", "flag", nothing.alias("amount"))
+
+    def end_row(name, row, flag):
+        return F.struct(F.lit(name).alias("_record_type"), row.cast("bigint").alias("_row"), "declared", "total", flag.alias("flag"), nothing.alias("amount"))
+
+    header = end_row("header", F.lit(0), F.col("flag"))
+    trailer = end_row("trailer", F.when(F.col("batch") % 30 == 7, -1).otherwise(1000), F.when(F.col("batch") % 25 == 0, "Z").otherwise(F.col("flag")))
+    # Both ends of an order from one pass over its totals.
+    ends = heads.select("batch", F.inline(F.when(F.col("batch") % 20 != 3, F.array(header, trailer)).otherwise(F.array(header))))
     detail = t.lineitem.select(
         F.col("l_orderkey").alias("batch"), F.lit("detail").alias("_record_type"), F.col("l_linenumber").cast("bigint").alias("_row"),
         nothing.alias("declared"), nothing.alias("total"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("string").alias("amount"))
-    trailer = heads.filter("batch % 20 <> 3").select(
-        "batch", F.lit("trailer").alias("_record_type"), F.when(F.col("batch") % 30 == 7, -1).otherwise(1000).cast("bigint").alias("_row"),
-        "declared", "total", F.when(F.col("batch") % 25 == 0, "Z").otherwise(F.col("flag")).alias("flag"), nothing.alias("amount"))
     # Written once, as the records of a scanned file would be.
-    return written_once(header.unionByName(detail).unionByName(trailer))
+    return written_once(ends.unionByName(detail))
 
 
 def shown(df):

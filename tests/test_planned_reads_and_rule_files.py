@@ -140,3 +140,20 @@ def test_record_types_from_a_dictionary(spark):
     for bad in ({"match": "A", "expect": "two"}, {"match": ""}, {"position": "middle"}):
         with pytest.raises(ValueError):
             rt.record_types_from_dict({"discriminator": {"position": 1, "length": 1}, "record_types": {"t": bad}})
+
+
+def test_counting_rules_of_a_file_share_one_aggregation(spark):
+    records = spark.createDataFrame(
+        [("a", "header", 0, "3", None, None), ("a", "detail", 1, None, None, "2.5"), ("a", "trailer", 9, None, "2.5", None), ("b", "header", 0, "0", None, None), ("c", "trailer", 9, None, "1", None)],
+        "batch string, _record_type string, _row long, declared string, total string, amount string")
+    rules = [
+        {"check": "required_companion", "when_type": "header", "requires_type": "trailer"},
+        {"check": "header_trailer_count", "record_type": "header", "trailer_field": "declared"},
+        {"check": "header_trailer_sum", "record_type": "trailer", "trailer_field": "total", "sum_of": ["amount"]},
+        {"check": "expect_count", "record_type": "detail", "exactly": 1},
+    ]
+    found = rt.check_across_types(records, rules, ["batch"])
+    assert "partial_count" not in found._jdf.queryExecution().executedPlan().toString()
+    alone = [rt.check_across_types(records, [rule], ["batch"]) for rule in rules]
+    expected = sorted(str(r) for df in alone for r in df.collect())
+    assert len(expected) == 5 and sorted(map(str, found.collect())) == expected
