@@ -127,12 +127,13 @@ def narrower(cut: bytes, m: int, a: int, b: int, size: int) -> list[tuple[int, i
 
 
 class Queue:
-    """First-in first-out store of (position, common prefix) pairs; beyond a limit it lives on disk."""
+    """First-in first-out store of (position, common prefix) pairs of 32 bits; beyond a limit it lives on disk."""
 
     def __init__(self, limit: int):
         self.limit, self.held, self.chunks, self.file, self.on_disk = limit, 0, [], None, 0
 
     def push(self, pairs: np.ndarray) -> None:
+        pairs = pairs.astype(np.int32)
         self.chunks.append(pairs)
         self.held += pairs.nbytes
         if self.held > self.limit:
@@ -150,7 +151,7 @@ class Queue:
         chunks = self.chunks
         if self.on_disk:
             self.file.seek(0)
-            chunks = [np.frombuffer(self.file.read(), np.int64).reshape(-1, 2), *chunks]
+            chunks = [np.frombuffer(self.file.read(), np.int32).reshape(-1, 2), *chunks]
             self.file.close()
             self.file, self.on_disk = None, 0
         self.chunks, self.held = [], 0
@@ -266,8 +267,9 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
     small = np.zeros(n, bool)
     inside = nearest < n - 1
     small[inside] = wide[nearest[inside]] < wide[nearest[inside] + 1]
+    del wide, change, upto, nearest, inside
     sample = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sample, sample_common = _rank_sample(words, sample, size)
+    sample, sample_common = [ranked.astype(np.int32) for ranked in _rank_sample(words, sample, size)]
     heads = symbols[sample]
     per_queue = max(1 << 16, limit // (top + 1))
 
@@ -287,7 +289,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
             last = int(found[-1, 0])
             _deal(queues, since, symbols, found, lambda char, at: ~small[at], size)
             found = queues[c].pull()
-        large.append(np.concatenate(own) if own else np.zeros((0, 2), np.int64))
+        large.append(np.concatenate(own) if own else np.zeros((0, 2), np.int32))
         a, b = np.searchsorted(heads, [c, c + 1])
         if b > a:
             pairs = np.stack([sample[a:b], sample_common[a:b]], axis=1)
@@ -298,6 +300,7 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
     # Descending: small suffixes from the large ones and from each other.  A pair's value is the
     # common prefix with the suffix scanned just before, the next larger one.
     queues, since = [Queue(per_queue) for _ in range(top)], np.full(top, 0, np.int64)
+    del sample, sample_common, heads
     out: list[np.ndarray] = []
     last = -1
     for c in range(top - 1, -1, -1):
@@ -310,16 +313,19 @@ def sorted_suffixes(symbols: np.ndarray, size: int, limit: int = QUEUE_BYTES) ->
             last = int(found[-1, 0])
             _deal(queues, since, symbols, found, lambda char, at: small[at], size)
             found = queues[c].pull()
-        if len(large[c]):
-            down = large[c][::-1].copy()
-            down[1:, 1] = large[c][:0:-1, 1]
+        up = large.pop()
+        if len(up):
+            down = up[::-1].copy()
+            down[1:, 1] = up[:0:-1, 1]
             down[0, 1] = _common(words, last, int(down[0, 0]), size) if last >= 0 else 0
             own.append(down)
             last = int(down[-1, 0])
             _deal(queues, since, symbols, down, lambda char, at: small[at], size)
         out.extend(own)
-    pairs = np.concatenate(out)[::-1]
-    return pairs[:, 0].copy(), np.append(0, pairs[:-1, 1])
+    # Columns one after the other: the pairs need not exist twice.
+    order = np.concatenate([p[:, 0] for p in reversed([p[::-1] for p in out])])
+    common = np.concatenate([p[:, 1] for p in reversed([p[::-1] for p in out])])
+    return order, np.append(np.zeros(1, common.dtype), common[:-1])
 
 
 def _spans(starts: np.ndarray) -> list[dict]:
@@ -337,13 +343,17 @@ def repeats_in(cuts: list[bytes], size: int) -> list[np.ndarray]:
     begins = np.append(0, np.cumsum(lengths + 1)[:-1])
     joined[begins + lengths] = 0
     order, common = sorted_suffixes(joined, size)
+    # Room left of a suffix in its cut, by position.
+    room = (np.repeat(begins + lengths, lengths + 1) - np.arange(len(joined))).astype(np.int32)
+    window = room[order] >= size
+    del joined, room
+    group = np.cumsum(common < size, dtype=np.int32)
+    del common
+    many = np.bincount(group[window], minlength=int(group[-1]) + 1) > 1
+    order = order[window & many[group]]
+    del group, many, window
     piece = np.searchsorted(begins, order, side="right") - 1
     place = order - begins[piece]
-    window = place <= lengths[piece] - size
-    group = np.cumsum(common < size)
-    many = np.bincount(group, weights=window, minlength=int(group[-1]) + 1) > 1
-    hit = window & many[group]
-    piece, place = piece[hit], place[hit]
     by = np.lexsort((place, piece))
     piece, place = piece[by], place[by]
     edges = np.searchsorted(piece, np.arange(len(cuts) + 1))

@@ -140,3 +140,17 @@ def test_rows_and_edges(spark):
         assert out[i].text == (kept.decode("utf-8", "ignore") if removed else texts[i]) and len(out[i].spans) == spans
     assert repeated_spans(df.limit(0)).count() == 0 and remove_repeats(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_a_shard_is_sorted_in_few_bytes_of_memory_per_byte():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 300_000).astype(np.uint8).tobytes()
+    cuts = [text[i : i + 400 + i % 700] for i in range(0, 299_000, 500)]
+    tracemalloc.start()
+    try:
+        suffixes.repeats_in(cuts, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 85 * sum(map(len, cuts))
