@@ -453,7 +453,8 @@ def repeated_spans(df: DataFrame, text: str = "text", size: int = 200) -> DataFr
         too_much = (F.col("bytes") > HEAVY_BYTES) & (F.col("known") < size)
         row = weights.agg(F.sum(F.when(~too_much, F.col("bytes"))), F.count_if(too_much)).first()
         total += row[0] or 0
-        heavy = weights.where(too_much).select("m")
+        # Each heavy key stands for over HEAVY_BYTES of cuts, so the keys are few whatever the input; the cuts stay where they are.
+        heavy = F.broadcast(weights.where(too_much).select("m"))
         fits = level.join(heavy, "m", "left_anti") if row[1] else level
         fits = fits.select("m", "s", "cut", "k")
         light = fits if light is None else light.unionByName(fits)
