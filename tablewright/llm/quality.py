@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append, ascii_lower, by_slices, in_pieces, words_of
+from tablewright.llm.common import append, by_slices, in_pieces
 
 BUCKETS = 1 << 14
 DIM = 32
 NONZERO = 2
 LONG_WORD = 6
-CACHED = 150_000
-_codes: dict[str, int] = {}
 
 
 def form_of(word: str) -> str:
@@ -43,26 +41,39 @@ def bucket_of(token: str) -> int:
 
 # Long words that are new in the text, seen before, and words equal to the one before.
 _REPEATS = [bucket_of("\x00new"), bucket_of("\x00seen"), bucket_of("\x00same")]
-
-
-def _code(word: str) -> int:
-    """Bucket of the lower-case word, bucket of its form, and whether it is long, in one number."""
-    if len(_codes) >= CACHED:
-        _codes.clear()
-    code = _codes[word] = bucket_of(ascii_lower(word)) << 20 | bucket_of(form_of(word)) << 1 | (len(word) >= LONG_WORD)
-    return code
+# Of a character: 1 lower case, 2 upper case, 4 title case, 8 letter or digit; 16 stands for all beyond the table.
+_KINDS = np.array([c.islower() + 2 * c.isupper() + 4 * (c.istitle() and not c.isupper()) + 8 * c.isalnum() for c in map(chr, range(1 << 16))] + [16], np.uint8)
+# Bucket of a form by case, ASCII character at the end, and whether that is doubled.
+_FORMS = np.array([[[bucket_of(form_of(word + chr(c) * times)) for times in (1, 2)] for c in range(128)] for word in ("1", "a", "A", "Aa")])
+
+
+def _forms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the bucket of its form, and whether it is long: ``form_of`` for all words at once."""
+    chars = np.frombuffer(b" ".join(words).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.append(np.flatnonzero(chars == 32), len(chars))
+    starts = np.append(0, ends[:-1] + 1)
+    kinds = _KINDS[np.minimum(chars, 1 << 16)]
+    every, last = np.bitwise_or.reduceat(kinds, starts) & 23, chars[ends - 1]
+    case = np.where(every == 1, 1, np.where(every == 2, 2, np.where(kinds[starts] & 2, 3, 0)))
+    # All letters and digits at the end count as the digit 1, which has no case.
+    end = np.where(kinds[ends - 1] & 8, ord("1"), last)
+    lengths = ends - starts
+    forms = _FORMS[case, np.minimum(end, 127), ((chars[ends - 2] == last) & (lengths > 1)).view(np.uint8)]
+    for i in np.flatnonzero((every > 15) | (end > 127)).tolist():
+        forms[i] = bucket_of(form_of(words[i].decode("utf-8", "surrogatepass")))
+    return forms, (lengths >= LONG_WORD).astype(np.int64)
 
 
 def tokens_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and counts of the lower-case words of a text, and of their forms; buckets may repeat."""
-    words = words_of(text)
+    # Bytes are split, and lower-cased, at and in ASCII only: the words of ``common.WORD``.
+    words = text.encode("utf-8", "surrogatepass").split() if text else []
     counts = Counter(words)
-    known = _codes.get
-    codes = np.fromiter((known(w) or _code(w) for w in counts), np.int64, len(counts))
+    buckets = np.fromiter(map(zlib.crc32, map(bytes.lower, counts)), np.int64, len(counts)) % BUCKETS
+    forms, long = _forms(list(counts)) if words else (buckets, buckets)
     n = np.fromiter(counts.values(), np.float64, len(counts))
-    long = codes & 1
     repeats = [long.sum(), (long * (n - 1)).sum(), sum(map(eq, words, words[1:]))]
-    return codes >> 20, n, np.append(codes >> 1 & (1 << 19) - 1, _REPEATS), np.append(n, repeats)
+    return buckets, n, np.append(forms, _REPEATS), np.append(n, repeats)
 
 
 def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +93,7 @@ def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
                 draw = np.random.Generator(np.random.PCG64(zlib.crc32((t or "").encode("utf-8", "surrogatepass"))))
                 dims, signs = draw.integers(0, DIM, NONZERO), draw.integers(0, 2, NONZERO) * 2 - 1
                 at, n = np.append(words, forms), np.append(n_words, n_forms)
-                docs[np.unique(at[n > 0])] += 1
+                docs[at[n > 0]] += 1  # once for each bucket, however often it is there
                 for d, s in zip(dims, signs):
                     np.add.at(total[:, d], at, s * n.astype(np.int64))
         held = np.flatnonzero(docs)
