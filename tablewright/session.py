@@ -106,7 +106,7 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written_once(df: DataFrame) -> DataFrame:
+def written_once(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write an intermediate result that several branches read.
 
     The table goes to the shared checkpoint folder, so a lost executor costs a
@@ -114,9 +114,10 @@ def written_once(df: DataFrame) -> DataFrame:
     each branch reads only the columns it needs.  A caller that has used up
     the table hands it to ``discard``; a lazy result may still read it, so the
     rest is deleted by ``remove_scratch``, once results have been written.
+    ``codec`` replaces the session's compression, for tables of whole texts.
     """
     folder = scratch_folder(df.sparkSession, "step")
-    df.write.parquet(folder)
+    (df.write.option("compression", codec) if codec else df.write).parquet(folder)
     table = df.sparkSession.read.schema(df.schema).parquet(folder)
     table._written_to = folder
     Scratch.own(folder)
