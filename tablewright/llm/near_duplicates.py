@@ -109,6 +109,17 @@ def least_agreement(percent: int) -> int:
     return max(1, int(FUNCTIONS * p - 5 * (FUNCTIONS * p * (1 - p)) ** 0.5))
 
 
+def _gathered(df: DataFrame, key: str) -> DataFrame:
+    """Rows with equal keys in one partition, one after the other.
+
+    They are dealt by a hash of the key of their own: a repartition by the very
+    columns that a join below deals its rows by is left out as needless, and
+    adaptive execution may then make a broadcast of that join, after which its
+    rows lie as their map tasks wrote them.
+    """
+    return df.repartition(F.xxhash64(F.lit("gathered"), key)).sortWithinPartitions(key)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
     """Consecutive rows with equal keys, from batches sorted by them."""
     key, held = None, {}
@@ -209,7 +220,7 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         placed = written_once(rows.join(sizes, "node"))
         small = placed.where(F.col("size") <= LEAF).join(sketches, "k").select("node", "k", "sketch")
-        links = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes(least), "a long, b long")
+        links = _gathered(small, "node").mapInArrow(_compare_nodes(least), "a long, b long")
         found = links if found is None else found.unionByName(links)
         large = placed.where(F.col("size") > LEAF)
         if large.isEmpty():
@@ -263,7 +274,7 @@ def _confirm(words: int, percent: int, whole: bool) -> Callable:
 
 
 def _confirmed(tasks: DataFrame, words: int, percent: int, whole: bool = False) -> DataFrame:
-    dealt = tasks.select("task", "side", "k", "n", "label", "sketch", "t").repartition("task").sortWithinPartitions("task")
+    dealt = _gathered(tasks.select("task", "side", "k", "n", "label", "sketch", "t"), "task")
     return dealt.mapInArrow(in_pieces(_confirm(words, percent, whole), 1000), "a long, b long")
 
 
@@ -325,21 +336,20 @@ def component_labels(df: DataFrame, classes: DataFrame, text: str, words: int, p
     """k, label for every class that is linked to another."""
     clusters = written_once(connected_components(candidate_links(classes, percent)).withColumnRenamed("label", "cluster"))
     members = clusters.join(classes.select("k", "n", "sketch", "rep"), "k")
-    wanted = members.select("cluster", "k", "n", "sketch", F.col("rep.h").alias("h"), F.col("rep.nb").alias("nb"))
+    # A single pair of very long documents fits as well: a document is never split.
+    count, total = F.count(F.lit(1)), F.sum("n")
+    sizes = members.groupBy("cluster").agg((((count <= BLOCK) & (total <= BLOCK_SHINGLES)) | (count == 2)).alias("fits"))
+    wanted = members.join(sizes, "cluster").select("cluster", "fits", "k", "n", "sketch", F.col("rep.h").alias("h"), F.col("rep.nb").alias("nb"))
     keys = text_key(F.col(text))
     texts = df.select(keys[0], keys[1].alias("nb"), F.col(text).cast("string").alias("t"))
     # Copies of a text are many, its class is one: reduce before the texts travel on.
-    held = written_once(texts.join(wanted, ["h", "nb"]).groupBy("k").agg(*[F.first(c).alias(c) for c in ("cluster", "n", "sketch", "t")]))
-    sizes = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    fits = (F.col("c") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
-    # A single pair of very long documents fits as well: a document is never split.
-    fits = fits | (F.col("c") == 2)
-    few = held.join(sizes.where(fits).select("cluster"), "cluster")
+    held = written_once(texts.join(wanted, ["h", "nb"]).groupBy("k").agg(*[F.first(c).alias(c) for c in ("cluster", "fits", "n", "sketch", "t")]))
+    few = held.where("fits")
     small = _confirmed(few.select(F.col("cluster").alias("task"), F.lit(-1).alias("side"), "k", "n", F.col("k").alias("label"), "sketch", "t"), words, percent, whole=True)
     labels = small.select(F.col("a").alias("k"), F.col("b").alias("label"))
-    many = sizes.where(~fits).select("cluster")
+    many = held.where("not fits")
     if not many.isEmpty():
-        labels = labels.unionByName(_large_clusters(written_once(held.join(many, "cluster")), words, percent))
+        labels = labels.unionByName(_large_clusters(written_once(many.drop("fits")), words, percent))
     return labels
 
 

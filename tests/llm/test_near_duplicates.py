@@ -77,3 +77,26 @@ def test_rows_that_stay(spark):
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(3, "A b c d e f g"), (None, "q r s t u v"), (8, None), (9, ""), (10, "only one here")], key=str)
     assert nd.drop_near_duplicates(spark.createDataFrame([(4, "a b c", "k")] * 3, df.schema)).count() == 1
     assert nd.near_duplicates(df.limit(0)).count() == 0 and nd.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_clusters_stay_whole_when_a_join_becomes_a_broadcast(spark):
+    """Spark leaves out a repartition by the key of a join below it; turned into a broadcast while it runs, that join keeps no key together."""
+    draw = random.Random(4)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{draw.randrange(10**9)}" for _ in range(200)]
+        for n in range(5):
+            copy = list(base)
+            copy[20 * n + 7] = f"other{n}"
+            rows.append((len(rows), " ".join(copy)))
+    # Too large for a broadcast by the size of its files, small enough once it is counted.
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "16KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n, None) for n in changed}
+    try:
+        for n, v in changed.items():
+            spark.conf.set(n, v)
+        found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 5 for i, _ in rows}
